@@ -108,3 +108,115 @@ def daily_sentiment(spark, sf_dir):
 @register("topic_options")
 def topic_options(spark, sf_dir):
     return D.topic_options(fx.topic_posts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- phase 3
+from pyspark.sql import functions as F  # noqa: E402
+
+from topicpulse.functions import rules as RU  # noqa: E402
+from topicpulse.functions.calendar import cutoff as _cutoff  # noqa: E402
+from topicpulse.operators import matching as MT  # noqa: E402
+from topicpulse.operators import topics as TO  # noqa: E402
+
+SRC_0_9 = ",".join(f"src{i}" for i in range(10))
+FETCH_CAP = 150
+
+
+def _match_out(m):
+    return present(m.select("topic_id", "event_id", "subreddit", "created_at", "engagement"))
+
+
+@register("match_cnf_narrow")
+def match_cnf_narrow(spark, sf_dir):
+    return _match_out(MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, SRC_0_9),
+                                     strategy="narrow"))
+
+
+@register("match_cnf_inverted")
+def match_cnf_inverted(spark, sf_dir):
+    return _match_out(MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""),
+                                     strategy="inverted"))
+
+
+@register("match_since_48h")
+def match_since_48h(spark, sf_dir):
+    return _match_out(MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""),
+                                     cutoff=_cutoff(AS_OF, "sync"), strategy="narrow"))
+
+
+@register("limit_per_topic")
+def limit_per_topic(spark, sf_dir):
+    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="inverted")
+    return present(MT.limit_per_topic(m, FETCH_CAP).select("topic_id", "event_id", "created_at"))
+
+
+@register("parse_topics")
+def parse_topics(spark, sf_dir):
+    t = TO.served_topics(fx.topic_catalog(spark, sf_dir))
+    return t.select("seq", F.to_json("cnf").alias("keywords_cnf"),
+                    F.to_json("subreddit_list").alias("subreddit_list"),
+                    F.col("filters.text").alias("filter_text"),
+                    F.col("filters.lang").alias("filter_lang"),
+                    F.col("filters.author").alias("filter_author"))
+
+
+@register("render_cnf")
+def render_cnf(spark, sf_dir):
+    t = fx.topic_catalog(spark, sf_dir)
+    return t.select("seq", RU.render_keywords(F.col("keywords")).alias("query"))
+
+
+@register("clean_cnf")
+def clean_cnf(spark, sf_dir):
+    t = fx.topic_catalog(spark, sf_dir)
+    c = RU.dedupe_terms(RU.clean_cnf(RU.parse_keywords(F.col("keywords"))))
+    return t.select("seq", F.to_json(c).alias("clean"))
+
+
+@register("slugify")
+def slugify(spark, sf_dir):
+    return TO.with_topic_ids(fx.topic_catalog(spark, sf_dir)).select("seq", "id")
+
+
+@register("validate_topics")
+def validate_topics(spark, sf_dir):
+    valid, rejected = TO.validate_topics(fx.topic_catalog(spark, sf_dir))
+    return (valid.select("seq", F.lit(True).alias("valid"))
+                 .unionByName(rejected.select("seq", F.lit(False).alias("valid"))))
+
+
+@register("subreddit_checks")
+def subreddit_checks(spark, sf_dir):
+    t = fx.topic_catalog(spark, sf_dir)
+    subs = RU.parse_csv(F.col("subreddits"), clean=True)
+    allowed = RU.parse_csv(F.lit(SRC_0_9), clean=True)
+    return t.select("seq", RU.subreddit_count(subs).alias("n_selected"),
+                    RU.within_cap(subs).alias("within_cap"),
+                    F.to_json(RU.not_allowed(subs, allowed)).alias("not_allowed"))
+
+
+def _existing_topics(spark):
+    base = fx.topics(spark, SRC_0_9).select("id")
+    return base.unionByName(spark.createDataFrame([("click",), ("signup",)], "id string"))
+
+
+@register("append_topics")
+def append_topics(spark, sf_dir):
+    new = TO.with_topic_ids(fx.topic_catalog(spark, sf_dir))
+    out = TO.append_topics(new, _existing_topics(spark), AS_OF)
+    return present(out.select("seq", "id", "outcome", "description", "filters_json",
+                              "update_frequency_seconds", "created_at", "backfill_status"))
+
+
+@register("tasks_with_topic")
+def tasks_with_topic(spark, sf_dir):
+    ev = fx.read_events(spark, sf_dir)
+    value = F.when(F.col("event_type") != "error", F.concat(
+        F.lit('{"topic_id":"topic-'), (F.col("event_id") * 2).cast("string"),
+        F.lit('","subreddits":["src1"]}')))
+    tasks = TO.read_tasks(ev.select(value.alias("value"), F.col("event_id").alias("task_seq")))
+    topics = TO.with_topic_ids(fx.topic_catalog(spark, sf_dir))
+    acc, rej = TO.tasks_with_topic(tasks, topics)
+    return (acc.select("task_seq", "topic_id", F.lit("accepted").alias("status"), "description")
+               .unionByName(rej.select("task_seq", "topic_id", F.lit("rejected").alias("status"),
+                                       F.lit(None).cast("string").alias("description"))))

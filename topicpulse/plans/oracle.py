@@ -201,3 +201,183 @@ ORACLE["daily_engagement"] = _daily_sql("CAST(sum(engagement) AS BIGINT)", "pd.v
 ORACLE["daily_sentiment"] = _daily_sql("avg(sentiment_score)", "round(pd.value, 6)")
 ORACLE["topic_options"] = f"""WITH {TOPIC_POSTS}
 SELECT topic_id, count(*) AS doc_count FROM tp GROUP BY topic_id"""
+
+
+# ---------------------------------------------------------------- phase 3
+from topicpulse.functions.calendar import cutoff as _cutoff  # noqa: E402
+from topicpulse.operators.matching import group_regex  # noqa: E402
+from topicpulse.sources.fixtures import F4_TOPICS  # noqa: E402
+
+
+def _s(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+# F1 posts
+POSTS = f"""
+posts AS (
+  SELECT 't3_' || {_s('e.event_id')} AS event_id, d.source AS subreddit,
+         'u_' || {_s('e.user_id')} AS author, e.ts AS created_at, d.text, d.lang,
+         CAST(floor(e.value) AS INTEGER) AS score, {K} AS num_comments,
+         CAST(floor(e.value) AS INTEGER) + {K} + 1 AS engagement
+  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents))"""
+
+
+def _f4_cnf(kw: str):
+    import json
+    try:
+        v = json.loads(kw)
+    except ValueError:
+        return None
+    if not isinstance(v, list):
+        return None
+    if v and isinstance(v[0], list):
+        return v
+    return [v] if v else []
+
+
+def _match_sql(subs: list[str], cutoff=None) -> str:
+    parts = []
+    for tid, kw in F4_TOPICS:
+        cnf = _f4_cnf(kw)
+        if not cnf or any(len(g) == 0 for g in cnf):
+            continue
+        conds = [f"regexp_matches(lower(text), '{group_regex(g)}')" for g in cnf]
+        if subs:
+            conds.append("lower(subreddit) IN (" + ", ".join(f"'{s}'" for s in subs) + ")")
+        if cutoff is not None:
+            conds.append(f"created_at >= {_ts(cutoff)}")
+        parts.append(f"SELECT '{tid}' AS topic_id, event_id, subreddit, created_at, engagement "
+                     f"FROM posts WHERE " + " AND ".join(conds))
+    return f"WITH {POSTS},\nm AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+_SRC09 = [f"src{i}" for i in range(10)]
+_MATCH_OUT = f"\nSELECT topic_id, event_id, subreddit, {iso('created_at')} AS created_at, engagement FROM m"
+ORACLE["match_cnf_narrow"] = _match_sql(_SRC09) + _MATCH_OUT
+ORACLE["match_cnf_inverted"] = _match_sql([]) + _MATCH_OUT
+ORACLE["match_since_48h"] = _match_sql([], _cutoff(AS_OF, "sync")) + _MATCH_OUT
+ORACLE["limit_per_topic"] = _match_sql([]) + f""",
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, event_id) AS rn
+      FROM m)
+SELECT topic_id, event_id, {iso('created_at')} AS created_at FROM r WHERE rn <= 200"""
+
+# F4s topic catalogue (one topic per event)
+CATALOG = f"""
+cat AS (
+  SELECT event_id AS seq,
+    CASE event_id % 4 WHEN 0 THEN 'topic-' || {_s('event_id')}
+                      WHEN 1 THEN 'Topic ' || upper(event_type) || ' ' || {_s('event_id')}
+                      WHEN 2 THEN NULL
+                      ELSE 'my-topic-id-' || {_s('event_id')} END AS id,
+    'Posts about ' || event_type || ' from user ' || {_s('user_id')} AS description,
+    CASE event_id % 6
+      WHEN 0 THEN '[["' || event_type || '","u' || {_s('user_id')} || '"],["k' || {_s(K)} || ' '
+                  || event_type || '"]]'
+      WHEN 1 THEN '["' || event_type || '","  ","' || event_type || '"]'
+      WHEN 2 THEN '[["' || event_type || '"," ' || event_type || ' "],[]]'
+      WHEN 3 THEN event_type
+      WHEN 4 THEN '[]'
+      ELSE NULL END AS keywords,
+    CASE WHEN event_id % 9 = 0 THEN NULL
+         ELSE 'src' || {_s('user_id % 20')} || ', src' || {_s(f'{K} % 20')} || ', ,SRC'
+              || {_s('event_id % 20')} END AS subreddits,
+    CASE WHEN event_id % 5 = 0 THEN NULL
+         ELSE '{{"lang":"' || CASE WHEN {K} % 2 = 0 THEN 'en' ELSE 'fr' END || '"}}' END
+      AS filters_json
+  FROM events),
+catp AS (
+  SELECT *,
+    CASE WHEN keywords IS NULL OR NOT json_valid(keywords) THEN NULL
+         WHEN json_type(keywords) <> 'ARRAY' THEN NULL
+         WHEN json_array_length(keywords) = 0 THEN CAST([] AS VARCHAR[][])
+         WHEN json_type(keywords, '$[0]') = 'ARRAY' THEN from_json(keywords, '[["VARCHAR"]]')
+         ELSE [from_json(keywords, '["VARCHAR"]')] END AS cnf,
+    CASE WHEN keywords IS NULL OR NOT json_valid(keywords) THEN NULL
+         WHEN json_type(keywords) <> 'ARRAY' THEN NULL
+         WHEN json_array_length(keywords) = 0 THEN NULL
+         WHEN json_type(keywords, '$[0]') = 'ARRAY' THEN 'nested'
+         ELSE 'flat' END AS shape
+  FROM cat),
+slugged AS (
+  SELECT * REPLACE (
+    CASE WHEN id IS NULL OR id = '' OR contains(id, 'topic-id') OR regexp_matches(id, '[A-Z\\s]')
+         THEN substr(regexp_replace(regexp_replace(lower(coalesce(cnf[1][1], description)),
+                     '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 30)
+         ELSE id END AS id)
+  FROM catp)"""
+
+ORACLE["parse_topics"] = f"""WITH {CATALOG}
+SELECT seq, to_json(cnf) AS keywords_cnf,
+       to_json(string_split(coalesce(subreddits, ''), ',')) AS subreddit_list,
+       json_extract_string(coalesce(filters_json, '{{}}'), '$.text') AS filter_text,
+       json_extract_string(coalesce(filters_json, '{{}}'), '$.lang') AS filter_lang,
+       json_extract_string(coalesce(filters_json, '{{}}'), '$.author') AS filter_author
+FROM catp"""
+
+_Q = "lambda t: CASE WHEN contains(t, ' ') THEN '\"' || t || '\"' ELSE t END"
+ORACLE["render_cnf"] = f"""WITH {CATALOG}
+SELECT seq,
+  CASE WHEN shape = 'nested' THEN array_to_string(list_transform(cnf,
+            lambda g: '(' || array_to_string(list_transform(g, {_Q}), ' OR ') || ')'), ' AND ')
+       WHEN shape = 'flat' THEN array_to_string(list_transform(cnf[1], {_Q}), ' OR ')
+       ELSE '' END AS query
+FROM catp"""
+
+ORACLE["clean_cnf"] = f"""WITH {CATALOG},
+c1 AS (SELECT seq, list_filter(list_transform(cnf, lambda g: list_filter(g, lambda t: trim(t) <> '')),
+                               lambda g: len(g) > 0) AS c FROM catp),
+c2 AS (SELECT seq, list_transform(c, lambda g: list_transform(g, lambda t: trim(t))) AS c FROM c1)
+SELECT seq, to_json(list_transform(c, lambda g: list_filter(g, lambda x, i: list_position(g, x) = i)))
+       AS clean
+FROM c2"""
+
+ORACLE["slugify"] = f"""WITH {CATALOG}
+SELECT seq, id FROM slugged"""
+
+_VALID = ("coalesce(id IS NOT NULL AND id <> '' AND keywords IS NOT NULL AND keywords <> '' "
+          "AND subreddits IS NOT NULL AND subreddits <> '', false)")
+ORACLE["validate_topics"] = f"""WITH {CATALOG}
+SELECT seq, {_VALID} AS valid FROM cat"""
+
+_ALLOWED = "[" + ", ".join(f"'{s}'" for s in _SRC09) + "]"
+ORACLE["subreddit_checks"] = f"""WITH {CATALOG},
+s AS (SELECT seq, list_filter(list_transform(string_split(coalesce(subreddits, ''), ','),
+                                             lambda x: trim(x)), lambda x: x <> '') AS subs
+      FROM cat)
+SELECT seq, CAST(len(list_filter(subs, lambda x: trim(x) <> '')) AS INTEGER) AS n_selected,
+       len(list_filter(subs, lambda x: trim(x) <> '')) <= 30 AS within_cap,
+       to_json(list_filter(subs, lambda x, i: NOT list_contains({_ALLOWED}, x)
+                                         AND list_position(subs, x) = i)) AS not_allowed
+FROM s"""
+
+_EXISTING = ("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t, _ in F4_TOPICS)
+             + ", ('click'), ('signup')) AS x(id)")
+ORACLE["append_topics"] = f"""WITH {CATALOG},
+v AS (SELECT *, {_VALID} AS ok FROM slugged),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn,
+         id IN ({_EXISTING}) AS stored
+  FROM v WHERE ok)
+SELECT seq, id, CASE WHEN stored OR rn > 1 THEN 'duplicate' ELSE 'inserted' END AS outcome,
+       coalesce(description, '') AS description, coalesce(filters_json, '{{}}') AS filters_json,
+       60 AS update_frequency_seconds, '2024-01-31T12:00:00.000Z' AS created_at,
+       'IDLE' AS backfill_status
+FROM r
+UNION ALL
+SELECT seq, id, 'invalid', coalesce(description, ''), coalesce(filters_json, '{{}}'), 60,
+       '2024-01-31T12:00:00.000Z', 'IDLE'
+FROM v WHERE NOT ok"""
+
+ORACLE["tasks_with_topic"] = f"""WITH {CATALOG},
+tasks AS (
+  SELECT event_id AS task_seq,
+         json_extract_string(CASE WHEN event_type <> 'error' THEN
+           '{{"topic_id":"topic-' || {_s('event_id * 2')} || '","subreddits":["src1"]}}' END,
+           '$.topic_id') AS topic_id
+  FROM events)
+SELECT t.task_seq, t.topic_id, 'accepted' AS status, s.description
+FROM tasks t JOIN slugged s ON t.topic_id = s.id
+UNION ALL
+SELECT t.task_seq, t.topic_id, 'rejected', NULL
+FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM slugged s WHERE s.id = t.topic_id)"""
