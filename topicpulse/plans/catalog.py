@@ -220,3 +220,55 @@ def tasks_with_topic(spark, sf_dir):
     return (acc.select("task_seq", "topic_id", F.lit("accepted").alias("status"), "description")
                .unionByName(rej.select("task_seq", "topic_id", F.lit("rejected").alias("status"),
                                        F.lit(None).cast("string").alias("description"))))
+
+
+# ---------------------------------------------------------------- phase 4
+from topicpulse.functions import sentiment as SE  # noqa: E402
+from topicpulse.operators import normalize as NO  # noqa: E402
+from topicpulse.operators import state as ST  # noqa: E402
+from topicpulse.schemas import POST_SCHEMA  # noqa: E402
+
+
+@register("normalize_posts")
+def normalize_posts(spark, sf_dir):
+    n = NO.normalize_posts(fx.raw_feed(spark, sf_dir), AS_OF)
+    return present(n.drop("created_at"))
+
+
+def _wire_events(spark, sf_dir):
+    """F1 posts as matched events on the wire; k = 0 rows arrive truncated."""
+    p = fx.posts(spark, sf_dir).withColumn(
+        "created_utc", NO.iso_utc(F.col("created_at"))).drop("created_at", "lang")
+    ev = NO.to_matched_events(p.withColumn("topic_id", F.concat(F.lit("topic-"), F.col("subreddit"))))
+    good = NO.event_json(ev)
+    broken = F.concat(F.lit('{"event_id":"'), F.col("event_id"), F.lit('","score":'))
+    return ev.select(F.when(F.col("num_comments") == 0, broken).otherwise(good).alias("value"))
+
+
+@register("event_json_roundtrip")
+def event_json_roundtrip(spark, sf_dir):
+    return NO.parse_events(_wire_events(spark, sf_dir), POST_SCHEMA)
+
+
+@register("event_time")
+def event_time(spark, sf_dir):
+    e = NO.parse_events(_wire_events(spark, sf_dir), POST_SCHEMA)
+    e = e.withColumn("timestamp", F.when(F.col("score") % 13 == 0, F.lit("not-a-date"))
+                                   .otherwise(F.col("timestamp")))
+    return present(NO.with_event_time(e, AS_OF).select("event_id", "timestamp", "event_ts"))
+
+
+@register("sentiment_lexicon")
+def sentiment_lexicon(spark, sf_dir):
+    s = SE.with_sentiment(fx.posts(spark, sf_dir), SE.default_lexicon(spark))
+    return present(s.select("event_id", "sentiment_score"))
+
+
+@register("current_posts_merge")
+def current_posts_merge(spark, sf_dir):
+    return present(ST.current_posts(fx.post_log(spark, sf_dir)))
+
+
+@register("latest_rows")
+def latest_rows(spark, sf_dir):
+    return present(ST.latest_rows(fx.post_log(spark, sf_dir)))

@@ -381,3 +381,117 @@ FROM tasks t JOIN slugged s ON t.topic_id = s.id
 UNION ALL
 SELECT t.task_seq, t.topic_id, 'rejected', NULL
 FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM slugged s WHERE s.id = t.topic_id)"""
+
+
+# ---------------------------------------------------------------- phase 4
+from topicpulse.functions.sentiment import DEFAULT_LEXICON, NEGATION_FACTOR  # noqa: E402
+
+_NOW_S = float(AS_OF.replace(tzinfo=_dt.timezone.utc).timestamp())
+_AS_OF_ISO = AS_OF.strftime("%Y-%m-%dT%H:%M:%S.000Z")
+
+
+def _parse_int(c: str) -> str:
+    return (f"TRY_CAST(regexp_extract(CASE WHEN {c} IS NULL OR {c} = '' THEN '0' ELSE {c} END, "
+            f"'^\\s*([+-]?[0-9]+)', 1) AS INTEGER)")
+
+
+ORACLE["normalize_posts"] = f"""WITH raw AS (
+  SELECT e.event_id AS i, e.user_id, e.ts, e.value, {K} AS k, d.text, d.source
+  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)),
+r AS (
+  SELECT CASE WHEN i % 7 = 0 THEN NULL ELSE lower(hex(i)) END AS id,
+         CASE WHEN i % 5 = 0 OR i % 7 = 0 THEN NULL ELSE 't3_' || lower(hex(i)) END AS name,
+         source AS subreddit,
+         CASE WHEN i % 4 = 0 THEN NULL ELSE 'u_' || {_s('user_id')} END AS author,
+         CASE WHEN i % 17 = 0 THEN NULL ELSE CAST(epoch_us(ts) AS DOUBLE) / 1e6 END AS created_utc,
+         CASE WHEN i % 13 = 0 THEN 'n/a'
+              WHEN i % 11 = 0 THEN {_s('CAST(floor(value) AS BIGINT)')} || '.7'
+              ELSE {_s('CAST(floor(value) AS BIGINT)')} END AS score,
+         CASE WHEN i % 3 = 0 THEN NULL ELSE 'post ' || {_s('i')} END AS title,
+         text AS selftext, {_s('k')} AS num_comments
+  FROM raw),
+n AS (
+  SELECT *, CASE WHEN created_utc IS NULL OR created_utc = 0 OR isnan(created_utc)
+                 THEN {_NOW_S} ELSE created_utc END AS secs
+  FROM r WHERE id IS NOT NULL AND id <> '')
+SELECT coalesce(nullif(name, ''), id) AS event_id, 'post' AS event_type,
+       coalesce(subreddit, '') AS subreddit, nullif(author, '') AS author,
+       {iso("epoch_ms(CAST(trunc(secs * 1000.0) AS BIGINT))")} AS created_utc,
+       {_parse_int('score')} AS score,
+       '{_AS_OF_ISO}' AS ingested_at,
+       coalesce(title, '') || chr(10) || coalesce(selftext, '') AS text,
+       {_parse_int('num_comments')} AS num_comments
+FROM n"""
+
+_RT = f"""{POSTS},
+rt AS (
+  SELECT CASE WHEN ok THEN 'topic-' || subreddit END AS topic_id,
+         CASE WHEN ok THEN event_id END AS event_id,
+         CASE WHEN ok THEN {iso('created_at')} END AS created_utc,
+         CASE WHEN ok THEN text END AS text,
+         CASE WHEN ok THEN score END AS score,
+         CASE WHEN ok THEN num_comments END AS num_comments,
+         CASE WHEN ok THEN subreddit END AS subreddit,
+         CASE WHEN ok THEN author END AS author,
+         CASE WHEN ok THEN engagement END AS engagement,
+         CASE WHEN ok THEN {iso('created_at')} END AS "timestamp",
+         CASE WHEN ok THEN 'matched_post' END AS event_type
+  FROM (SELECT *, num_comments <> 0 AS ok FROM posts))"""
+
+ORACLE["event_json_roundtrip"] = f"WITH {_RT}\nSELECT * FROM rt"
+
+ORACLE["event_time"] = f"""WITH {_RT},
+t AS (SELECT event_id, CASE WHEN score % 13 = 0 THEN 'not-a-date' ELSE "timestamp" END AS ts FROM rt)
+SELECT event_id, ts AS "timestamp",
+       {iso(f"coalesce(TRY_CAST(ts AS TIMESTAMP), {_ts(AS_OF)})")} AS event_ts
+FROM t"""
+
+_LEX = "SELECT * FROM (VALUES " + ", ".join(
+    "('{}', {}, {}, {})".format(w, "NULL" if p is None else f"CAST({p} AS DOUBLE)",
+                                f"CAST({i} AS DOUBLE)", "true" if n else "false")
+    for w, p, i, n in DEFAULT_LEXICON) + ") AS x(word, polarity, intensity, negation)"
+
+ORACLE["sentiment_lexicon"] = f"""WITH {POSTS},
+lex AS ({_LEX}),
+tk AS (
+  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+                               lambda t: t <> '') AS toks
+  FROM posts),
+ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
+tp AS (SELECT event_id, toks[i] AS tok, CASE WHEN i > 1 THEN toks[i - 1] END AS prev FROM ti),
+v AS (
+  SELECT tp.event_id,
+         lw.polarity * coalesce(lm.intensity, 1.0)
+           * CASE WHEN ln.word IS NOT NULL THEN {NEGATION_FACTOR} ELSE 1.0 END AS v
+  FROM tp JOIN lex lw ON lw.word = tp.tok AND lw.polarity IS NOT NULL
+          LEFT JOIN lex lm ON lm.word = tp.prev AND lm.polarity IS NULL
+          LEFT JOIN lex ln ON ln.word = tp.prev AND ln.negation),
+a AS (SELECT event_id, avg(v) AS m FROM v GROUP BY 1)
+SELECT p.event_id,
+       round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
+         AS sentiment_score
+FROM posts p LEFT JOIN a ON a.event_id = p.event_id"""
+
+_LOG = f"""pl AS (
+  SELECT event_type AS topic_id, {_s('user_id')} AS event_id, ts AS arrival_ts, event_id AS seq,
+         CAST(floor(value) AS INTEGER) AS score,
+         CASE WHEN {K} % 10 = 0 THEN NULL ELSE {K} END AS num_comments,
+         CASE WHEN value < 20 THEN NULL ELSE value / 100.0 END AS sentiment_score
+  FROM events)"""
+
+_ORD = "{'a': arrival_ts, 'b': seq}"
+ORACLE["current_posts_merge"] = f"""WITH {_LOG}
+SELECT topic_id, event_id,
+       arg_max(score, {_ORD}) FILTER (WHERE score IS NOT NULL) AS score,
+       arg_max(num_comments, {_ORD}) FILTER (WHERE num_comments IS NOT NULL) AS num_comments,
+       round(arg_max(sentiment_score, {_ORD}) FILTER (WHERE sentiment_score IS NOT NULL), 6)
+         AS sentiment_score,
+       {iso('max(arrival_ts)')} AS last_seen, count(*) AS versions
+FROM pl GROUP BY topic_id, event_id"""
+
+ORACLE["latest_rows"] = f"""WITH {_LOG},
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, event_id
+                                   ORDER BY arrival_ts DESC, seq DESC) AS rn FROM pl)
+SELECT topic_id, event_id, {iso('arrival_ts')} AS arrival_ts, seq, score, num_comments,
+       round(sentiment_score, 6) AS sentiment_score
+FROM r WHERE rn = 1"""

@@ -80,7 +80,7 @@ def post_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor("value").cast("int").alias("score"),
         F.when(k % 10 == 0, F.lit(None).cast("int")).otherwise(k).alias("num_comments"),
         F.when(F.col("value") < 20, F.lit(None).cast("double"))
-         .otherwise(F.round(F.col("value") / 100.0, 2)).alias("sentiment_score"),
+         .otherwise(F.col("value") / 100.0).alias("sentiment_score"),
     )
 
 
@@ -105,9 +105,9 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .when(i % 11 == 0, F.concat(F.floor("value").cast("string"), F.lit(".7")))
                   .otherwise(F.floor("value").cast("string")))
     data = F.struct(
-        F.when(i % 7 == 0, null_s).otherwise(F.conv(i.cast("string"), 10, 36)).alias("id"),
+        F.when(i % 7 == 0, null_s).otherwise(F.lower(F.hex(i))).alias("id"),
         F.when((i % 5 == 0) | (i % 7 == 0), null_s)
-         .otherwise(F.concat(F.lit("t3_"), F.conv(i.cast("string"), 10, 36))).alias("name"),
+         .otherwise(F.concat(F.lit("t3_"), F.lower(F.hex(i)))).alias("name"),
         F.col("source").alias("subreddit"),
         F.when(i % 4 == 0, null_s)
          .otherwise(F.concat(F.lit("u_"), F.col("user_id").cast("string"))).alias("author"),
