@@ -35,5 +35,5 @@ def backfill_progress(oldest_seen: Column, as_of: _dt.datetime,
     now_s = F.lit(int(as_of.replace(tzinfo=_dt.timezone.utc).timestamp()))
     cut_s = int(cutoff_ts.replace(tzinfo=_dt.timezone.utc).timestamp())
     total = now_s - F.lit(cut_s)
-    elapsed = now_s - F.unix_seconds(oldest_seen)
+    elapsed = now_s - F.unix_micros(oldest_seen) / F.lit(1e6)
     return js_round(clamp(elapsed / total * F.lit(100.0), 0, 100)).cast("int")

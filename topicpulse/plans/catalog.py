@@ -272,3 +272,90 @@ def current_posts_merge(spark, sf_dir):
 @register("latest_rows")
 def latest_rows(spark, sf_dir):
     return present(ST.latest_rows(fx.post_log(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- phase 6
+import os as _os  # noqa: E402
+
+from topicpulse.session import scratch_dir  # noqa: E402
+from topicpulse.streaming import backfill as BF  # noqa: E402
+from topicpulse.streaming import enrich as EN  # noqa: E402
+from topicpulse.streaming import upsert as UP  # noqa: E402
+
+_TS_OPTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+F4_IDS = [t for t, _ in fx.F4_TOPICS]
+
+
+@register("stream_enrich")
+def stream_enrich(spark, sf_dir):
+    base = scratch_dir(spark, "enrich")
+    src, out = _os.path.join(base, "in"), _os.path.join(base, "out")
+    _wire_events(spark, sf_dir).write.text(src)
+    q = EN.enrich_stream(spark, src, out, _os.path.join(base, "ckpt"),
+                         lexicon=SE.default_lexicon(spark),
+                         source_options={"maxFilesPerTrigger": 4})
+    q.awaitTermination()
+    e = EN.read_enriched(spark.read.text(out))
+    return present(e.select("event_id", "topic_id", "sentiment_score"))
+
+
+_LOG_DDL = ("topic_id string, event_id string, arrival_ts timestamp, seq long, score int, "
+            "num_comments int, sentiment_score double")
+
+
+@register("stream_upsert")
+def stream_upsert(spark, sf_dir):
+    base = scratch_dir(spark, "upsert")
+    src, log = _os.path.join(base, "in"), _os.path.join(base, "log")
+    pl = fx.post_log(spark, sf_dir)
+    (pl.repartitionByRange(4, "seq")
+       .select(F.to_json(F.struct(*pl.columns), _TS_OPTS).alias("value"))
+       .write.text(src))
+    stream = (spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(src)
+                   .select(F.from_json("value", _LOG_DDL, _TS_OPTS).alias("e")).select("e.*"))
+    UP.upsert_stream(stream, log, _os.path.join(base, "ckpt")).awaitTermination()
+    cur = UP.current_view(spark, log, order_cols=("arrival_ts", "seq"),
+                          value_cols=["score", "num_comments", "sentiment_score"])
+    return present(cur)
+
+
+def _task_values(spark, sf_dir):
+    ev = fx.read_events(spark, sf_dir)
+    ids = F.array(*[F.lit(t) for t in F4_IDS + ["ghost-topic"]])
+    tid = F.element_at(ids, (F.col("event_id") % len(F4_IDS + ["ghost-topic"]) + 1).cast("int"))
+    return ev.select(F.concat(F.lit('{"topic_id":"'), tid,
+                              F.lit('","subreddits":["src1"]}')).alias("value"),
+                     F.col("event_id").alias("seq"))
+
+
+@register("backfill_run")
+def backfill_run(spark, sf_dir):
+    base = scratch_dir(spark, "backfill")
+    src, out = _os.path.join(base, "tasks"), _os.path.join(base, "out")
+    _task_values(spark, sf_dir).repartitionByRange(3, "seq").select("value").write.text(src)
+    q = BF.run_backfill(spark, src, fx.topics(spark, ""), fx.posts(spark, sf_dir), AS_OF, out,
+                        _os.path.join(base, "ckpt"), source_options={"maxFilesPerTrigger": 1})
+    q.awaitTermination()
+    res = spark.read.option("basePath", out).parquet(out)
+    return present(res.select("topic_id", "event_id", "created_at").distinct())
+
+
+@register("backfill_progress")
+def backfill_progress(spark, sf_dir):
+    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""),
+                       cutoff=_cutoff(AS_OF, "backfill"), strategy="narrow")
+    return present(BF.backfill_progress(m, AS_OF))
+
+
+@register("topic_status")
+def topic_status(spark, sf_dir):
+    ev = fx.read_events(spark, sf_dir)
+    ids = F.array(*[F.lit(t) for t in F4_IDS])
+    i = F.col("event_id")
+    events = ev.select(
+        F.element_at(ids, (i % len(F4_IDS) + 1).cast("int")).alias("topic_id"),
+        F.when(i % 3 == 0, F.lit("PENDING")).when(i % 3 == 2, F.lit("COMPLETED"))
+         .alias("status"),
+        F.when(i % 3 == 1, F.col("value")).alias("percentage"),
+        i.alias("seq"))
+    return present(BF.status_of(events))

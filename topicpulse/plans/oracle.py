@@ -495,3 +495,55 @@ r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, event_id
 SELECT topic_id, event_id, {iso('arrival_ts')} AS arrival_ts, seq, score, num_comments,
        round(sentiment_score, 6) AS sentiment_score
 FROM r WHERE rn = 1"""
+
+
+# ---------------------------------------------------------------- phase 6
+ORACLE["stream_enrich"] = f"""WITH {_RT},
+lex AS ({_LEX}),
+tk AS (
+  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+                               lambda t: t <> '') AS toks
+  FROM rt WHERE event_id IS NOT NULL),
+ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
+tp AS (SELECT event_id, toks[i] AS tok, CASE WHEN i > 1 THEN toks[i - 1] END AS prev FROM ti),
+v AS (
+  SELECT tp.event_id,
+         lw.polarity * coalesce(lm.intensity, 1.0)
+           * CASE WHEN ln.word IS NOT NULL THEN {NEGATION_FACTOR} ELSE 1.0 END AS v
+  FROM tp JOIN lex lw ON lw.word = tp.tok AND lw.polarity IS NOT NULL
+          LEFT JOIN lex lm ON lm.word = tp.prev AND lm.polarity IS NULL
+          LEFT JOIN lex ln ON ln.word = tp.prev AND ln.negation),
+a AS (SELECT event_id, avg(v) AS m FROM v GROUP BY 1)
+SELECT rt.event_id, rt.topic_id,
+       round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
+         AS sentiment_score
+FROM rt LEFT JOIN a ON a.event_id = rt.event_id"""
+
+ORACLE["stream_upsert"] = ORACLE["current_posts_merge"]
+
+_BF_CUT = _cutoff(AS_OF, "backfill")
+ORACLE["backfill_run"] = (_match_sql([], _BF_CUT)
+                          + f"\nSELECT DISTINCT topic_id, event_id, {iso('created_at')} AS created_at FROM m")
+
+_CUT_S = float(_BF_CUT.replace(tzinfo=_dt.timezone.utc).timestamp())
+ORACLE["backfill_progress"] = _match_sql([], _BF_CUT) + f""",
+o AS (SELECT topic_id, min(created_at) AS oldest FROM m GROUP BY 1)
+SELECT topic_id, {iso('oldest')} AS oldest_seen,
+       CAST(floor(least(greatest(({_NOW_S} - epoch_us(oldest) / 1e6)
+                                 / ({_NOW_S} - {_CUT_S}) * 100.0, 0), 100) + 0.5) AS INTEGER)
+         AS percentage
+FROM o"""
+
+_F4_LIST = "[" + ", ".join(f"'{t}'" for t, _ in F4_TOPICS) + "]"
+ORACLE["topic_status"] = f"""WITH se AS (
+  SELECT {_F4_LIST}[CAST(event_id % {len(F4_TOPICS)} + 1 AS INTEGER)] AS topic_id,
+         CASE WHEN event_id % 3 = 0 THEN 'PENDING' WHEN event_id % 3 = 2 THEN 'COMPLETED' END
+           AS status,
+         CASE WHEN event_id % 3 = 1 THEN value END AS percentage,
+         event_id AS seq
+  FROM events)
+SELECT topic_id,
+       arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status,
+       round(arg_max(percentage, seq) FILTER (WHERE percentage IS NOT NULL), 6) AS percentage,
+       count(*) AS versions
+FROM se GROUP BY topic_id"""
