@@ -359,3 +359,35 @@ def topic_status(spark, sf_dir):
         F.when(i % 3 == 1, F.col("value")).alias("percentage"),
         i.alias("seq"))
     return present(BF.status_of(events))
+
+
+# ---------------------------------------------------------------- phase 7
+from topicpulse.operators import extras as EX  # noqa: E402
+
+# Stored filters of the filtered-topic fixture.
+F4_FILTERS = {"cnf-two": '{"lang":"en"}', "phrase": '{"text":"Best"}',
+              "flat": '{"lang":"FR","author":"u_7"}'}
+
+
+def filtered_topics(spark):
+    t = fx.topics(spark, "")
+    m = F.create_map(*[x for kv in F4_FILTERS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    return t.withColumn("filters_json", F.coalesce(F.element_at(m, F.col("id")), F.lit("{}")))
+
+
+@register("sentiment_split")
+def sentiment_split(spark, sf_dir):
+    return present(EX.sentiment_split(fx.topic_posts(spark, sf_dir)))
+
+
+@register("top_keywords")
+def top_keywords(spark, sf_dir):
+    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="inverted")
+    return present(EX.top_keywords(m, 5))
+
+
+@register("topic_filters")
+def topic_filters(spark, sf_dir):
+    t = filtered_topics(spark)
+    m = MT.match_posts(fx.posts(spark, sf_dir), t, strategy="narrow")
+    return _match_out(EX.apply_topic_filters(m, t))

@@ -547,3 +547,45 @@ SELECT topic_id,
        round(arg_max(percentage, seq) FILTER (WHERE percentage IS NOT NULL), 6) AS percentage,
        count(*) AS versions
 FROM se GROUP BY topic_id"""
+
+
+# ---------------------------------------------------------------- phase 7
+ORACLE["sentiment_split"] = f"""WITH {TOPIC_POSTS},
+d AS (
+  SELECT topic_id, date_trunc('day', created_at) AS day,
+         count(*) FILTER (WHERE sentiment_score >= 0.05) AS pos,
+         count(*) FILTER (WHERE sentiment_score <= -0.05) AS neg, count(*) AS n
+  FROM tp GROUP BY 1, 2),
+g AS (
+  SELECT topic_id, '1d' AS window_type, day AS start, pos, neg, n FROM d
+  UNION ALL SELECT topic_id, '1w', date_trunc('week', day), pos, neg, n FROM d
+  UNION ALL SELECT topic_id, '1m', date_trunc('month', day), pos, neg, n FROM d)
+SELECT topic_id, window_type, {iso('start')} AS start, CAST(sum(pos) AS BIGINT) AS positive,
+       CAST(sum(neg) AS BIGINT) AS negative, CAST(sum(n) - sum(pos) - sum(neg) AS BIGINT) AS neutral
+FROM g GROUP BY topic_id, window_type, start"""
+
+ORACLE["top_keywords"] = _match_sql([]) + f""",
+mt AS (SELECT m.topic_id, m.event_id, m.created_at, p.text FROM m JOIN posts p USING (event_id)),
+tk AS (
+  SELECT topic_id, date_trunc('day', created_at) AS day,
+         unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+                                          lambda t: t <> ''))) AS key
+  FROM mt),
+d AS (SELECT topic_id, day, key, count(*) AS c FROM tk GROUP BY 1, 2, 3),
+g AS (
+  SELECT topic_id, '1d' AS window_type, day AS start, key, c FROM d
+  UNION ALL SELECT topic_id, '1w', date_trunc('week', day), key, c FROM d
+  UNION ALL SELECT topic_id, '1m', date_trunc('month', day), key, c FROM d),
+b AS (SELECT topic_id, window_type, start, key, sum(c) AS doc_count FROM g GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, window_type, start
+                                   ORDER BY doc_count DESC, key) AS rank FROM b)
+SELECT topic_id, window_type, {iso('start')} AS start, key, CAST(doc_count AS BIGINT) AS doc_count,
+       CAST(rank AS INTEGER) AS rank
+FROM r WHERE rank <= 5"""
+
+ORACLE["topic_filters"] = _match_sql([]) + f""",
+mt AS (SELECT m.*, p.text, p.lang, p.author FROM m JOIN posts p USING (event_id))
+SELECT topic_id, event_id, subreddit, {iso('created_at')} AS created_at, engagement FROM mt
+WHERE (topic_id = 'cnf-two' AND lower(lang) = 'en')
+   OR (topic_id = 'phrase' AND contains(lower(text), 'best'))
+   OR (topic_id = 'flat' AND lower(lang) = 'fr' AND author = 'u_7')"""
