@@ -391,3 +391,45 @@ def topic_filters(spark, sf_dir):
     t = filtered_topics(spark)
     m = MT.match_posts(fx.posts(spark, sf_dir), t, strategy="narrow")
     return _match_out(EX.apply_topic_filters(m, t))
+
+
+# ---------------------------------------------------------------- remaining inventory
+from topicpulse.sources.posts import read_raw_posts  # noqa: E402
+from topicpulse.streaming import sync as SY  # noqa: E402
+
+PICKED = ["click", "view"]
+
+
+@register("kpis_picked")
+def kpis_picked(spark, sf_dir):
+    return present(D.kpis(fx.topic_posts(spark, sf_dir), AS_OF, topics=PICKED))
+
+
+@register("backfill_tasks")
+def backfill_tasks(spark, sf_dir):
+    topics = TO.with_topic_ids(fx.topic_catalog(spark, sf_dir))
+    return TO.backfill_tasks(topics.select("id"), SRC_0_9 + ", ,src3 ")
+
+
+@register("raw_feed_json")
+def raw_feed_json(spark, sf_dir):
+    """S9 + P3: the raw feed stored as JSON files, read back and normalised."""
+    path = _os.path.join(scratch_dir(spark, "rawfeed"), "feed")
+    fx.raw_feed(spark, sf_dir).write.json(path)
+    n = NO.normalize_posts(read_raw_posts(spark, path), AS_OF)
+    return present(n.drop("created_at"))
+
+
+@register("sync_resend")
+def sync_resend(spark, sf_dir):
+    """Two re-send cycles an hour apart; the second carries fresh scores."""
+    import datetime as _dt2
+    log = _os.path.join(scratch_dir(spark, "sync"), "log")
+    posts = fx.posts(spark, sf_dir)
+    topics = fx.topics(spark, "")
+    SY.sync_cycle(posts, topics, AS_OF - _dt2.timedelta(hours=1), log, 0, strategy="narrow")
+    fresh = posts.withColumn("score", F.col("score") + F.lit(1))
+    SY.sync_cycle(fresh, topics, AS_OF, log, 1, strategy="narrow")
+    cur = UP.current_view(spark, log, value_cols=["score", "engagement", "created_at"])
+    return present(cur.select("topic_id", "event_id", "score", "engagement", "created_at",
+                              "versions"))

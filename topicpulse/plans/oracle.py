@@ -589,3 +589,29 @@ SELECT topic_id, event_id, subreddit, {iso('created_at')} AS created_at, engagem
 WHERE (topic_id = 'cnf-two' AND lower(lang) = 'en')
    OR (topic_id = 'phrase' AND contains(lower(text), 'best'))
    OR (topic_id = 'flat' AND lower(lang) = 'fr' AND author = 'u_7')"""
+
+
+# ---------------------------------------------------------------- remaining inventory
+ORACLE["kpis_picked"] = f"""WITH {_DASH_BASE}
+SELECT CASE WHEN count(*) = 0 THEN NULL ELSE count(*) END AS matched_posts,
+       round(avg(sentiment_score), 6) AS avg_sentiment,
+       CAST(sum(engagement) AS BIGINT) AS engagement
+FROM base WHERE topic_id IN ('click', 'view')"""
+
+_ALLOWED_TASK = "[" + ", ".join(f"'{s}'" for s in _SRC09 + ["src3"]) + "]"
+ORACLE["backfill_tasks"] = f"""WITH {CATALOG}
+SELECT '{{"topic_id":"' || id || '","subreddits":' || to_json({_ALLOWED_TASK}) || '}}' AS value
+FROM slugged"""
+
+ORACLE["raw_feed_json"] = ORACLE["normalize_posts"]
+
+_C0 = _cutoff(AS_OF - _dt.timedelta(hours=1), "sync")
+_C1 = _cutoff(AS_OF, "sync")
+ORACLE["sync_resend"] = _match_sql([], _C0) + f""",
+j AS (SELECT m.topic_id, m.event_id, m.created_at, p.score, p.num_comments,
+             m.created_at >= {_ts(_C1)} AS fresh
+      FROM m JOIN posts p ON p.event_id = m.event_id)
+SELECT topic_id, event_id, score + CASE WHEN fresh THEN 1 ELSE 0 END AS score,
+       score + CASE WHEN fresh THEN 1 ELSE 0 END + num_comments + 1 AS engagement,
+       {iso('created_at')} AS created_at, CAST(CASE WHEN fresh THEN 2 ELSE 1 END AS BIGINT) AS versions
+FROM j"""
