@@ -20,9 +20,10 @@ from topicpulse.session import get_session  # noqa: E402
 HEADLINE = [
     "report_topic", "report_all_topics", "bucket_metrics",
     "timeline_1w_3m", "summary_this_month", "kpis", "daily_sentiment",
-    "match_cnf_narrow", "match_cnf_inverted", "limit_per_topic",
-    "normalize_posts", "sentiment_lexicon", "current_posts_merge", "latest_rows",
-    "top_keywords", "stream_enrich",
+    "match_cnf_narrow", "match_cnf_inverted", "match_since_48h", "limit_per_topic",
+    "normalize_posts", "event_json_roundtrip", "sentiment_lexicon",
+    "current_posts_merge", "latest_rows", "append_topics", "tasks_with_topic",
+    "top_keywords", "topic_filters", "stream_enrich", "stream_upsert",
 ]
 
 

@@ -94,6 +94,25 @@ def _sub_ok(subs: list[str] | Column, sub_col: Column) -> Column:
     return F.lower(sub_col).isin(list(subs))
 
 
+def _group_condition(terms: list[str], lt: Column, toks: Column) -> Column:
+    """Exact whole-token test for one OR group.
+
+    A single-word term matches exactly when it is one of the text's maximal
+    alphanumeric runs, so those terms become one hash-based
+    ``arrays_overlap`` against the row's token array.  Phrases and punctuated
+    terms keep the boundary regex, behind a literal ``instr`` prefilter so the
+    regex only scans rows that contain the term at all.
+    """
+    simple = [t for t in terms if _SIMPLE.match(t)]
+    other = [t for t in terms if not _SIMPLE.match(t)]
+    conds = []
+    if simple:
+        conds.append(F.arrays_overlap(toks, F.array(*[F.lit(t) for t in simple])))
+    for t in other:
+        conds.append((F.instr(lt, t) > 0) & lt.rlike(group_regex([t])))
+    return reduce(lambda a, b: a | b, conds)
+
+
 def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
                  ts_col: str = "created_at") -> DataFrame:
     t = prepare_topics(topics)
@@ -102,20 +121,25 @@ def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | Non
         raise ValueError("topic catalogue too large for the narrow plan; use 'inverted'")
     if sum(len(g) for r in rows for g in (r.cnf or [])) > NARROW_MAX_TERMS:
         raise ValueError("too many terms for the narrow plan; use 'inverted'")
-    lt = F.lower(F.col("text"))
+    # Lower-cased text and its token array are projected once and referenced
+    # by every group test (Catalyst keeps a multiply-used, non-cheap alias).
+    lt, toks = F.col("_tp_lt"), F.col("_tp_toks")
     cases = []
     for r in rows:
         cnf = r.cnf
         if not cnf or any(len(g) == 0 for g in cnf):
             continue  # no rules / empty group: never matches
-        cond = reduce(lambda a, b: a & b, [lt.rlike(group_regex(g)) for g in cnf])
+        cond = reduce(lambda a, b: a & b, [_group_condition(g, lt, toks) for g in cnf])
         cond = cond & _sub_ok(r.subs, F.col("subreddit"))
         cases.append(F.when(cond, F.lit(r.topic_id)))
     p = _since(posts, cutoff, ts_col)
     if not cases:
         return p.withColumn("topic_id", F.lit(None).cast("string")).where(F.lit(False))
+    cols = p.columns
+    staged = (p.withColumn("_tp_lt", F.lower(F.col("text")))
+               .withColumn("_tp_toks", F.split(F.col("_tp_lt"), "[^a-z0-9]+")))
     hits = F.filter(F.array(*cases), lambda x: x.isNotNull())
-    return p.withColumn("topic_id", F.explode(hits))
+    return staged.select(*cols, F.explode(hits).alias("topic_id"))
 
 
 def term_table(topics: DataFrame) -> DataFrame:

@@ -44,11 +44,18 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _k(F.col("props")).alias("num_comments"),
     )
     d = docs.select("doc_id", "text", "lang", F.col("source").alias("subreddit"))
+    # The feed is laid out by its record key, like the reference's stream
+    # (messages keyed by event_id).  A stored post table gets the same layout
+    # from bucketBy(n, "event_id") without this shuffle; every per-post
+    # operator then runs with full parallelism, and the inverted matcher's
+    # division and join-back (both keyed by event_id) need no exchange.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (ev.join(d, "doc_id", "inner")
               .withColumn("engagement",
                           F.col("score") + F.col("num_comments") + F.lit(1))
               .select("event_id", "subreddit", "author", "created_at", "text",
-                      "lang", "score", "num_comments", "engagement"))
+                      "lang", "score", "num_comments", "engagement")
+              .repartition(n, "event_id"))
 
 
 def topic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
