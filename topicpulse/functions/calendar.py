@@ -83,6 +83,18 @@ def range_bounds(range_name: str, as_of: _dt.datetime) -> tuple[_dt.datetime, _d
     return day0, day0 + _dt.timedelta(days=1)
 
 
+def ts_lit(d: _dt.datetime) -> Column:
+    """Timestamp literal pinned to UTC.
+
+    A naive ``datetime`` passed to ``F.lit`` is converted with the Python
+    driver's local zone; naive values here always mean UTC, so they are
+    tagged before conversion and the plan is the same on any driver host.
+    """
+    if d.tzinfo is None:
+        d = d.replace(tzinfo=_dt.timezone.utc)
+    return F.lit(d)
+
+
 def add_days(c: Column, days: int) -> Column:
     return c + F.make_interval(days=F.lit(days))
 

@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicpulse.functions.calendar import _add_months
+from topicpulse.functions.calendar import _add_months, ts_lit
 
 
 def dashboard_range(as_of: _dt.datetime) -> tuple[_dt.datetime, _dt.datetime]:
@@ -26,7 +26,7 @@ def dashboard_base(df: DataFrame, as_of: _dt.datetime, topics: list[str] | None
     """P12 + P13 + P14 (all pushed down to the scan when they can be)."""
     lo, hi = dashboard_range(as_of)
     out = df.where(F.col("engagement").isNotNull() & F.col("sentiment_score").isNotNull()
-                   & F.col(ts_col).between(F.lit(lo), F.lit(hi)))
+                   & F.col(ts_col).between(ts_lit(lo), ts_lit(hi)))
     if topics is not None:
         out = out.where(F.col("topic_id").isin(list(topics)))
     return out
@@ -63,7 +63,7 @@ def daily_panel(df: DataFrame, as_of: _dt.datetime, metric: str,
     per_day = b.groupBy(day).agg(agg)
     spark = df.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(
-        F.date_trunc("day", F.lit(lo)), F.date_trunc("day", F.lit(hi)),
+        F.date_trunc("day", ts_lit(lo)), F.date_trunc("day", ts_lit(hi)),
         F.expr("INTERVAL 1 DAY"))).alias("day"))
     # Both sides hold at most one row per calendar day of the range.
     out = days.join(per_day, "day", "left")

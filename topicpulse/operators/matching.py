@@ -35,6 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicpulse.functions.calendar import ts_lit
 from topicpulse.functions.rules import parse_csv, parse_keywords
 
 # Tunables (not reference values).
@@ -83,7 +84,7 @@ def _since(posts: DataFrame, cutoff: _dt.datetime | None, ts_col: str) -> DataFr
     """Keep ``created >= cutoff`` (an older post is strictly before it)."""
     if cutoff is None:
         return posts
-    return posts.where(F.col(ts_col) >= F.lit(cutoff))
+    return posts.where(F.col(ts_col) >= ts_lit(cutoff))
 
 
 def _sub_ok(subs: list[str] | Column, sub_col: Column) -> Column:

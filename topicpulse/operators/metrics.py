@@ -19,7 +19,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicpulse.functions.calendar import BUCKET_DAYS
+from topicpulse.functions.calendar import BUCKET_DAYS, ts_lit
 
 # Report horizon (now-2y/d … now+1d/d) and grain order.
 HORIZON_BACK_YEARS = 2
@@ -83,8 +83,8 @@ def spine(bounds: DataFrame, as_of: _dt.datetime) -> DataFrame:
     topic without posts).  Bounds extend the horizon, they never cut data.
     """
     lo_ext, hi_ext = horizon(as_of)
-    lo = F.least(F.col("dmin"), F.lit(lo_ext))
-    hi = F.greatest(F.col("dmax"), F.lit(hi_ext))
+    lo = F.least(F.col("dmin"), ts_lit(lo_ext))
+    hi = F.greatest(F.col("dmax"), ts_lit(hi_ext))
     seqs = F.array(*[
         F.struct(F.lit(wt).alias("window_type"),
                  F.sequence(F.date_trunc(_TRUNC[wt], lo), F.date_trunc(_TRUNC[wt], hi),
@@ -137,8 +137,8 @@ def report(posts: DataFrame, as_of: _dt.datetime, topic_id: str | None = None,
                 .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     wr = Window.partitionBy("topic_id").orderBy(F.col("day").asc_nulls_last())
     lo_ext, hi_ext = horizon(as_of)
-    lo = F.least(F.min("day").over(wt), F.lit(lo_ext))
-    hi = F.greatest(F.max("day").over(wt), F.lit(hi_ext))
+    lo = F.least(F.min("day").over(wt), ts_lit(lo_ext))
+    hi = F.greatest(F.max("day").over(wt), ts_lit(hi_ext))
 
     def entry(wtype, start, m, e, s):
         return F.struct(F.lit(wtype).alias("window_type"), start.alias("start"),

@@ -19,7 +19,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicpulse.functions.calendar import range_bounds, resolve_range
+from topicpulse.functions.calendar import range_bounds, resolve_range, ts_lit
 from topicpulse.functions.scalars import sentiment_label
 
 _STEP = {"1d": "INTERVAL 1 DAY", "1w": "INTERVAL 7 DAYS", "1m": "INTERVAL 1 MONTH"}
@@ -30,7 +30,7 @@ def _bar_of(start: Column, window_type: str, range_start: _dt.datetime) -> Colum
         return F.date_trunc("day", start)
     if window_type == "1m":
         return F.date_trunc("month", start)
-    rs = F.lit(range_start)
+    rs = ts_lit(range_start)
     days = F.floor(F.datediff(start, rs) / F.lit(7)).cast("int") * F.lit(7)
     return rs + F.make_interval(days=days)
 
@@ -38,8 +38,8 @@ def _bar_of(start: Column, window_type: str, range_start: _dt.datetime) -> Colum
 def bars(topic_ids: DataFrame, window_type: str, range_start: _dt.datetime,
          range_end: _dt.datetime) -> DataFrame:
     """Bar starts per topic, ``range_start`` stepping while ``< range_end``."""
-    last = F.lit(range_end) - F.expr("INTERVAL 1 MICROSECOND")
-    seq = F.sequence(F.lit(range_start), last, F.expr(_STEP[window_type]))
+    last = ts_lit(range_end) - F.expr("INTERVAL 1 MICROSECOND")
+    seq = F.sequence(ts_lit(range_start), last, F.expr(_STEP[window_type]))
     return topic_ids.select("topic_id", F.explode(seq).alias("bar"))
 
 
@@ -57,10 +57,10 @@ def timeline(report_df: DataFrame, window_type: str, range_name: str | None,
     rows = report_df.where(F.col("window_type") == F.lit(window_type))
     metric = (rows.select("topic_id", _bar_of(F.col("start"), window_type, r_start).alias("bar"),
                           "start", "mentions", "engagement", "sentiment", "growth")
-                  .where((F.col("bar") >= F.lit(r_start)) & (F.col("bar") < F.lit(r_end))))
+                  .where((F.col("bar") >= ts_lit(r_start)) & (F.col("bar") < ts_lit(r_end))))
     b = bars(report_df.select("topic_id").distinct(), window_type, r_start, r_end)
     if clip_to_now:
-        b = b.where(F.col("bar") <= F.lit(as_of))
+        b = b.where(F.col("bar") <= ts_lit(as_of))
     j = b.join(metric, ["topic_id", "bar"], "left")
     return j.select(
         "topic_id",
@@ -83,7 +83,7 @@ def summary(report_df: DataFrame, range_name: str, as_of: _dt.datetime,
     r_start, _ = range_bounds(range_name, as_of)
     lo = r_start - _dt.timedelta(seconds=1)
     d = report_df.where((F.col("window_type") == "1d")
-                        & (F.col("start") > F.lit(lo)) & (F.col("start") < F.lit(as_of)))
+                        & (F.col("start") > ts_lit(lo)) & (F.col("start") < ts_lit(as_of)))
     agg = (d.groupBy("topic_id")
              .agg(F.sum("mentions").alias("mentions"),
                   F.sum("engagement").alias("engagement"),
