@@ -433,3 +433,50 @@ def sync_resend(spark, sf_dir):
     cur = UP.current_view(spark, log, value_cols=["score", "engagement", "created_at"])
     return present(cur.select("topic_id", "event_id", "score", "engagement", "created_at",
                               "versions"))
+
+
+# ---------------------------------------------------------------- more ranges, S6, U2
+@register("timeline_1w_this_month")
+def timeline_1w_this_month(spark, sf_dir):
+    return present(TL.timeline(_report_all(spark, sf_dir), "1w", "this_month", AS_OF))
+
+
+@register("timeline_1m_6m")
+def timeline_1m_6m(spark, sf_dir):
+    return present(TL.timeline(_report_all(spark, sf_dir), "1m", "6m", AS_OF))
+
+
+@register("summary_this_week")
+def summary_this_week(spark, sf_dir):
+    return present(TL.summary(_report_all(spark, sf_dir), "this_week", AS_OF))
+
+
+@register("topic_by_id")
+def topic_by_id(spark, sf_dir):
+    t = TO.with_topic_ids(fx.topic_catalog(spark, sf_dir))
+    return present(TO.topic_by_id(t, "topic-40").select("seq", "id", "description", "keywords",
+                                                         "subreddits"))
+
+
+def _lexicon_model():
+    """A pandas re-implementation of the default lexicon without modifiers."""
+    import re
+
+    import pandas as pd  # noqa: F401
+
+    from topicpulse.functions.sentiment import DEFAULT_LEXICON
+    lex = {w: p for w, p, _, _ in DEFAULT_LEXICON if p is not None}
+    split = re.compile(r"[^a-z0-9]+")
+
+    def score(texts):
+        def one(t):
+            vals = [lex[w] for w in split.split(t.lower()) if w in lex]
+            return sum(vals) / len(vals) if vals else 0.0
+        return texts.map(one)
+    return score
+
+
+@register("sentiment_model")
+def sentiment_model(spark, sf_dir):
+    s = SE.with_model_sentiment(fx.posts(spark, sf_dir), _lexicon_model)
+    return present(s.select("event_id", "sentiment_score"))

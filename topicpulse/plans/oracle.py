@@ -615,3 +615,23 @@ SELECT topic_id, event_id, score + CASE WHEN fresh THEN 1 ELSE 0 END AS score,
        score + CASE WHEN fresh THEN 1 ELSE 0 END + num_comments + 1 AS engagement,
        {iso('created_at')} AS created_at, CAST(CASE WHEN fresh THEN 2 ELSE 1 END AS BIGINT) AS versions
 FROM j"""
+
+
+# ---------------------------------------------------------------- more ranges, S6, U2
+ORACLE["timeline_1w_this_month"] = _timeline_sql("1w", "this_month")
+ORACLE["timeline_1m_6m"] = _timeline_sql("1m", "6m")
+_WS, _ = range_bounds("this_week", AS_OF)
+ORACLE["summary_this_week"] = ORACLE["summary_this_month"].replace(
+    _ts(_MS - _dt.timedelta(seconds=1)), _ts(_WS - _dt.timedelta(seconds=1)))
+ORACLE["topic_by_id"] = f"""WITH {CATALOG}
+SELECT seq, id, description, keywords, subreddits FROM slugged WHERE id = 'topic-40'"""
+
+ORACLE["sentiment_model"] = f"""WITH {POSTS},
+lex AS ({_LEX}),
+tk AS (SELECT event_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS tok FROM posts),
+a AS (SELECT tk.event_id, avg(lex.polarity) AS m FROM tk JOIN lex ON lex.word = tk.tok
+      WHERE lex.polarity IS NOT NULL GROUP BY 1)
+SELECT p.event_id,
+       round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
+         AS sentiment_score
+FROM posts p LEFT JOIN a ON a.event_id = p.event_id"""
