@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only behind a counted bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Tunable: rows of a catalogue-like side that may be broadcast.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``.
+
+    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the
+    join stays a shuffle join, where AQE's skew-join handling splits a hot
+    key's partition instead of sending it to one task.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
