@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicpulse.schemas import TOPIC_TABLE_SCHEMA
-from topicpulse.sources.tables import read_events, read_table
+from topicpulse.sources.tables import partitions_for, read_events, read_table, table_path
 
 # Fixed clock of every derived query (never the wall clock).
 AS_OF = _dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -49,7 +49,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # from bucketBy(n, "event_id") without this shuffle; every per-post
     # operator then runs with full parallelism, and the inverted matcher's
     # division and join-back (both keyed by event_id) need no exchange.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(spark, table_path(sf_dir, "events"), table_path(sf_dir, "documents"))
     return (ev.join(d, "doc_id", "inner")
               .withColumn("engagement",
                           F.col("score") + F.col("num_comments") + F.lit(1))
