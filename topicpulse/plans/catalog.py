@@ -462,8 +462,6 @@ def _lexicon_model():
     """A pandas re-implementation of the default lexicon without modifiers."""
     import re
 
-    import pandas as pd  # noqa: F401
-
     from topicpulse.functions.sentiment import DEFAULT_LEXICON
     lex = {w: p for w, p, _, _ in DEFAULT_LEXICON if p is not None}
     split = re.compile(r"[^a-z0-9]+")
