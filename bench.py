@@ -23,7 +23,7 @@ HEADLINE = [
     "match_cnf_narrow", "match_cnf_inverted", "match_since_48h", "limit_per_topic",
     "normalize_posts", "event_json_roundtrip", "sentiment_lexicon",
     "current_posts_merge", "latest_rows", "append_topics", "tasks_with_topic",
-    "top_keywords", "topic_filters", "stream_enrich", "stream_upsert",
+    "top_keywords", "topic_filters", "stream_enrich", "stream_upsert", "topic_trends",
 ]
 
 

@@ -478,3 +478,17 @@ def _lexicon_model():
 def sentiment_model(spark, sf_dir):
     s = SE.with_model_sentiment(fx.posts(spark, sf_dir), _lexicon_model)
     return present(s.select("event_id", "sentiment_score"))
+
+
+# ---------------------------------------------------------------- end to end
+@register("topic_trends")
+def topic_trends(spark, sf_dir):
+    """Posts → CNF match → engagement + lexicon sentiment → gap-filled report.
+
+    Every catalogue topic gets a series, with or without matches.
+    """
+    topics = fx.topics(spark, "")
+    matched = MT.match_posts(fx.posts(spark, sf_dir), topics, strategy="auto")
+    scored = SE.with_sentiment(matched, SE.default_lexicon(spark))
+    r = M.report(scored, AS_OF, topics=topics.select(F.col("id").alias("topic_id")))
+    return present(r)

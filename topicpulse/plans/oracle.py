@@ -41,10 +41,14 @@ tp AS (
 _LO, _HI = horizon(AS_OF)
 
 
-def report_ctes(where: str = "", extra_topic: str | None = None) -> str:
-    extra = (f" UNION ALL SELECT '{extra_topic}' AS topic_id, NULL::TIMESTAMP, NULL::TIMESTAMP"
-             if extra_topic else "")
-    return f"""{TOPIC_POSTS},
+def report_ctes(where: str = "", extra_topic: str | None = None,
+                source: str | None = None, extra_topics: list[str] | None = None) -> str:
+    """Report CTEs over a ``tp`` source (topic_id, created_at, engagement,
+    sentiment_score); ``extra_topics`` get a series even without posts."""
+    names = ([extra_topic] if extra_topic else []) + list(extra_topics or [])
+    extra = "".join(f" UNION ALL SELECT '{t}' AS topic_id, NULL::TIMESTAMP, NULL::TIMESTAMP"
+                    for t in names)
+    return f"""{source or TOPIC_POSTS},
 d AS (
   SELECT topic_id, date_trunc('day', created_at) AS day, count(*) AS n,
          sum(engagement) AS eng, sum(sentiment_score) AS sent
@@ -635,3 +639,31 @@ SELECT p.event_id,
        round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
          AS sentiment_score
 FROM posts p LEFT JOIN a ON a.event_id = p.event_id"""
+
+
+# ---------------------------------------------------------------- end to end
+_TRENDS_SRC = _match_sql([]).replace("WITH ", "", 1) + f""",
+lex AS ({_LEX}),
+tk AS (
+  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+                               lambda t: t <> '') AS toks
+  FROM posts),
+ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
+tpp AS (SELECT event_id, toks[i] AS tok, CASE WHEN i > 1 THEN toks[i - 1] END AS prev FROM ti),
+v AS (
+  SELECT tpp.event_id,
+         lw.polarity * coalesce(lm.intensity, 1.0)
+           * CASE WHEN ln.word IS NOT NULL THEN {NEGATION_FACTOR} ELSE 1.0 END AS v
+  FROM tpp JOIN lex lw ON lw.word = tpp.tok AND lw.polarity IS NOT NULL
+           LEFT JOIN lex lm ON lm.word = tpp.prev AND lm.polarity IS NULL
+           LEFT JOIN lex ln ON ln.word = tpp.prev AND ln.negation),
+a AS (SELECT event_id, avg(v) AS mm FROM v GROUP BY 1),
+tp AS (
+  SELECT m.topic_id, m.created_at, m.engagement,
+         CAST(CAST(greatest(least(coalesce(a.mm, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE)
+           AS sentiment_score
+  FROM m LEFT JOIN a ON a.event_id = m.event_id)"""
+
+ORACLE["topic_trends"] = ("WITH " + report_ctes(source=_TRENDS_SRC,
+                                                extra_topics=[t for t, _ in F4_TOPICS])
+                          + REPORT_SELECT)
