@@ -25,8 +25,14 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Add a query to the registry; calls run with the session zone at UTC."""
     def deco(fn: Query) -> Query:
-        REGISTRY[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = run
         return fn
     return deco
 
