@@ -107,3 +107,17 @@ def test_limit_per_topic_pages(spark):
     out = MT.limit_per_topic(m, 120).collect()
     assert len(out) == 200  # cap rounded up to whole pages of 100
     assert min(r.event_id for r in out) == "e050"
+
+
+def test_terms_without_letters_are_chunked_not_dropped(spark, monkeypatch):
+    monkeypatch.setattr(MT, "NARROW_MAX_TERMS", 1)
+    texts = [("p1", "wow !!! great", "a"), ("p2", "a + b", "a"), ("p3", "plain", "a"),
+             ("p4", "?? and !!!", "a")]
+    posts = spark.createDataFrame(texts, "event_id string, text string, subreddit string") \
+        .withColumn("created_at", F.lit(dt.datetime(2024, 1, 1)))
+    topics = [("bang", '[["!!!"]]', ""), ("plus", '[["+"],["a","zzz"]]', ""),
+              ("q", '[["??","!!!"],["and"]]', "")]
+    tdf = spark.createDataFrame(topics, TOPIC_DDL)
+    got = {(r.topic_id, r.event_id) for r in MT.match_inverted(posts, tdf).collect()}
+    assert got == _brute(texts, topics) == {("bang", "p1"), ("bang", "p4"), ("plus", "p2"),
+                                            ("q", "p4")}

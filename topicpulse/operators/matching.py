@@ -32,7 +32,7 @@ import datetime as _dt
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicpulse.functions.calendar import ts_lit
@@ -188,18 +188,23 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
 
     hit_cols = ["topic_id", key_col, "subreddit", "subs", "n_groups", "group_idx"]
     hits = verified.select(*hit_cols)
-    odd = unkeyed.limit(NARROW_MAX_TERMS + 1).collect()
-    if len(odd) > NARROW_MAX_TERMS:
-        raise ValueError("too many terms without a letter or digit")
-    if odd:
-        # Rare: a term with no letter or digit has no token to join on; it is
-        # tested as a literal regex per post (bounded by the check above).
+    # Rare: a term with no letter or digit has no token to join on.  Such
+    # terms are tested as literal regexes per post, in hash chunks of about
+    # NARROW_MAX_TERMS terms (each chunk is one more pass over the posts), so
+    # every term is handled exactly once and none is dropped.
+    n_odd = unkeyed.count()
+    n_chunks = max(1, -(-n_odd // NARROW_MAX_TERMS))
+    chunk_of = F.pmod(F.xxhash64("topic_id", "group_idx", "term"), F.lit(n_chunks))
+    for i in range(n_chunks if n_odd else 0):
+        chunk = unkeyed.where(chunk_of == i).collect()
+        if not chunk:
+            continue
         cases = [F.when(lt.rlike(group_regex([r.term])),
                         F.struct(F.lit(r.topic_id).alias("topic_id"),
-                                 F.array(*[F.lit(s) for s in r.subs]).cast("array<string>").alias("subs"),
+                                 F.array(*[F.lit(x) for x in r.subs]).cast("array<string>").alias("subs"),
                                  F.lit(r.n_groups).alias("n_groups"),
                                  F.lit(r.group_idx).alias("group_idx")))
-                 for r in odd]
+                 for r in chunk]
         extra = (p.select(key_col, "subreddit",
                           F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("h"))
                   .select("h.topic_id", key_col, "subreddit", "h.subs", "h.n_groups", "h.group_idx"))
@@ -233,7 +238,6 @@ def limit_per_topic(matched: DataFrame, max_limit: int, ts_col: str = "created_a
     Spark plans it with a WindowGroupLimit before the shuffle, so each map
     task only forwards its own top ``k`` rows per topic.
     """
-    from pyspark.sql import Window
     k = -(-max_limit // 100) * 100
     w = Window.partitionBy("topic_id").orderBy(F.col(ts_col).desc(), F.col("event_id"))
     return matched.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
