@@ -77,7 +77,7 @@ s AS (
          unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) FROM t),
 f AS (
   SELECT s.topic_id, s.window_type, CAST(s.start AS TIMESTAMP) AS start,
-         coalesce(b.n, 0) AS mentions, CAST(coalesce(b.eng, 0) AS BIGINT) AS engagement, b.sent
+         CAST(coalesce(b.n, 0) AS BIGINT) AS mentions, CAST(coalesce(b.eng, 0) AS BIGINT) AS engagement, b.sent
   FROM s LEFT JOIN b ON s.topic_id = b.topic_id AND s.window_type = b.window_type
                      AND CAST(s.start AS TIMESTAMP) = CAST(b.start AS TIMESTAMP)),
 l AS (
@@ -312,8 +312,8 @@ slugged AS (
   FROM catp)"""
 
 ORACLE["parse_topics"] = f"""WITH {CATALOG}
-SELECT seq, to_json(cnf) AS keywords_cnf,
-       to_json(string_split(coalesce(subreddits, ''), ',')) AS subreddit_list,
+SELECT seq, CAST(to_json(cnf) AS VARCHAR) AS keywords_cnf,
+       CAST(to_json(string_split(coalesce(subreddits, ''), ',')) AS VARCHAR) AS subreddit_list,
        json_extract_string(coalesce(filters_json, '{{}}'), '$.text') AS filter_text,
        json_extract_string(coalesce(filters_json, '{{}}'), '$.lang') AS filter_lang,
        json_extract_string(coalesce(filters_json, '{{}}'), '$.author') AS filter_author
@@ -332,8 +332,8 @@ ORACLE["clean_cnf"] = f"""WITH {CATALOG},
 c1 AS (SELECT seq, list_filter(list_transform(cnf, lambda g: list_filter(g, lambda t: trim(t) <> '')),
                                lambda g: len(g) > 0) AS c FROM catp),
 c2 AS (SELECT seq, list_transform(c, lambda g: list_transform(g, lambda t: trim(t))) AS c FROM c1)
-SELECT seq, to_json(list_transform(c, lambda g: list_filter(g, lambda x, i: list_position(g, x) = i)))
-       AS clean
+SELECT seq, CAST(to_json(list_transform(c, lambda g: list_filter(g, lambda x, i: list_position(g, x) = i)))
+       AS VARCHAR) AS clean
 FROM c2"""
 
 ORACLE["slugify"] = f"""WITH {CATALOG}
@@ -351,8 +351,9 @@ s AS (SELECT seq, list_filter(list_transform(string_split(coalesce(subreddits, '
       FROM cat)
 SELECT seq, CAST(len(list_filter(subs, lambda x: trim(x) <> '')) AS INTEGER) AS n_selected,
        len(list_filter(subs, lambda x: trim(x) <> '')) <= 30 AS within_cap,
-       to_json(list_filter(subs, lambda x, i: NOT list_contains({_ALLOWED}, x)
-                                         AND list_position(subs, x) = i)) AS not_allowed
+       CAST(to_json(list_filter(subs, lambda x, i: NOT list_contains({_ALLOWED}, x)
+                                              AND list_position(subs, x) = i)) AS VARCHAR)
+         AS not_allowed
 FROM s"""
 
 _EXISTING = ("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t, _ in F4_TOPICS)
