@@ -7,15 +7,32 @@ DuckDB SQL lives in ``topicpulse.plans.oracle`` under the same name.
 
 from __future__ import annotations
 
+import os as _os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from topicpulse.functions import rules as RU
+from topicpulse.functions import sentiment as SE
+from topicpulse.functions.calendar import cutoff as _cutoff
 from topicpulse.operators import dashboard as D
+from topicpulse.operators import extras as EX
+from topicpulse.operators import matching as MT
 from topicpulse.operators import metrics as M
+from topicpulse.operators import normalize as NO
+from topicpulse.operators import state as ST
 from topicpulse.operators import timeline as TL
+from topicpulse.operators import topics as TO
 from topicpulse.plans.output import present
+from topicpulse.schemas import POST_SCHEMA
+from topicpulse.session import scratch_dir
 from topicpulse.sources import fixtures as fx
+from topicpulse.sources.posts import read_raw_posts
+from topicpulse.streaming import backfill as BF
+from topicpulse.streaming import enrich as EN
+from topicpulse.streaming import sync as SY
+from topicpulse.streaming import upsert as UP
 
 AS_OF = fx.AS_OF
 REPORT_TOPIC = "click"
@@ -117,12 +134,7 @@ def topic_options(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- phase 3
-from pyspark.sql import functions as F  # noqa: E402
 
-from topicpulse.functions import rules as RU  # noqa: E402
-from topicpulse.functions.calendar import cutoff as _cutoff  # noqa: E402
-from topicpulse.operators import matching as MT  # noqa: E402
-from topicpulse.operators import topics as TO  # noqa: E402
 
 SRC_0_9 = ",".join(f"src{i}" for i in range(10))
 FETCH_CAP = 150
@@ -229,10 +241,6 @@ def tasks_with_topic(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- phase 4
-from topicpulse.functions import sentiment as SE  # noqa: E402
-from topicpulse.operators import normalize as NO  # noqa: E402
-from topicpulse.operators import state as ST  # noqa: E402
-from topicpulse.schemas import POST_SCHEMA  # noqa: E402
 
 
 @register("normalize_posts")
@@ -281,12 +289,7 @@ def latest_rows(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- phase 6
-import os as _os  # noqa: E402
 
-from topicpulse.session import scratch_dir  # noqa: E402
-from topicpulse.streaming import backfill as BF  # noqa: E402
-from topicpulse.streaming import enrich as EN  # noqa: E402
-from topicpulse.streaming import upsert as UP  # noqa: E402
 
 _TS_OPTS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 F4_IDS = [t for t, _ in fx.F4_TOPICS]
@@ -368,7 +371,6 @@ def topic_status(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- phase 7
-from topicpulse.operators import extras as EX  # noqa: E402
 
 # Stored filters of the filtered-topic fixture.
 F4_FILTERS = {"cnf-two": '{"lang":"en"}', "phrase": '{"text":"Best"}',
@@ -400,8 +402,6 @@ def topic_filters(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- remaining inventory
-from topicpulse.sources.posts import read_raw_posts  # noqa: E402
-from topicpulse.streaming import sync as SY  # noqa: E402
 
 PICKED = ["click", "view"]
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from topicpulse.functions.calendar import cutoff as _cutoff
 from topicpulse.functions.calendar import range_bounds
+from topicpulse.functions.sentiment import DEFAULT_LEXICON, NEGATION_FACTOR
 from topicpulse.operators.dashboard import dashboard_range
+from topicpulse.operators.matching import group_regex
 from topicpulse.operators.metrics import horizon
-from topicpulse.sources.fixtures import AS_OF
+from topicpulse.sources.fixtures import AS_OF, F4_TOPICS
 
 ORACLE: dict[str, str] = {}
 
@@ -208,9 +211,6 @@ SELECT topic_id, count(*) AS doc_count FROM tp GROUP BY topic_id"""
 
 
 # ---------------------------------------------------------------- phase 3
-from topicpulse.functions.calendar import cutoff as _cutoff  # noqa: E402
-from topicpulse.operators.matching import group_regex  # noqa: E402
-from topicpulse.sources.fixtures import F4_TOPICS  # noqa: E402
 
 
 def _s(x: str) -> str:
@@ -389,7 +389,6 @@ FROM tasks t WHERE NOT EXISTS (SELECT 1 FROM slugged s WHERE s.id = t.topic_id)"
 
 
 # ---------------------------------------------------------------- phase 4
-from topicpulse.functions.sentiment import DEFAULT_LEXICON, NEGATION_FACTOR  # noqa: E402
 
 _NOW_S = float(AS_OF.replace(tzinfo=_dt.timezone.utc).timestamp())
 _AS_OF_ISO = AS_OF.strftime("%Y-%m-%dT%H:%M:%S.000Z")
