@@ -231,13 +231,27 @@ def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def limit_per_topic(matched: DataFrame, max_limit: int, ts_col: str = "created_at") -> DataFrame:
+LIMIT_SALT = 32
+
+
+def limit_per_topic(matched: DataFrame, max_limit: int, ts_col: str = "created_at",
+                    salt_buckets: int = LIMIT_SALT) -> DataFrame:
     """O3: newest posts per topic, cap rounded up to whole pages of 100.
 
-    ``row_number() <= k`` over (topic_id ORDER BY created desc, event_id) —
-    Spark plans it with a WindowGroupLimit before the shuffle, so each map
-    task only forwards its own top ``k`` rows per topic.
+    ``row_number() <= k`` over (topic_id ORDER BY created desc, event_id),
+    in two salted stages: first per (topic, hash(event_id) % salt), then per
+    topic over the survivors.  The global top k of a topic is contained in
+    the union of its per-salt top k, so the result is exact, and the last
+    task of a hot topic receives at most ``salt × k`` rows however many map
+    tasks the input has.  Spark plans each stage with a WindowGroupLimit, so
+    map tasks already drop rows beyond k before every shuffle.
     """
     k = -(-max_limit // 100) * 100
-    w = Window.partitionBy("topic_id").orderBy(F.col(ts_col).desc(), F.col("event_id"))
-    return matched.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    order = [F.col(ts_col).desc(), F.col("event_id")]
+    salt = F.pmod(F.xxhash64(F.col("event_id")), F.lit(salt_buckets))
+    w1 = Window.partitionBy("topic_id", "_salt").orderBy(*order)
+    w2 = Window.partitionBy("topic_id").orderBy(*order)
+    stage1 = (matched.withColumn("_salt", salt)
+                     .withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= k)
+                     .drop("_rn", "_salt"))
+    return stage1.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
