@@ -121,3 +121,19 @@ def test_terms_without_letters_are_chunked_not_dropped(spark, monkeypatch):
     got = {(r.topic_id, r.event_id) for r in MT.match_inverted(posts, tdf).collect()}
     assert got == _brute(texts, topics) == {("bang", "p1"), ("bang", "p4"), ("plus", "p2"),
                                             ("q", "p4")}
+
+
+def test_salted_path_with_phrases_agrees_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(MT, "BROADCAST_MAX_TERMS", 0)
+    rnd = random.Random(11)
+    vocab = ["alpha", "beta", "of", "the", "big data", "of the", "c++", "x-ray"]
+    texts = [(f"p{i}", " ".join(rnd.choice(vocab + ["q", "r"]) for _ in range(rnd.randint(0, 10))),
+              rnd.choice(["a", "b"])) for i in range(200)]
+    topics = [(f"t{j}", str([[rnd.choice(vocab) for _ in range(rnd.randint(1, 2))]
+                             for _ in range(rnd.randint(1, 2))]).replace("'", '"'),
+               rnd.choice(["", "a"])) for j in range(15)]
+    posts = spark.createDataFrame(texts, "event_id string, text string, subreddit string") \
+        .withColumn("created_at", F.lit(dt.datetime(2024, 1, 1)))
+    tdf = spark.createDataFrame(topics, TOPIC_DDL)
+    got = {(r.topic_id, r.event_id) for r in MT.match_inverted(posts, tdf).collect()}
+    assert got == _brute(texts, topics)

@@ -174,20 +174,31 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
     tok = p.select(key_col, "subreddit", "text",
                    F.explode(F.array_distinct(F.split(lt, "[^a-z0-9]+"))).alias("tok"))
 
+    hit_cols = ["topic_id", key_col, "subreddit", "subs", "n_groups", "group_idx"]
     n_terms = keyed.limit(BROADCAST_MAX_TERMS + 1).count()
     if n_terms <= BROADCAST_MAX_TERMS:
+        # Broadcast hash join: no shuffle, the text stays a reference in the
+        # pipeline.  Single-token terms are exact after the join; only phrase
+        # / punctuated terms pay for a regex (compiled per joined row).
         j = tok.join(F.broadcast(keyed), tok["tok"] == keyed["key"])
+        hits = (j.where(F.col("exact")
+                        | F.regexp_like(F.lower(F.col("text")), F.col("pattern")))
+                 .select(*hit_cols))
     else:
-        salt = F.abs(F.xxhash64(F.col(key_col))) % F.lit(SALT_BUCKETS)
-        tok_s = tok.withColumn("salt", salt)
+        # Shuffle join on (token, salt): a very common token is spread over
+        # SALT_BUCKETS tasks.  Only keys travel — never the text; candidates
+        # of phrase terms are verified afterwards against their own post.
+        salt = F.pmod(F.xxhash64(F.col(key_col)), F.lit(SALT_BUCKETS))
+        tok_s = tok.drop("text").withColumn("salt", salt)
         keyed_s = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
         j = tok_s.join(keyed_s, (tok_s["tok"] == keyed_s["key"]) & (tok_s["salt"] == keyed_s["salt"]))
-    # Single-token terms are exact after the join; only phrase / punctuated
-    # terms pay for a regex (compiled per row, so only on joined rows).
-    verified = j.where(F.col("exact") | F.regexp_like(F.lower(F.col("text")), F.col("pattern")))
+        exact = j.where(F.col("exact")).select(*hit_cols)
+        cand = j.where(~F.col("exact")).select(*hit_cols, "pattern")
+        checked = (cand.join(p.select(key_col, "text"), key_col)
+                       .where(F.regexp_like(F.lower(F.col("text")), F.col("pattern")))
+                       .select(*hit_cols))
+        hits = exact.unionByName(checked)
 
-    hit_cols = ["topic_id", key_col, "subreddit", "subs", "n_groups", "group_idx"]
-    hits = verified.select(*hit_cols)
     # Rare: a term with no letter or digit has no token to join on.  Such
     # terms are tested as literal regexes per post, in hash chunks of about
     # NARROW_MAX_TERMS terms (each chunk is one more pass over the posts), so
