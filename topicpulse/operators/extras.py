@@ -40,16 +40,19 @@ def top_keywords(posts: DataFrame, k: int = 5, ts_col: str = "created_at") -> Da
 
     Rows: topic_id, window_type, start, rank, key, doc_count.  Tokens are
     counted once per post; ties go to the smaller key.  Plan: explode the
-    distinct tokens of each post and its three buckets → one count per
-    (topic, bucket, token), combined map-side so a hot topic or token is
-    reduced before the single shuffle → ``row_number() <= k`` (a
-    WindowGroupLimit keeps only k rows per bucket and map task).
+    distinct tokens of each post → count per (topic, day, token), combined
+    map-side → grain explode of those day counts → sum per bucket →
+    ``row_number() <= k`` (a WindowGroupLimit keeps only k rows per bucket
+    and map task).  Counting per day first is measurably cheaper than
+    exploding the three buckets on every (post, token) row: the second
+    aggregate sees already-reduced rows.
     """
     toks = posts.select("topic_id", F.date_trunc("day", F.col(ts_col)).alias("day"),
                         F.explode(F.array_distinct(tokens(F.col("text")))).alias("key"))
-    g = toks.select("topic_id", F.inline(_grain_array(F.col("day"))), "key")
+    days = toks.groupBy("topic_id", "day", "key").agg(F.count(F.lit(1)).alias("doc_count"))
+    g = days.select("topic_id", F.inline(_grain_array(F.col("day"))), "key", "doc_count")
     b = g.groupBy("topic_id", "window_type", "start", "key").agg(
-        F.count(F.lit(1)).alias("doc_count"))
+        F.sum("doc_count").alias("doc_count"))
     w = Window.partitionBy("topic_id", "window_type", "start").orderBy(
         F.col("doc_count").desc(), F.col("key"))
     return b.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
