@@ -234,10 +234,8 @@ def tasks_with_topic(spark, sf_dir):
         F.lit('","subreddits":["src1"]}')))
     tasks = TO.read_tasks(ev.select(value.alias("value"), F.col("event_id").alias("task_seq")))
     topics = TO.with_topic_ids(fx.topic_catalog(spark, sf_dir))
-    acc, rej = TO.tasks_with_topic(tasks, topics)
-    return (acc.select("task_seq", "topic_id", F.lit("accepted").alias("status"), "description")
-               .unionByName(rej.select("task_seq", "topic_id", F.lit("rejected").alias("status"),
-                                       F.lit(None).cast("string").alias("description"))))
+    return TO.classify_tasks(tasks, topics).select("task_seq", "topic_id", "status",
+                                                   "description")
 
 
 # ---------------------------------------------------------------- phase 4
