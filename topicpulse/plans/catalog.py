@@ -496,3 +496,19 @@ def topic_trends(spark, sf_dir):
     scored = SE.with_sentiment(matched, SE.default_lexicon(spark))
     r = M.report(scored, AS_OF, topics=topics.select(F.col("id").alias("topic_id")))
     return present(r)
+
+
+@register("report_from_log")
+def report_from_log(spark, sf_dir):
+    """Report over the upsert log's current view (re-sent posts count once).
+
+    Batch 0 carries every post with a stale engagement, batch 1 re-sends it
+    with the fresh value; the current view keeps one row per post with the
+    newest values, and the report over it equals the report over the posts.
+    """
+    log = _os.path.join(scratch_dir(spark, "reportlog"), "log")
+    tp = fx.topic_posts(spark, sf_dir)
+    UP.log_batch(tp.withColumn("engagement", F.col("engagement") - F.lit(1)), 0, log)
+    UP.log_batch(tp, 1, log)
+    cur = UP.current_view(spark, log, value_cols=["created_at", "engagement", "sentiment_score"])
+    return present(M.report(cur, AS_OF))

@@ -667,3 +667,5 @@ tp AS (
 ORACLE["topic_trends"] = ("WITH " + report_ctes(source=_TRENDS_SRC,
                                                 extra_topics=[t for t, _ in F4_TOPICS])
                           + REPORT_SELECT)
+
+ORACLE["report_from_log"] = ORACLE["report_all_topics"]
