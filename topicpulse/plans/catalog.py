@@ -462,25 +462,9 @@ def topic_by_id(spark, sf_dir):
                                                          "subreddits"))
 
 
-def _lexicon_model():
-    """A pandas re-implementation of the default lexicon without modifiers."""
-    import re
-
-    from topicpulse.functions.sentiment import DEFAULT_LEXICON
-    lex = {w: p for w, p, _, _ in DEFAULT_LEXICON if p is not None}
-    split = re.compile(r"[^a-z0-9]+")
-
-    def score(texts):
-        def one(t):
-            vals = [lex[w] for w in split.split(t.lower()) if w in lex]
-            return sum(vals) / len(vals) if vals else 0.0
-        return texts.map(one)
-    return score
-
-
 @register("sentiment_model")
 def sentiment_model(spark, sf_dir):
-    s = SE.with_model_sentiment(fx.posts(spark, sf_dir), _lexicon_model)
+    s = SE.with_model_sentiment(fx.posts(spark, sf_dir), SE.lexicon_model_factory())
     return present(s.select("event_id", "sentiment_score"))
 
 
