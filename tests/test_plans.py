@@ -23,13 +23,17 @@ def _count(plan: str, node: str) -> int:
     return len(ids)
 
 
-def test_no_nested_loop_or_cartesian_joins(spark):
+def test_no_nested_loop_joins_and_no_python_on_the_data_path(spark):
     for name, fn in E.queries().items():
         if name.startswith(STREAMING):
             continue
         plan = _plan(fn(spark, SF0001))
         assert _count(plan, "BroadcastNestedLoopJoin") == 0, name
         assert _count(plan, "CartesianProduct") == 0, name
+        python_nodes = sum(_count(plan, n) for n in ("ArrowEvalPython", "BatchEvalPython",
+                                                     "MapInPandas", "FlatMapGroupsInPandas"))
+        # Only the pluggable model hook (U2) runs Python, over Arrow batches.
+        assert python_nodes == (1 if name == "sentiment_model" else 0), name
 
 
 def test_report_and_timelines_scan_once(spark):
