@@ -388,7 +388,7 @@ def sentiment_split(spark, sf_dir):
 
 @register("top_keywords")
 def top_keywords(spark, sf_dir):
-    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="inverted")
+    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="auto")
     return present(EX.top_keywords(m, 5))
 
 
