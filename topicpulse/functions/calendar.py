@@ -95,10 +95,6 @@ def ts_lit(d: _dt.datetime) -> Column:
     return F.lit(d)
 
 
-def add_days(c: Column, days: int) -> Column:
-    return c + F.make_interval(days=F.lit(days))
-
-
 def iso_utc(c: Column) -> Column:
     """Render a timestamp the way ``Date.toISOString`` does."""
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

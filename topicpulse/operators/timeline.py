@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from topicpulse.functions.calendar import range_bounds, resolve_range, ts_lit
 from topicpulse.functions.scalars import sentiment_label
+from topicpulse.operators.metrics import for_window
 
 _STEP = {"1d": "INTERVAL 1 DAY", "1w": "INTERVAL 7 DAYS", "1m": "INTERVAL 1 MONTH"}
 
@@ -63,7 +64,7 @@ def timeline(report_df: DataFrame, window_type: str, range_name: str | None,
     range_name = resolve_range(window_type, range_name)
     r_start, r_end = range_bounds(range_name, as_of)
     lo, hi = ts_lit(r_start), ts_lit(r_end)
-    rows = report_df.where(F.col("window_type") == F.lit(window_type))
+    rows = for_window(report_df, window_type)
     first = F.row_number().over(Window.partitionBy("topic_id").orderBy("start")) == 1
     bar = _bar_of(F.col("start"), window_type, r_start)
     metric = F.struct(F.col("start").alias("start"), F.col("mentions").alias("mentions"),
