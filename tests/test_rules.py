@@ -108,3 +108,16 @@ def test_validate_append_and_tasks(spark):
     acc, rej = TO.tasks_with_topic(TO.read_tasks(tasks), df.where("seq = 1"))
     assert [r.topic_id for r in acc.collect()] == ["a"]
     assert sorted((r.topic_id or "") for r in rej.collect()) == ["", "zzz"]
+
+
+def test_read_topics_from_files_and_point_lookup(spark):
+    import tempfile
+    path = tempfile.mkdtemp(prefix="tp-topics-") + "/catalog"
+    fx.topics(spark, "src1, src2").write.json(path)
+    t = TO.read_topics(spark, "json", path)
+    served = {r.id: r for r in TO.served_topics(t).collect()}
+    assert served["cnf-two"].cnf == [["thble", "thing"], ["attion", "erble"]]
+    assert served["flat"].cnf == [["best", "thanedble"]]
+    assert served["raw-text"].cnf is None and served["no-rules"].cnf == []
+    assert served["flat"].subreddit_list == ["src1", " src2"]
+    assert [r.id for r in TO.topic_by_id(t, "phrase").collect()] == ["phrase"]
