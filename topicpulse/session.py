@@ -2,8 +2,8 @@
 
 On a cluster the scratch / checkpoint folder is whatever the deployment put
 in ``spark.checkpoint.dir`` (a shared filesystem such as HDFS or an object
-store).  Only when that setting is absent (local runs, tests) do we create a
-private folder and register it.
+store).  Only a local master may go without it; a private folder is created
+and registered then.
 """
 
 from __future__ import annotations
@@ -47,16 +47,20 @@ def get_session(master: str | None = None, app: str = "topicpulse",
 
 
 def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
-    """A fresh sub-folder of the cluster's checkpoint folder.
+    """A fresh sub-folder of the shared folder in ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local test runs) a private folder is created and registered as the
-    checkpoint directory.
+    Only a local master may go without that setting (tests): there a private
+    folder is created and registered.  Any other master without it raises,
+    because each executor would write to its own disk.  The folder lives as
+    long as the deployment keeps its checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="topicpulse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
