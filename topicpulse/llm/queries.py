@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicpulse.llm import bpe, chat, licenses
+from topicpulse.llm import bpe, chat, langid, licenses, toxicity
 from topicpulse.sources.tables import read_table
 
 
@@ -16,6 +16,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "license.*")
@@ -35,10 +41,20 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(segments)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op3_langid": op3_langid,
     "op5_licenses": op5_licenses,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
