@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicpulse.llm import bpe, chat, langid, licenses, toxicity
+from topicpulse.llm import bpe, chat, langid, licenses, quality, sharding, toxicity
 from topicpulse.sources.tables import read_table
 
 
@@ -41,6 +41,23 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(segments)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.assess(docs, read_table(spark, sf_dir, "labels")).select(
+        "doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                              "n_repeat_words")], "base_failed", "kept")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    dims = {
+        "length": F.log2(F.octet_length("text") + 1),
+        "script": F.octet_length("text") / F.greatest(F.char_length("text"), F.lit(1)),
+        "lang": F.crc32(F.col("lang").cast("binary")) / float(1 << 32),
+    }
+    return sharding.shard_documents(docs, 8, dims).drop("lang")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
@@ -54,6 +71,8 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
+    "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 
