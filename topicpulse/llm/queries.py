@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicpulse.llm import bpe, chat, embeddings, langid, licenses, quality, sharding, toxicity
+from topicpulse.llm import bpe, chat, embeddings, langid, licenses, packing, quality, sharding, toxicity
 from topicpulse.sources.tables import read_table
 
 
@@ -16,6 +16,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the rank file holds the vocabulary of byte_bpe_50k.json
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"),
+                                  vocabulary("byte_bpe_50k.tiktoken"), 2048)
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -71,6 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_embeddings": op2_embeddings,
     "op3_langid": op3_langid,
     "op5_licenses": op5_licenses,
@@ -85,8 +92,8 @@ ORACLE = {
     "op2_embeddings": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x <> 0)) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
