@@ -3,17 +3,57 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame.  Its rows are
 written as Parquet under ``spark.checkpoint.dir`` and read again as the next
 stage's ``docs``, so each stage works on all that its predecessor kept and a
-lost executor never reaches back past the last written table.
+lost executor never reaches back past the last written table.  All stages but
+the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from topicpulse.llm import langid, minhash, packing, toxicity
 from topicpulse.llm.common import materialize
+from topicpulse.llm.queries import vocabulary
 from topicpulse.sources.tables import read_table
 
-STAGES: list = []
+#: A document whose language is this uncertain is rejected: with several
+#: languages learned, no one of them then has even a third of its bytes.
+MIN_LANGUAGE_SCORE = 1 / 3
+#: A document at or above this toxicity is rejected.
+MAX_TOXICITY = 0.7
+SEQUENCE = 2048
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: texts without a recognisable language go."""
+    judged = langid.identify(docs)
+    return judged.filter((F.col("lang_pred") != langid.UNKNOWN)
+                         & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: toxic texts go."""
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("score") < MAX_TOXICITY).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: one document of each group of near copies stays."""
+    return minhash.deduplicate(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: what is left, packed into sequences."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), SEQUENCE)
+
+
+STAGES = [
+    ("language_id", language),
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("packing", pack),
+]
 
 #: No SQL: the stages train models and run iterative algorithms.
 ORACLE_SQL = None

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicpulse.llm import bpe, chat, embeddings, langid, licenses, packing, quality, sharding, toxicity
+from topicpulse.llm import bpe, chat, embeddings, langid, licenses, minhash, packing, quality
+from topicpulse.llm import sharding, toxicity
 from topicpulse.sources.tables import read_table
 
 
@@ -32,6 +33,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "license.*")
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_embeddings": op2_embeddings,
     "op3_langid": op3_langid,
+    "op4_minhash": op4_minhash,
     "op5_licenses": op5_licenses,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
