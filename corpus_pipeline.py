@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicpulse.llm import langid, minhash, packing, toxicity
-from topicpulse.llm.common import materialize
+from topicpulse.llm.common import free_name, materialize
 from topicpulse.llm.queries import vocabulary
 from topicpulse.sources.tables import read_table
 
@@ -27,15 +27,16 @@ SEQUENCE = 2048
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: texts without a recognisable language go."""
-    judged = langid.identify(docs)
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN)
-                         & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = langid.result_names(docs)
+    return langid.identify(docs).filter((F.col(lang) != langid.UNKNOWN)
+                                        & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: toxic texts go."""
     model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("score") < MAX_TOXICITY).select(*docs.columns)
+    score = free_name(docs.columns, "score")
+    return toxicity.score(docs, model).filter(F.col(score) < MAX_TOXICITY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

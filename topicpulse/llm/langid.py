@@ -17,8 +17,8 @@ workers hold these tables (a fixed 17 MB) and one chunk of windows.
 
 Edge cases: a null text, or one without a letter, gets ``und`` and score 0;
 so does everything when no labelled row exists.  Ties go to the label that
-sorts first.  Columns of the input pass through; ``lang_pred`` and ``score``
-must not be among them.
+sorts first.  Columns of the input pass through; where one is called like a
+result, the result's name gets underscores.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicpulse.llm.common import free_name
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -50,7 +52,7 @@ _CHUNK = 512
 
 def held_out(doc_id: Column) -> Column:
     """Whether the row is kept away from learning."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +213,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet |
     return net
 
 
+def result_names(docs: DataFrame) -> tuple[str, str]:
+    """What the columns lang_pred and score are called beside those of ``docs``."""
+    return free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
+
+
 def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` string and ``score`` double for each whole text."""
+    lang_out, score_out = result_names(docs)
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({lang_out: F.lit(UNKNOWN), score_out: F.lit(0.0)})
     model = net
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
@@ -241,12 +249,14 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
                 score[part] = np.clip(mean[np.arange(len(part)), best], 0, 1)
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    result = "_language"
-    return docs.withColumn(result, classify(F.col(text))).select(*docs.columns, f"{result}.*")
+    both = free_name(docs.columns, "language")
+    return docs.withColumn(both, classify(F.col(text))).select(
+        *docs.columns, F.col(f"{both}.lang_pred").alias(lang_out),
+        F.col(f"{both}.score").alias(score_out))
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang",
              doc_id: str = "doc_id") -> DataFrame:
     """Learn from the rows that are not held out, then predict every row."""
-    net = learn(docs.filter(~F.coalesce(held_out(F.col(doc_id)), F.lit(False))), text, lang)
+    net = learn(docs.filter(~held_out(F.col(doc_id))), text, lang)
     return predict(docs, net, text)

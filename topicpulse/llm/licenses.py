@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicpulse.llm.common import free_name
+
 #: The notice phrases that every scan looks for, and their labels.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -208,7 +210,10 @@ FIELDS = ("n_words long, n_base long, first_word long, last_word long, "
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") -> DataFrame:
-    """``docs`` with the struct column ``out`` (see FIELDS) for each whole text."""
+    """``docs`` with the struct column ``out`` (see FIELDS) for each whole text.
+
+    If that name is taken, it gets underscores.
+    """
     automaton = WordAutomaton(dict.fromkeys([*BASE_PHRASES, *MORE_PHRASES, TAG], ""))
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
@@ -220,4 +225,4 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "license") ->
                 found[c] = found[c].astype("Int64")
             yield found
 
-    return docs.withColumn(out, scan(F.col(text)))
+    return docs.withColumn(free_name(docs.columns, out), scan(F.col(text)))

@@ -394,15 +394,15 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, and all without words."""
     found = classes(docs, text, doc_id, threshold)
-    digest = free_name(docs.columns, "digest")
+    names = [*docs.columns]
+    digest, other, other_id = (free_name(names, n) for n in ("digest", "same_digest", "same_id"))
     rows = docs.withColumn(digest, F.when(has_words(F.col(text)), F.md5(F.col(text))))
     blank = rows.filter(F.col(digest).isNull()).drop(digest)
-    named = found.select(F.col("digest").alias("_digest"), "class_id")
     # the least doc_id of a class may stand on several texts or rows: the least digest wins
-    pick = rows.select(F.col(digest).alias("_digest"),
-                       F.col(doc_id).cast("long").alias("_doc")).join(named, "_digest").filter(
-        F.col("_doc").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(
-        F.min("_digest").alias("_digest")).withColumnRenamed("class_id", "_doc")
-    stay = rows.join(pick, (F.col(digest) == F.col("_digest"))
-                     & F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    pick = rows.select(F.col(digest).alias("digest"),
+                       F.col(doc_id).cast("long").alias("doc")).join(found, "digest").filter(
+        F.col("doc").eqNullSafe(F.col("class_id"))).groupBy(
+        F.col("class_id").alias(other_id)).agg(F.min("digest").alias(other))
+    stay = rows.join(pick, (F.col(digest) == F.col(other))
+                     & F.col(doc_id).cast("long").eqNullSafe(F.col(other_id)), "left_semi")
     return stay.dropDuplicates([digest, doc_id]).drop(digest).unionByName(blank)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicpulse.llm.bpe import SPLIT_PATTERN
-from topicpulse.llm.common import materialize, shuffle_width, worker_cache
+from topicpulse.llm.common import free_name, materialize, shuffle_width, worker_cache
 
 #: Pieces per block, islands per block, groupings per island.
 BLOCK = 2000
@@ -266,10 +266,16 @@ def pack_blocks(pieces: DataFrame, size: int, blocks: int) -> DataFrame:
 
 
 def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
-    """``pieces`` (with ``length`` from 1 to size) with sequence_id and offset."""
-    table = materialize(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    rest = table.filter(F.col("length") < size).select("item", "length")
-    done = table.filter(F.col("length") == size).select(
+    """``pieces`` (with ``length`` from 1 to size) with sequence_id and offset.
+
+    Input columns with these names make way for the results.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
+    item = free_name(pieces.columns, "item")
+    table = materialize(pieces.withColumn(item, F.monotonically_increasing_id()), "pieces")
+    short = table.select(F.col(item).alias("item"), "length")
+    rest = short.filter(F.col("length") < size).select("item", "length")
+    done = short.filter(F.col("length") == size).select(
         "item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     n, round_, last = rest.count(), 0, None
     while n:
@@ -289,7 +295,7 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
             .cast("long").alias("sequence_id"), "offset"))
         rest = packed.filter(~well).select("item", "length")
         n, last, round_ = left, left, round_ + 1
-    return table.join(done, "item").drop("item")
+    return table.join(done.withColumnRenamed("item", item), item).drop(item)
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, size: int = 2048, text: str = "text",

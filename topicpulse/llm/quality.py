@@ -51,31 +51,30 @@ def words_of(text: Column) -> Column:
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``measures``: n_words, word_chars, n_symbols,
+    """The struct ``row`` (all columns of ``docs`` but the text) and the struct ``measures``: n_words, word_chars, n_symbols,
     n_lines, n_dup_lines, n_repeat_words.
 
     Repeated three-word windows are found by sorting: each window becomes one
     long, hash bits above its place, and neighbours with equal hash bits are
     candidates; only these are then compared word by word.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    row = F.struct(*[c for c in docs.columns if c != text])
+    docs = docs.select(row.alias("row"), F.col(text).alias("text"))
+    body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    keep = docs.columns
-    step = docs.withColumns({
-        "_words": words_of(F.col(text)),
-        "_lines": lines,
-        "_chars": F.char_length(body) - F.regexp_count(body, F.lit(WHITE)),
-        "_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")),
-    })
-    keep = [*keep, "_words", "_lines", "_chars", "_symbols"]
-    w = F.col("_words")
+    step = docs.select(
+        "row", words_of(F.col("text")).alias("words"), lines.alias("lines"),
+        (F.char_length(body) - F.regexp_count(body, F.lit(WHITE))).alias("chars"),
+        F.regexp_count(body, F.lit(r"[#*$%&|<>]")).alias("symbols"))
+    keep = step.columns
+    w = F.col("words")
     windows = F.transform(
         F.sequence(F.lit(0), F.size(w) - 3),
         lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(F.lit(~_PLACES)).bitwiseOR(
             i.cast("long")))
     step = step.select(*keep, F.when(F.size(w) >= 3, F.sort_array(windows)).otherwise(
-        F.array().cast("array<bigint>")).alias("_hashed"))
-    h = F.col("_hashed")
+        F.array().cast("array<bigint>")).alias("hashed"))
+    h = F.col("hashed")
 
     def high(x: Column) -> Column:
         return F.shiftright(x, _PLACE_BITS)
@@ -84,11 +83,11 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     near = F.filter(h, lambda x, k: (high(x) == high(F.get(h, k - 1)))
                     | (high(x) == high(F.get(h, k + 1))))
     step = step.select(*keep, F.transform(
-        near, lambda x: x.bitwiseAND(F.lit(_PLACES)).cast("int")).alias("_near"))
+        near, lambda x: x.bitwiseAND(F.lit(_PLACES)).cast("int")).alias("near"))
     step = step.select(*keep, F.sort_array(F.transform(
-        "_near", lambda p: F.struct(w[p].alias("a"), w[p + 1].alias("b"), w[p + 2].alias("c"),
-                                    p.alias("p")))).alias("_same"))
-    s = F.col("_same")
+        "near", lambda p: F.struct(w[p].alias("a"), w[p + 1].alias("b"), w[p + 2].alias("c"),
+                                    p.alias("p")))).alias("same"))
+    s = F.col("same")
 
     def equal(x: Column, y: Column) -> Column:
         return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]),
@@ -101,12 +100,12 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, p: F.struct(p.alias("last"),
                                 (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")),
         lambda acc: acc["n"])
-    return step.select(*docs.columns, F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.col("_chars").cast("long").alias("word_chars"),
-        F.col("_symbols").cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+    return step.select("row", F.struct(
+        F.size("words").cast("long").alias("n_words"),
+        F.col("chars").cast("long").alias("word_chars"),
+        F.col("symbols").cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words")).alias("measures"))
 
 
@@ -161,10 +160,11 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, doc_id:
     One aggregate over the labelled documents; what leaves it is one row per
     stratum, of which the MAX_STRATA largest are tested.
     """
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("_good"))
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("good"))
     m = F.col("measures")
-    rows = measured.select(F.col(doc_id).alias("_doc"), F.col(stratum).alias("stratum"), "measures")
-    rows = rows.join(good, F.col("_doc") == F.col("_good"))
+    rows = measured.select(F.col("row")[doc_id].alias("doc"), F.col("row")[stratum].alias("stratum"),
+                           "measures")
+    rows = rows.join(good, F.col("doc") == F.col("good"))
     counts = rows.filter(~base_failed(m)).groupBy("stratum").agg(
         F.count("*").alias("n"),
         *[F.array(*[F.count_if(value > c) for c in RULES[rule]]).alias(rule)
@@ -183,22 +183,22 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, doc_id:
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``."""
-    rules = cutoffs.select(F.col("stratum").alias("_stratum"),
-                           F.struct(*RULES).alias("_cutoffs"))
+    """row, measures, base_failed and kept."""
+    rules = cutoffs.select("stratum", F.struct(*RULES).alias("cutoffs"))
     # at most MAX_STRATA rows of a few numbers
-    out = measured.join(F.broadcast(rules), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    out = measured.join(F.broadcast(rules), F.col("row")[stratum].eqNullSafe(F.col("stratum")),
+                        "left")
     m = F.col("measures")
     rejected = F.lit(False)
     for rule, value in ratios(m).items():
-        rejected = rejected | F.coalesce(value > F.col("_cutoffs")[rule], F.lit(False))
+        rejected = rejected | F.coalesce(value > F.col("cutoffs")[rule], F.lit(False))
     failed = base_failed(m)
-    return out.select(*measured.columns, failed.alias("base_failed"),
+    return out.select("row", "measures", failed.alias("base_failed"),
                       (~failed & ~rejected).alias("kept"))
 
 
 def assess(docs: DataFrame, labels: DataFrame, text: str = "text",
            stratum: str = "lang") -> DataFrame:
-    """Measures, base verdict and final verdict of every document."""
-    measured = materialize(with_measures(docs, text).drop(text), "quality-measures")
+    """row (the columns of ``docs`` but the text), measures, base_failed, kept."""
+    measured = materialize(with_measures(docs, text), "quality-measures")
     return judge(measured, learn_cutoffs(measured, labels, stratum), stratum)

@@ -59,7 +59,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.assess(docs, read_table(spark, sf_dir, "labels")).select(
-        "doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "row.doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
                                               "n_repeat_words")], "base_failed", "kept")
 
 
@@ -70,7 +70,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "script": F.octet_length("text") / F.greatest(F.char_length("text"), F.lit(1)),
         "lang": F.crc32(F.col("lang").cast("binary")) / float(1 << 32),
     }
-    return sharding.shard_documents(docs, 8, dims).drop("lang")
+    return sharding.shard_documents(docs, 8, dims).select(
+        "row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,13 +21,14 @@ result; shards may stay empty when there are fewer rows than shards.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from topicpulse.llm.common import free_name, materialize
+from topicpulse.llm.common import materialize
 
 #: A cut may miss its target by this share of the node's bytes.
 TOLERANCE = 0.0005
@@ -118,7 +119,11 @@ def find_cuts(rows: DataFrame, keys: dict[int, list[Column]], total: dict[int, i
             k = keys[n][len(s["fixed"])]
             after = min((r[0] for r in ranges if r[0] > hi), default=None)
             last = len(s["fixed"]) + 1 == len(keys[n])
-            if target - before <= allowed or (lo == hi and last):
+            if lo == hi and last:
+                # a single row is left: it goes to the side that it fits better
+                past = before + size - target < target - before
+                cuts[n] = Cut(n, [*s["fixed"], (k, math.nextafter(lo, math.inf) if past else lo)])
+            elif target - before <= allowed:
                 cuts[n] = Cut(n, [*s["fixed"], (k, lo)])
             elif before + size - target <= allowed and after is not None:
                 cuts[n] = Cut(n, [*s["fixed"], (k, after)])
@@ -167,16 +172,16 @@ def split_tree(rows: DataFrame, dims: list[str], shards: int) -> Column:
 
 def shard_documents(docs: DataFrame, shards: int, dims: dict[str, Column],
                     text: str = "text") -> DataFrame:
-    """``docs`` without its text, with size, text_crc32, law, shard, slot, grown_shard.
+    """row (the columns of ``docs`` but the text), size, text_crc32, law, shard, slot,
+    grown_shard.
 
     ``dims`` names the metadata dimensions and gives each as a numeric column
     expression over ``docs``.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    named = {free_name(docs.columns, f"dim_{d}"): c for d, c in dims.items()}
-    kept = [c for c in docs.columns if c != text]
+    named = {f"dim_{d}": c for d, c in dims.items()}
     rows = docs.select(
-        *kept,
+        F.struct(*[c for c in docs.columns if c != text]).alias("row"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         # 52 bits, so that the keys are exact as doubles
@@ -187,7 +192,7 @@ def shard_documents(docs: DataFrame, shards: int, dims: dict[str, Column],
     rows = materialize(rows, "shard-meta")
     n = rows.count()
     if n == 0:
-        return rows.select(*kept, "size", "text_crc32", F.lit("bytes").alias("law"),
+        return rows.select("row", "size", "text_crc32", F.lit("bytes").alias("law"),
                            F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"),
                            F.lit(None).cast("int").alias("grown_shard"))
     placed = rows.withColumn("shard", split_tree(rows, list(named), shards))
@@ -200,6 +205,6 @@ def shard_documents(docs: DataFrame, shards: int, dims: dict[str, Column],
     numbered = placed.withColumn("_nth", F.row_number().over(
         W.partitionBy("shard", "_bucket").orderBy("row_key")) - 1)
     return numbered.join(counts, ["shard", "_bucket"]).select(
-        *kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "row", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_before") + F.col("_nth")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))

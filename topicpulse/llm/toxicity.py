@@ -16,7 +16,8 @@ undue weight.
 
 Edge cases: a null or empty text has no matches and gets the score of its empty
 feature row; without labelled rows of both classes every score is the share of
-toxic rows (0 without any).  ``score`` must not be among the input columns.
+toxic rows (0 without any).  Where the input has a column ``score``, the
+result's name gets underscores.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicpulse.llm.common import materialize, worker_cache
+from topicpulse.llm.common import free_name, materialize, worker_cache
 
 ROWS_PER_CLASS = 8_000
 MAX_TERMS = 500
@@ -53,7 +54,7 @@ FEATURES = ("exact", "fuzzy", "exact_quoted", "fuzzy_quoted", "rate", "densest",
 
 def held_out(doc_id: Column) -> Column:
     """Whether the row's label is kept away from learning."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def allowed_errors(n: int) -> int:
@@ -326,4 +327,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             rows = np.array([reader.features(t) for t in batch]).reshape(-1, len(FEATURES))
             yield pd.Series(model.score(rows))
 
-    return docs.withColumn("score", rate(F.col(text)))
+    return docs.withColumn(free_name(docs.columns, "score"), rate(F.col(text)))
