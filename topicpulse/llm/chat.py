@@ -34,9 +34,10 @@ class Template:
 
     header: str = "### {role}: "
     footer: str = " </turn>\n"
-    #: Characters that could start a control string; each is escaped in texts.
-    special: str = "\\#<"
     escape: str = "\\"
+    #: What stands after the escape character for each character that a control
+    #: string starts with, so that no control string is left in a text.
+    special: dict = field(default_factory=lambda: {"\\": "\\", "#": "h", "<": "l"})
     loss_roles: frozenset = frozenset({"assistant"})
     #: state -> role -> next state; a role that is missing leads to "error".
     moves: dict = field(default_factory=lambda: {
@@ -48,13 +49,14 @@ class Template:
     accepting: frozenset = frozenset({"assistant"})
 
     def escaped(self, text: Column) -> Column:
-        """Native: the escape character is put before each special character."""
-        for c in self.special:
-            text = F.replace(text, F.lit(c), F.lit(self.escape + c))
+        """Native: each special character becomes the escape character and its code."""
+        for c, code in self.special.items():
+            text = F.replace(text, F.lit(c), F.lit(self.escape + code))
         return text
 
     def unescaped(self, text: str) -> str:
-        return re.sub(re.escape(self.escape) + r"(.)", r"\1", text, flags=re.DOTALL)
+        back = {code: c for c, code in self.special.items()}
+        return re.sub(re.escape(self.escape) + "(.)", lambda m: back[m[1]], text)
 
     def head(self, role: str) -> str:
         return self.header.format(role=role.capitalize() if role.islower() else role)

@@ -129,7 +129,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), ''))
          AS loss_sha256,
        sum(length('### ' || role || ': ')
-           + length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<'))
+           + length(replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l'))
            + length(' </turn>') + 1)::BIGINT AS formatted_chars,
        bool_and(CASE WHEN role = 'system' THEN prev IS NULL
                      WHEN role = 'user' THEN prev IS NULL OR prev IN ('system', 'assistant')
