@@ -5,6 +5,7 @@ All arithmetic is UTC (the session time zone is pinned to UTC).
 
 from __future__ import annotations
 
+import calendar
 import datetime as _dt
 
 from pyspark.sql import Column
@@ -57,10 +58,11 @@ def _month_start(d: _dt.datetime) -> _dt.datetime:
 
 
 def _add_months(d: _dt.datetime, n: int) -> _dt.datetime:
+    """``d`` moved by n months; a day beyond the month's end becomes its last day."""
     m = d.month - 1 + n
     y = d.year + m // 12
     m = m % 12 + 1
-    return d.replace(year=y, month=m)
+    return d.replace(year=y, month=m, day=min(d.day, calendar.monthrange(y, m)[1]))
 
 
 def range_bounds(range_name: str, as_of: _dt.datetime) -> tuple[_dt.datetime, _dt.datetime]:

@@ -111,7 +111,7 @@ def ensure_topic_id(id_col: Column, keywords_json: Column, description: Column)
     """Keep a good id, else slug of the first keyword term or description."""
     cnf = parse_keywords(keywords_json)
     first_term = F.try_element_at(F.try_element_at(cnf, F.lit(1)), F.lit(1))
-    src = F.coalesce(first_term, description)
+    src = F.coalesce(F.nullif(first_term, F.lit("")), description)
     return F.when(needs_slug(id_col), slugify(src)).otherwise(id_col)
 
 

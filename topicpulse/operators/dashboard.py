@@ -71,6 +71,8 @@ def daily_panel(df: DataFrame, as_of: _dt.datetime, metric: str,
     return out.select("day", value.alias("value"))
 
 
-def topic_options(df: DataFrame) -> DataFrame:
-    """Topics offered by the picker, with their document counts."""
-    return df.groupBy("topic_id").agg(F.count(F.lit(1)).alias("doc_count"))
+def topic_options(df: DataFrame, as_of: _dt.datetime, ts_col: str = "created_at") -> DataFrame:
+    """Topics offered by the picker, with their document counts under the
+    dashboard's own filters and time range."""
+    return dashboard_base(df, as_of, ts_col=ts_col).groupBy("topic_id").agg(
+        F.count(F.lit(1)).alias("doc_count"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from topicpulse.functions.rules import parse_filters
 from topicpulse.functions.scalars import NEGATIVE_AT, POSITIVE_AT
 from topicpulse.functions.sentiment import tokens
-from topicpulse.operators.joins import broadcast_if_small
 from topicpulse.operators.metrics import _grain_array
 
 
@@ -73,12 +72,11 @@ def apply_topic_filters(matched: DataFrame, topics: DataFrame) -> DataFrame:
 
     text: case-insensitive substring of the post text; lang: equal,
     case-insensitive; author: equal.  A missing or empty filter does not
-    restrict.  The catalogue side is broadcast when its counted size is
-    under the bound (a hot topic then needs no shuffle at all).
+    restrict.  Spark broadcasts the catalogue side when its size in bytes
+    allows; else AQE splits a hot topic's partition.
     """
     tid = F.col("topic_id") if "topic_id" in topics.columns else F.col("id")
-    f = broadcast_if_small(
-        topics.select(tid.alias("topic_id"), parse_filters(F.col("filters_json")).alias("_f")))
+    f = topics.select(tid.alias("topic_id"), parse_filters(F.col("filters_json")).alias("_f"))
     j = matched.join(f, "topic_id", "left")
     ft, fl, fa = F.col("_f.text"), F.col("_f.lang"), F.col("_f.author")
     ok_text = ft.isNull() | (ft == "") | (F.instr(F.lower(F.col("text")), F.lower(ft)) > 0)

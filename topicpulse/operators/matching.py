@@ -1,8 +1,8 @@
 """Match posts to topics (CNF keyword rules × subreddits × cutoff).
 
 Match semantics: lower-cased whole-token match on the post text — a term
-matches where it is preceded and followed by a non-alphanumeric character
-(or the text edge); a term holding a space is a contiguous phrase.  A topic
+matches where it is preceded and followed by a character that is neither letter
+nor digit, in any script (or the text edge); a term holding a space is a contiguous phrase.  A topic
 matches when every OR group has a matching term.  A topic without rules, or
 with an empty group, never matches.  A topic whose subreddit list is empty
 is not restricted; otherwise the post's subreddit must be in the list
@@ -18,12 +18,13 @@ Two physical strategies, same result:
 * ``inverted`` — any catalogue size.  Distinct post tokens are equi-joined
   with a term table keyed by the term's longest alphanumeric run (every
   run of a matching term is a whole token of the text, so this is a
-  necessary condition); phrases and punctuated terms are re-verified with
+  necessary condition); terms of symbols alone are keyed by a symbol that
+  the post must hold.  Phrases and punctuated terms are re-verified with
   the exact regex on the joined rows only.  Relational division:
   ``size(collect_set(group_idx)) = n_groups`` per (topic, post).  The term
-  table is broadcast only when its counted size is below a bound; beyond
-  that the join is a salted shuffle join so one very common token cannot
-  pile up in a single task.
+  table is broadcast only when its bytes are below a bound; beyond that
+  the join is a salted shuffle join so one very common token cannot pile
+  up in a single task.
 """
 
 from __future__ import annotations
@@ -41,13 +42,15 @@ from topicpulse.functions.rules import parse_csv, parse_keywords
 # Tunables (not reference values).
 NARROW_MAX_TOPICS = 256
 NARROW_MAX_TERMS = 4096
-BROADCAST_MAX_TERMS = 200_000
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 SALT_BUCKETS = 16
 
 _META = re.compile(r"([\\.^$|?*+()\[\]{}])")
-_SIMPLE = re.compile(r"^[a-z0-9]+$")
-_BOUND_L = "(^|[^a-z0-9])"
-_BOUND_R = "([^a-z0-9]|$)"
+# Letters and digits of any script make a token.
+_SPLIT = r"[^\p{L}\p{N}]+"
+_SIMPLE = r"^[\p{L}\p{N}]+$"
+_BOUND_L = r"(^|[^\p{L}\p{N}])"
+_BOUND_R = r"([^\p{L}\p{N}]|$)"
 
 
 def escape_term(term: str) -> str:
@@ -104,8 +107,8 @@ def _group_condition(terms: list[str], lt: Column, toks: Column) -> Column:
     terms keep the boundary regex, behind a literal ``instr`` prefilter so the
     regex only scans rows that contain the term at all.
     """
-    simple = [t for t in terms if _SIMPLE.match(t)]
-    other = [t for t in terms if not _SIMPLE.match(t)]
+    simple = [t for t in terms if t.isalnum()]
+    other = [t for t in terms if not t.isalnum()]
     conds = []
     if simple:
         conds.append(F.arrays_overlap(toks, F.array(*[F.lit(t) for t in simple])))
@@ -138,49 +141,62 @@ def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | Non
         return p.withColumn("topic_id", F.lit(None).cast("string")).where(F.lit(False))
     cols = p.columns
     staged = (p.withColumn("_tp_lt", F.lower(F.col("text")))
-               .withColumn("_tp_toks", F.split(F.col("_tp_lt"), "[^a-z0-9]+")))
+               .withColumn("_tp_toks", F.split(F.col("_tp_lt"), _SPLIT)))
     hits = F.filter(F.array(*cases), lambda x: x.isNotNull())
     return staged.select(*cols, F.explode(hits).alias("topic_id"))
 
 
 def term_table(topics: DataFrame) -> DataFrame:
-    """One row per (topic, group, term): join key, exactness flag, regex."""
+    """One row per (topic, group, term): join key, exactness flag, regex.
+
+    The key is the term's longest run of letters and digits; a term without
+    any takes its first character that is not white space.
+    """
     t = prepare_topics(topics).where(F.col("cnf").isNotNull())
     g = t.select("topic_id", "subs", F.size("cnf").alias("n_groups"),
                  F.posexplode("cnf").alias("group_idx", "terms"))
     x = g.select("topic_id", "subs", "n_groups", "group_idx", F.explode("terms").alias("term"))
-    runs = F.filter(F.split(F.col("term"), "[^a-z0-9]+"), lambda s: s != F.lit(""))
+    runs = F.filter(F.split(F.col("term"), _SPLIT), lambda s: s != F.lit(""))
     longest = F.element_at(F.array_sort(
         F.transform(runs, lambda s: F.struct((-F.length(s)).alias("neg_len"), s.alias("run")))),
         1).getField("run")
-    simple = F.col("term").rlike(_SIMPLE.pattern)
+    first = F.substring(F.coalesce(F.nullif(F.trim("term"), F.lit("")), "term"), 1, 1)
     pattern = F.concat(F.lit(_BOUND_L + "("),
                        F.regexp_replace("term", r"([\\.^$|?*+()\[\]{}])", r"\\$1"),
                        F.lit(")" + _BOUND_R))
     return x.select("topic_id", "subs", "n_groups", "group_idx", "term",
-                    F.when(F.size(runs) > 0, longest).alias("key"),
-                    simple.alias("exact"), pattern.alias("pattern"))
+                    F.when(F.size(runs) > 0, longest).otherwise(first).alias("key"),
+                    (F.size(runs) == 0).alias("symbols"),
+                    F.col("term").rlike(_SIMPLE).alias("exact"), pattern.alias("pattern"))
+
+
+def _fits_broadcast(terms: DataFrame) -> bool:
+    """Whether the term table's strings stay under the byte bound."""
+    size = F.sum(F.octet_length("pattern") + F.octet_length("term") + F.lit(64)
+                 + F.aggregate("subs", F.lit(0), lambda n, s: n + F.octet_length(s) + 16))
+    return (terms.agg(size).first()[0] or 0) <= BROADCAST_MAX_BYTES
 
 
 def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
                    ts_col: str = "created_at", key_col: str = "event_id") -> DataFrame:
     terms = term_table(topics)
-    keyed = terms.where(F.col("key").isNotNull())
-    unkeyed = terms.where(F.col("key").isNull())  # terms without any letter/digit
     p = _since(posts, cutoff, ts_col)
     lt = F.lower(F.col("text"))
+    words = F.split(lt, _SPLIT)
+    if terms.where("symbols").limit(1).count():
+        # terms of symbols alone meet the post in one of its symbols
+        words = F.concat(words, F.regexp_extract_all(lt, F.lit(r"([^\p{L}\p{N}])"), 1),
+                         F.array(F.lit("")))
     # Carry the raw text (a reference, not a copy) through the explode; a
     # projected lower(text) would be re-evaluated for every token row.
-    tok = p.select(key_col, "subreddit", "text",
-                   F.explode(F.array_distinct(F.split(lt, "[^a-z0-9]+"))).alias("tok"))
+    tok = p.select(key_col, "subreddit", "text", F.explode(F.array_distinct(words)).alias("tok"))
 
     hit_cols = ["topic_id", key_col, "subreddit", "subs", "n_groups", "group_idx"]
-    n_terms = keyed.limit(BROADCAST_MAX_TERMS + 1).count()
-    if n_terms <= BROADCAST_MAX_TERMS:
+    if _fits_broadcast(terms):
         # Broadcast hash join: no shuffle, the text stays a reference in the
         # pipeline.  Single-token terms are exact after the join; only phrase
         # / punctuated terms pay for a regex (compiled per joined row).
-        j = tok.join(F.broadcast(keyed), tok["tok"] == keyed["key"])
+        j = tok.join(F.broadcast(terms), tok["tok"] == terms["key"])
         hits = (j.where(F.col("exact")
                         | F.regexp_like(F.lower(F.col("text")), F.col("pattern")))
                  .select(*hit_cols))
@@ -190,7 +206,7 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
         # of phrase terms are verified afterwards against their own post.
         salt = F.pmod(F.xxhash64(F.col(key_col)), F.lit(SALT_BUCKETS))
         tok_s = tok.drop("text").withColumn("salt", salt)
-        keyed_s = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
+        keyed_s = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
         j = tok_s.join(keyed_s, (tok_s["tok"] == keyed_s["key"]) & (tok_s["salt"] == keyed_s["salt"]))
         exact = j.where(F.col("exact")).select(*hit_cols)
         cand = j.where(~F.col("exact")).select(*hit_cols, "pattern")
@@ -199,27 +215,6 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
                        .select(*hit_cols))
         hits = exact.unionByName(checked)
 
-    # Rare: a term with no letter or digit has no token to join on.  Such
-    # terms are tested as literal regexes per post, in hash chunks of about
-    # NARROW_MAX_TERMS terms (each chunk is one more pass over the posts), so
-    # every term is handled exactly once and none is dropped.
-    n_odd = unkeyed.count()
-    n_chunks = max(1, -(-n_odd // NARROW_MAX_TERMS))
-    chunk_of = F.pmod(F.xxhash64("topic_id", "group_idx", "term"), F.lit(n_chunks))
-    for i in range(n_chunks if n_odd else 0):
-        chunk = unkeyed.where(chunk_of == i).collect()
-        if not chunk:
-            continue
-        cases = [F.when(lt.rlike(group_regex([r.term])),
-                        F.struct(F.lit(r.topic_id).alias("topic_id"),
-                                 F.array(*[F.lit(x) for x in r.subs]).cast("array<string>").alias("subs"),
-                                 F.lit(r.n_groups).alias("n_groups"),
-                                 F.lit(r.group_idx).alias("group_idx")))
-                 for r in chunk]
-        extra = (p.select(key_col, "subreddit",
-                          F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("h"))
-                  .select("h.topic_id", key_col, "subreddit", "h.subs", "h.n_groups", "h.group_idx"))
-        hits = hits.unionByName(extra)
     hits = hits.where(_sub_ok(F.col("subs"), F.col("subreddit")))
     pairs = (hits.groupBy("topic_id", key_col)
                  .agg(F.first("n_groups").alias("n_groups"),
@@ -231,10 +226,16 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
 
 def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
                 strategy: str = "auto", ts_col: str = "created_at") -> DataFrame:
-    """J1 entry point: ``strategy`` = 'narrow' | 'inverted' | 'auto'."""
+    """J1 entry point: ``strategy`` = 'narrow' | 'inverted' | 'auto'.
+
+    'auto' takes the narrow plan when the catalogue is within both of its
+    bounds (topics and terms); the two give the same rows.
+    """
     if strategy == "auto":
-        n = prepare_topics(topics).limit(NARROW_MAX_TOPICS + 1).count()
-        strategy = "narrow" if n <= NARROW_MAX_TOPICS else "inverted"
+        rows = prepare_topics(topics).limit(NARROW_MAX_TOPICS + 1).collect()
+        terms = sum(len(g) for r in rows for g in (r.cnf or []))
+        narrow = len(rows) <= NARROW_MAX_TOPICS and terms <= NARROW_MAX_TERMS
+        strategy = "narrow" if narrow else "inverted"
     if strategy == "narrow":
         return match_narrow(posts, topics, cutoff, ts_col)
     if strategy == "inverted":

@@ -99,15 +99,14 @@ _METRIC_TYPE = ("struct<start:timestamp,mentions:bigint,engagement:bigint,"
                 "sentiment:double,growth:double>")
 
 
-def summary(report_df: DataFrame, range_name: str, as_of: _dt.datetime,
-            window_type: str = "1d") -> DataFrame:
+def summary(report_df: DataFrame, range_name: str, as_of: _dt.datetime) -> DataFrame:
     """Summary cards per topic over daily rows of the chosen range.
 
-    Uses 1d rows only, whatever window is shown; ``start`` after
+    Uses 1d rows only, whatever window is shown; takes every named range and
+    raises on an unknown name; ``start`` after
     ``range_start - 1 s`` and before ``as_of``.  Sentiment is
     mention-weighted, 0 when there are no mentions.
     """
-    range_name = resolve_range(window_type, range_name)
     r_start, _ = range_bounds(range_name, as_of)
     lo = r_start - _dt.timedelta(seconds=1)
     d = report_df.where((F.col("window_type") == "1d")

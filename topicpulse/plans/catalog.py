@@ -7,6 +7,7 @@ DuckDB SQL lives in ``topicpulse.plans.oracle`` under the same name.
 
 from __future__ import annotations
 
+import datetime as dt
 import os as _os
 from collections.abc import Callable
 
@@ -130,7 +131,36 @@ def daily_sentiment(spark, sf_dir):
 
 @register("topic_options")
 def topic_options(spark, sf_dir):
-    return D.topic_options(fx.topic_posts(spark, sf_dir))
+    return D.topic_options(fx.topic_posts(spark, sf_dir), AS_OF)
+
+
+def _posts_with_gaps(spark, sf_dir):
+    """F2 with missing engagement and sentiment, and a third of it 40 days older."""
+    n = F.expr("CAST(substring(event_id, 4) AS BIGINT)")
+    tp = fx.topic_posts(spark, sf_dir)
+    return tp.withColumns({
+        "created_at": F.expr("created_at") - F.when(n % 3 == 0, F.expr("INTERVAL 40 DAY"))
+        .otherwise(F.expr("INTERVAL 0 DAY")),
+        "engagement": F.when(n % 7 != 0, F.col("engagement")),
+        "sentiment_score": F.when(n % 11 != 0, F.col("sentiment_score"))})
+
+
+@register("topic_options_gaps")
+def topic_options_gaps(spark, sf_dir):
+    return D.topic_options(_posts_with_gaps(spark, sf_dir), AS_OF)
+
+
+@register("kpis_gaps")
+def kpis_gaps(spark, sf_dir):
+    return present(D.kpis(_posts_with_gaps(spark, sf_dir), AS_OF))
+
+
+@register("kpis_month_end")
+def kpis_month_end(spark, sf_dir):
+    """KPIs on 31 March, over posts moved 60 days on."""
+    moved = fx.topic_posts(spark, sf_dir).withColumn(
+        "created_at", F.col("created_at") + F.expr("INTERVAL 60 DAY"))
+    return present(D.kpis(moved, dt.datetime(2024, 3, 31, 12)))
 
 
 # ---------------------------------------------------------------- phase 3
@@ -450,6 +480,21 @@ def timeline_1m_6m(spark, sf_dir):
     return present(TL.timeline(_report_all(spark, sf_dir), "1m", "6m", AS_OF))
 
 
+@register("summary_12m")
+def summary_12m(spark, sf_dir):
+    return present(TL.summary(_report_all(spark, sf_dir), "12m", AS_OF))
+
+
+def _register_timeline(window_type: str, range_name: str) -> None:
+    @register(f"timeline_{window_type}_{range_name}")
+    def query(spark, sf_dir):
+        return present(TL.timeline(_report_all(spark, sf_dir), window_type, range_name, AS_OF))
+
+
+for _w, _r in (("1d", "3m"), ("1d", "this_month"), ("1w", "6m"), ("1m", "3m")):
+    _register_timeline(_w, _r)
+
+
 @register("summary_this_week")
 def summary_this_week(spark, sf_dir):
     return present(TL.summary(_report_all(spark, sf_dir), "this_week", AS_OF))

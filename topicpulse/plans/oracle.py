@@ -9,17 +9,19 @@ matching ``topicpulse.plans.output.present``.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
-from topicpulse.functions.calendar import cutoff as _cutoff
-from topicpulse.functions.calendar import range_bounds
 from topicpulse.functions.sentiment import DEFAULT_LEXICON, NEGATION_FACTOR
-from topicpulse.operators.dashboard import dashboard_range
-from topicpulse.operators.matching import group_regex
-from topicpulse.operators.metrics import horizon
 from topicpulse.sources.fixtures import AS_OF, F4_TOPICS
 
 ORACLE: dict[str, str] = {}
 
+# Runs of anything but letters and digits of any script (RE2).
+NONWORD = r"[^\p{L}\p{N}]+"
+
+# The dates below are literals, worked out by hand for AS_OF 2024-01-31 12:00.
+_DT = _dt.datetime
+
 
 def _ts(d: _dt.datetime) -> str:
     return f"TIMESTAMP '{d:%Y-%m-%d %H:%M:%S}'"
@@ -41,7 +43,7 @@ tp AS (
          CASE WHEN value >= 50 THEN CAST(0.5 AS DOUBLE) ELSE CAST(-0.25 AS DOUBLE) END AS sentiment_score
   FROM events)"""
 
-_LO, _HI = horizon(AS_OF)
+_LO, _HI = _DT(2022, 1, 31), _DT(2024, 2, 1)
 
 
 def report_ctes(where: str = "", extra_topic: str | None = None,
@@ -121,35 +123,40 @@ FROM g GROUP BY topic_id, window_type, start"""
 
 
 # ---------------------------------------------------------------- timelines
+_RANGES = {
+    "this_week": (_DT(2024, 1, 29), _DT(2024, 2, 5)),
+    "this_month": (_DT(2024, 1, 1), _DT(2024, 2, 1)),
+    "3m": (_DT(2023, 11, 1), _DT(2024, 2, 1)),
+    "6m": (_DT(2023, 8, 1), _DT(2024, 2, 1)),
+    "12m": (_DT(2023, 2, 1), _DT(2024, 2, 1)),
+}
+
+
 def _timeline_sql(window_type: str, range_name: str, clip: bool = False,
                   cols: str = "topic_id, \"end\", mentions, engagement, sentiment, growth") -> str:
-    r_start, r_end = range_bounds(range_name, AS_OF)
+    r_start, r_end = _RANGES[range_name]
     step = {"1d": "INTERVAL 1 DAY", "1w": "INTERVAL 7 DAY", "1m": "INTERVAL 1 MONTH"}[window_type]
-    if window_type == "1d":
-        bar = "date_trunc('day', start)"
-    elif window_type == "1m":
-        bar = "date_trunc('month', start)"
-    else:
-        bar = (f"{_ts(r_start)} + to_days(CAST(floor(date_diff('day', {_ts(r_start)}, start) / 7)"
-               f" AS INTEGER) * 7)")
     clip_sql = f"WHERE bar <= {_ts(AS_OF)}" if clip else ""
+    # J4 as a range search: a bar shows the metric that starts in [bar, bar + step),
+    # the latest one if there are several
     return f"""WITH {report_ctes()},
-m AS (
-  SELECT topic_id, CAST({bar} AS TIMESTAMP) AS bar, mentions, engagement, sentiment, growth
-  FROM rep WHERE window_type = '{window_type}'),
-m2 AS (SELECT * FROM m WHERE bar >= {_ts(r_start)} AND bar < {_ts(r_end)}),
 bars AS (
   SELECT topic_id, CAST(unnest(generate_series({_ts(r_start)},
          {_ts(r_end)} - INTERVAL 1 MICROSECOND, {step})) AS TIMESTAMP) AS bar
   FROM (SELECT DISTINCT topic_id FROM rep)),
 bars2 AS (SELECT * FROM bars {clip_sql}),
+found AS (
+  SELECT b.topic_id, b.bar, m.mentions, m.engagement, m.sentiment, m.growth,
+         row_number() OVER (PARTITION BY b.topic_id, b.bar ORDER BY m.start DESC) AS nth
+  FROM bars2 b LEFT JOIN (SELECT * FROM rep WHERE window_type = '{window_type}') m
+    ON m.topic_id = b.topic_id AND m.start >= b.bar AND m.start < b.bar + {step}),
 j AS (
-  SELECT bars2.topic_id, epoch_ms(bars2.bar) AS "end",
-         CAST(coalesce(m2.mentions, 0) AS BIGINT) AS mentions,
-         CAST(coalesce(m2.engagement, 0) AS BIGINT) AS engagement,
-         round(coalesce(m2.sentiment, 0.0), 6) AS sentiment,
-         round(coalesce(m2.growth, 0.0), 6) AS growth
-  FROM bars2 LEFT JOIN m2 ON bars2.topic_id = m2.topic_id AND bars2.bar = m2.bar)
+  SELECT topic_id, epoch_ms(bar) AS "end",
+         CAST(coalesce(mentions, 0) AS BIGINT) AS mentions,
+         CAST(coalesce(engagement, 0) AS BIGINT) AS engagement,
+         round(coalesce(sentiment, 0.0), 6) AS sentiment,
+         round(coalesce(growth, 0.0), 6) AS growth
+  FROM found WHERE nth = 1)
 SELECT {cols} FROM j"""
 
 
@@ -159,7 +166,7 @@ ORACLE["timeline_1m_12m"] = _timeline_sql("1m", "12m")
 ORACLE["growth_clipped"] = _timeline_sql("1d", "this_month", clip=True,
                                          cols='topic_id, "end", growth')
 
-_MS, _ = range_bounds("this_month", AS_OF)
+_MS = _DT(2024, 1, 1)
 ORACLE["summary_this_month"] = f"""WITH {report_ctes()},
 v AS (
   SELECT topic_id, sum(mentions) AS mentions, sum(engagement) AS engagement,
@@ -179,7 +186,7 @@ SELECT DISTINCT window_type FROM rep"""
 
 
 # ---------------------------------------------------------------- dashboard
-_DLO, _DHI = dashboard_range(AS_OF)
+_DLO, _DHI = _DT(2023, 12, 31, 12), _DT(2024, 1, 31, 12)
 _DASH_BASE = f"""{TOPIC_POSTS},
 base AS (
   SELECT * FROM tp
@@ -206,8 +213,35 @@ FROM days LEFT JOIN pd ON days.day = CAST(pd.day AS TIMESTAMP)"""
 ORACLE["daily_matched"] = _daily_sql("count(*)", "CAST(coalesce(pd.value, 0) AS BIGINT)")
 ORACLE["daily_engagement"] = _daily_sql("CAST(sum(engagement) AS BIGINT)", "pd.value")
 ORACLE["daily_sentiment"] = _daily_sql("avg(sentiment_score)", "round(pd.value, 6)")
-ORACLE["topic_options"] = f"""WITH {TOPIC_POSTS}
-SELECT topic_id, count(*) AS doc_count FROM tp GROUP BY topic_id"""
+ORACLE["topic_options"] = f"""WITH {_DASH_BASE}
+SELECT topic_id, count(*) AS doc_count FROM base GROUP BY topic_id"""
+
+# rows with gaps and old dates: every 7th post has no engagement, every 11th no
+# sentiment, and every 3rd is 40 days older
+_GAPS = f"""{TOPIC_POSTS},
+gaps AS (
+  SELECT topic_id, created_at - CASE WHEN n % 3 = 0 THEN INTERVAL 40 DAY ELSE INTERVAL 0 DAY END
+           AS created_at,
+         CASE WHEN n % 7 <> 0 THEN engagement END AS engagement,
+         CASE WHEN n % 11 <> 0 THEN sentiment_score END AS sentiment_score
+  FROM (SELECT *, CAST(substr(event_id, 4) AS BIGINT) AS n FROM tp)),
+kept AS (
+  SELECT * FROM gaps WHERE engagement IS NOT NULL AND sentiment_score IS NOT NULL
+    AND created_at BETWEEN TIMESTAMP '2023-12-31 12:00:00' AND TIMESTAMP '2024-01-31 12:00:00')"""
+ORACLE["topic_options_gaps"] = f"""WITH {_GAPS}
+SELECT topic_id, count(*) AS doc_count FROM kept GROUP BY topic_id"""
+ORACLE["kpis_gaps"] = f"""WITH {_GAPS}
+SELECT CASE WHEN count(*) = 0 THEN NULL ELSE count(*) END AS matched_posts,
+       round(avg(sentiment_score), 6) AS avg_sentiment,
+       CAST(sum(engagement) AS BIGINT) AS engagement FROM kept"""
+# 31 March: the month before ends on 29 February
+ORACLE["kpis_month_end"] = f"""WITH {TOPIC_POSTS},
+moved AS (SELECT *, created_at + INTERVAL 60 DAY AS moved_at FROM tp)
+SELECT CASE WHEN count(*) = 0 THEN NULL ELSE count(*) END AS matched_posts,
+       round(avg(sentiment_score), 6) AS avg_sentiment,
+       CAST(sum(engagement) AS BIGINT) AS engagement
+FROM moved WHERE engagement IS NOT NULL AND sentiment_score IS NOT NULL
+  AND moved_at BETWEEN TIMESTAMP '2024-02-29 12:00:00' AND TIMESTAMP '2024-03-31 12:00:00'"""
 
 
 # ---------------------------------------------------------------- phase 3
@@ -240,13 +274,20 @@ def _f4_cnf(kw: str):
     return [v] if v else []
 
 
+def _group(terms: list[str]) -> str:
+    """Whole-token test of one OR group (RE2)."""
+    edge = r"[^\p{L}\p{N}]"
+    words = "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", t.lower()) for t in terms)
+    return f"(^|{edge})({words})({edge}|$)"
+
+
 def _match_sql(subs: list[str], cutoff=None) -> str:
     parts = []
     for tid, kw in F4_TOPICS:
         cnf = _f4_cnf(kw)
         if not cnf or any(len(g) == 0 for g in cnf):
             continue
-        conds = [f"regexp_matches(lower(text), '{group_regex(g)}')" for g in cnf]
+        conds = [f"regexp_matches(lower(text), '{_group(g)}')" for g in cnf]
         if subs:
             conds.append("lower(subreddit) IN (" + ", ".join(f"'{s}'" for s in subs) + ")")
         if cutoff is not None:
@@ -260,7 +301,7 @@ _SRC09 = [f"src{i}" for i in range(10)]
 _MATCH_OUT = f"\nSELECT topic_id, event_id, subreddit, {iso('created_at')} AS created_at, engagement FROM m"
 ORACLE["match_cnf_narrow"] = _match_sql(_SRC09) + _MATCH_OUT
 ORACLE["match_cnf_inverted"] = _match_sql([]) + _MATCH_OUT
-ORACLE["match_since_48h"] = _match_sql([], _cutoff(AS_OF, "sync")) + _MATCH_OUT
+ORACLE["match_since_48h"] = _match_sql([], _DT(2024, 1, 29, 12)) + _MATCH_OUT
 ORACLE["limit_per_topic"] = _match_sql([]) + f""",
 r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, event_id) AS rn
       FROM m)
@@ -458,7 +499,7 @@ _LEX = "SELECT * FROM (VALUES " + ", ".join(
 ORACLE["sentiment_lexicon"] = f"""WITH {POSTS},
 lex AS ({_LEX}),
 tk AS (
-  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{NONWORD}'),
                                lambda t: t <> '') AS toks
   FROM posts),
 ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
@@ -505,7 +546,7 @@ FROM r WHERE rn = 1"""
 ORACLE["stream_enrich"] = f"""WITH {_RT},
 lex AS ({_LEX}),
 tk AS (
-  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{NONWORD}'),
                                lambda t: t <> '') AS toks
   FROM rt WHERE event_id IS NOT NULL),
 ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
@@ -525,7 +566,7 @@ FROM rt LEFT JOIN a ON a.event_id = rt.event_id"""
 
 ORACLE["stream_upsert"] = ORACLE["current_posts_merge"]
 
-_BF_CUT = _cutoff(AS_OF, "backfill")
+_BF_CUT = _DT(2024, 1, 1, 12)
 ORACLE["backfill_run"] = (_match_sql([], _BF_CUT)
                           + f"\nSELECT DISTINCT topic_id, event_id, {iso('created_at')} AS created_at FROM m")
 
@@ -572,7 +613,7 @@ ORACLE["top_keywords"] = _match_sql([]) + f""",
 mt AS (SELECT m.topic_id, m.event_id, m.created_at, p.text FROM m JOIN posts p USING (event_id)),
 tk AS (
   SELECT topic_id, date_trunc('day', created_at) AS day,
-         unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+         unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '{NONWORD}'),
                                           lambda t: t <> ''))) AS key
   FROM mt),
 d AS (SELECT topic_id, day, key, count(*) AS c FROM tk GROUP BY 1, 2, 3),
@@ -609,8 +650,8 @@ FROM slugged"""
 
 ORACLE["raw_feed_json"] = ORACLE["normalize_posts"]
 
-_C0 = _cutoff(AS_OF - _dt.timedelta(hours=1), "sync")
-_C1 = _cutoff(AS_OF, "sync")
+_C0 = _DT(2024, 1, 29, 11)
+_C1 = _DT(2024, 1, 29, 12)
 ORACLE["sync_resend"] = _match_sql([], _C0) + f""",
 j AS (SELECT m.topic_id, m.event_id, m.created_at, p.score, p.num_comments,
              m.created_at >= {_ts(_C1)} AS fresh
@@ -624,15 +665,19 @@ FROM j"""
 # ---------------------------------------------------------------- more ranges, S6, U2
 ORACLE["timeline_1w_this_month"] = _timeline_sql("1w", "this_month")
 ORACLE["timeline_1m_6m"] = _timeline_sql("1m", "6m")
-_WS, _ = range_bounds("this_week", AS_OF)
+_WS = _DT(2024, 1, 29)
 ORACLE["summary_this_week"] = ORACLE["summary_this_month"].replace(
     _ts(_MS - _dt.timedelta(seconds=1)), _ts(_WS - _dt.timedelta(seconds=1)))
+ORACLE["summary_12m"] = ORACLE["summary_this_month"].replace(
+    _ts(_MS - _dt.timedelta(seconds=1)), _ts(_DT(2023, 1, 31, 23, 59, 59)))
+for _w, _r in (("1d", "3m"), ("1d", "this_month"), ("1w", "6m"), ("1m", "3m")):
+    ORACLE[f"timeline_{_w}_{_r}"] = _timeline_sql(_w, _r)
 ORACLE["topic_by_id"] = f"""WITH {CATALOG}
 SELECT seq, id, description, keywords, subreddits FROM slugged WHERE id = 'topic-40'"""
 
 ORACLE["sentiment_model"] = f"""WITH {POSTS},
 lex AS ({_LEX}),
-tk AS (SELECT event_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS tok FROM posts),
+tk AS (SELECT event_id, unnest(string_split_regex(lower(text), '{NONWORD}')) AS tok FROM posts),
 a AS (SELECT tk.event_id, avg(lex.polarity) AS m FROM tk JOIN lex ON lex.word = tk.tok
       WHERE lex.polarity IS NOT NULL GROUP BY 1)
 SELECT p.event_id,
@@ -645,7 +690,7 @@ FROM posts p LEFT JOIN a ON a.event_id = p.event_id"""
 _TRENDS_SRC = _match_sql([]).replace("WITH ", "", 1) + f""",
 lex AS ({_LEX}),
 tk AS (
-  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'),
+  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{NONWORD}'),
                                lambda t: t <> '') AS toks
   FROM posts),
 ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
