@@ -24,15 +24,18 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     return held[name]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage with files that every executor can read, so a lost
-    executor costs no recomputation of what is written.
+    executor costs no recomputation of what is written.  ``narrow`` is for
+    tables of a few numbers per row: they go to a sixth of the shuffle
+    partitions, so that small tables do not become many tiny files.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    out = df.coalesce(max(1, -(-shuffle_width(spark) // 6))) if narrow else df
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,12 +20,13 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"),
                                                            F.col("a").alias("b")))
-    both = materialize(both.filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
+    both = materialize(both.filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges",
+                       narrow=True)
     labels = both.groupBy(F.col("a").alias("node")).agg(
         F.least(F.min("b"), F.first("a")).alias("label"))
     before = None
     while True:
-        labels = materialize(labels, "labels")
+        labels = materialize(labels, "labels", narrow=True)
         total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total is None or total == before:
             return labels

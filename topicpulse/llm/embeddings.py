@@ -248,7 +248,7 @@ def near_pairs(leaves: DataFrame, parts: int, eps: float) -> DataFrame:
                 right, F.col("b") == F.col("r_above")).filter(
                 (F.col("l_id") <= F.col("r_id")) & (F.col("l_size") == F.col("r_size"))
                 & (gap <= reach2)).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-            .distinct(), "interval-pairs")
+            .distinct(), "interval-pairs", narrow=True)
     return pairs
 
 

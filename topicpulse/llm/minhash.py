@@ -261,7 +261,7 @@ def likely_groups(reps: DataFrame) -> DataFrame:
                                     F.sum(F.xxhash64("node") % (1 << 31)).alias("set"))
     # buckets with the same members are compared once
     once = sizes.filter("n > 1").groupBy("n", "least", "set").agg(F.min("key").alias("key"))
-    members = materialize(rows.join(once.select("key"), "key"), "buckets")
+    members = materialize(rows.join(once.select("key"), "key"), "buckets", narrow=True)
     units = in_blocks(members, "key", "node", "other").join(reps.select("node", "sig"), "node")
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,7 +369,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = reps.select("node", "digest", "least").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    return materialize(named.join(least, "label").select("digest", "class_id"), "text-classes")
+    return materialize(named.join(least, "label").select("digest", "class_id"), "text-classes",
+                       narrow=True)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -381,7 +382,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         F.when(has_words(F.col(text)), F.md5(F.col(text))).alias("digest"))
     rows = materialize(rows.join(found, "digest", "left").select(
         "doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(
-            F.col("class_id")).alias("class_id")), "documents-classed")
+            F.col("class_id")).alias("class_id")), "documents-classed", narrow=True)
     named = F.col("digest").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))
     # of the rows that bear the class's id, one stays; texts without words all stay
     first = F.row_number().over(W.partitionBy("class_id").orderBy("digest")) == 1
