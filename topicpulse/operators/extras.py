@@ -34,11 +34,13 @@ def sentiment_split(posts: DataFrame, ts_col: str = "created_at") -> DataFrame:
                      (F.col("n") - F.col("positive") - F.col("negative")).alias("neutral")))
 
 
-def top_keywords(posts: DataFrame, k: int = 5, ts_col: str = "created_at") -> DataFrame:
+def top_keywords(posts: DataFrame, k: int = 5, ts_col: str = "created_at",
+                 tokens_col: str | None = None) -> DataFrame:
     """The ``k`` tokens found in most posts of each bucket.
 
     Rows: topic_id, window_type, start, rank, key, doc_count.  Tokens are
-    counted once per post; ties go to the smaller key.  Plan: explode the
+    counted once per post; ties go to the smaller key.  ``tokens_col`` names
+    a token array that the matcher already made.  Plan: explode the
     distinct tokens of each post → count per (topic, day, token), combined
     map-side → grain explode of those day counts → sum per bucket →
     ``row_number() <= k`` (a WindowGroupLimit keeps only k rows per bucket
@@ -46,8 +48,9 @@ def top_keywords(posts: DataFrame, k: int = 5, ts_col: str = "created_at") -> Da
     exploding the three buckets on every (post, token) row: the second
     aggregate sees already-reduced rows.
     """
+    words = F.array_remove(tokens_col, "") if tokens_col else tokens(F.col("text"))
     toks = posts.select("topic_id", F.date_trunc("day", F.col(ts_col)).alias("day"),
-                        F.explode(F.array_distinct(tokens(F.col("text")))).alias("key"))
+                        F.explode(F.array_distinct(words)).alias("key"))
     days = toks.groupBy("topic_id", "day", "key").agg(F.count(F.lit(1)).alias("doc_count"))
     g = days.select("topic_id", F.inline(_grain_array(F.col("day"))), "key", "doc_count")
     b = g.groupBy("topic_id", "window_type", "start", "key").agg(

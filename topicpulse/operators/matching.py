@@ -118,7 +118,7 @@ def _group_condition(terms: list[str], lt: Column, toks: Column) -> Column:
 
 
 def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
-                 ts_col: str = "created_at") -> DataFrame:
+                 ts_col: str = "created_at", tokens_col: str | None = None) -> DataFrame:
     t = prepare_topics(topics)
     rows = t.limit(NARROW_MAX_TOPICS + 1).collect()
     if len(rows) > NARROW_MAX_TOPICS:
@@ -138,8 +138,9 @@ def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | Non
         cases.append(F.when(cond, F.lit(r.topic_id)))
     p = _since(posts, cutoff, ts_col)
     if not cases:
-        return p.withColumn("topic_id", F.lit(None).cast("string")).where(F.lit(False))
-    cols = p.columns
+        none = p.withColumn(tokens_col, F.array().cast("array<string>")) if tokens_col else p
+        return none.withColumn("topic_id", F.lit(None).cast("string")).where(F.lit(False))
+    cols = p.columns + ([toks.alias(tokens_col)] if tokens_col else [])
     staged = (p.withColumn("_tp_lt", F.lower(F.col("text")))
                .withColumn("_tp_toks", F.split(F.col("_tp_lt"), _SPLIT)))
     hits = F.filter(F.array(*cases), lambda x: x.isNotNull())
@@ -178,7 +179,8 @@ def _fits_broadcast(terms: DataFrame) -> bool:
 
 
 def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
-                   ts_col: str = "created_at", key_col: str = "event_id") -> DataFrame:
+                   ts_col: str = "created_at", key_col: str = "event_id",
+                   tokens_col: str | None = None) -> DataFrame:
     terms = term_table(topics)
     p = _since(posts, cutoff, ts_col)
     lt = F.lower(F.col("text"))
@@ -221,15 +223,18 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
                       F.size(F.collect_set("group_idx")).alias("n_hit"))
                  .where(F.col("n_hit") == F.col("n_groups"))
                  .select("topic_id", key_col))
-    return p.join(pairs, key_col, "inner")
+    out = p.join(pairs, key_col, "inner")
+    return out.withColumn(tokens_col, F.split(lt, _SPLIT)) if tokens_col else out
 
 
 def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
-                strategy: str = "auto", ts_col: str = "created_at") -> DataFrame:
+                strategy: str = "auto", ts_col: str = "created_at",
+                tokens_col: str | None = None) -> DataFrame:
     """J1 entry point: ``strategy`` = 'narrow' | 'inverted' | 'auto'.
 
     'auto' takes the narrow plan when the catalogue is within both of its
-    bounds (topics and terms); the two give the same rows.
+    bounds (topics and terms); the two give the same rows.  ``tokens_col``
+    adds the post's token array, for callers that count tokens.
     """
     if strategy == "auto":
         rows = prepare_topics(topics).limit(NARROW_MAX_TOPICS + 1).collect()
@@ -237,9 +242,9 @@ def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None
         narrow = len(rows) <= NARROW_MAX_TOPICS and terms <= NARROW_MAX_TERMS
         strategy = "narrow" if narrow else "inverted"
     if strategy == "narrow":
-        return match_narrow(posts, topics, cutoff, ts_col)
+        return match_narrow(posts, topics, cutoff, ts_col, tokens_col)
     if strategy == "inverted":
-        return match_inverted(posts, topics, cutoff, ts_col)
+        return match_inverted(posts, topics, cutoff, ts_col, tokens_col=tokens_col)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

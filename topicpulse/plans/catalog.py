@@ -243,6 +243,14 @@ def subreddit_checks(spark, sf_dir):
                     F.to_json(RU.not_allowed(subs, allowed)).alias("not_allowed"))
 
 
+@register("allowed_search")
+def allowed_search(spark, sf_dir):
+    """Each topic's subreddits that hold the typed text, in any case."""
+    t = fx.topic_catalog(spark, sf_dir)
+    subs = RU.parse_csv(F.col("subreddits"), clean=True)
+    return t.select("seq", F.to_json(RU.search_allowed(subs, "rC1")).alias("found"))
+
+
 def _existing_topics(spark):
     base = fx.topics(spark, SRC_0_9).select("id")
     return base.unionByName(spark.createDataFrame([("click",), ("signup",)], "id string"))
@@ -418,8 +426,18 @@ def sentiment_split(spark, sf_dir):
 
 @register("top_keywords")
 def top_keywords(spark, sf_dir):
-    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="auto")
-    return present(EX.top_keywords(m, 5))
+    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="auto",
+                       tokens_col="tokens")
+    return present(EX.top_keywords(m, 5, tokens_col="tokens"))
+
+
+@register("top_keywords_arrays")
+def top_keywords_arrays(spark, sf_dir):
+    """X2 in its declared shape: one array of (key, doc_count) per bucket."""
+    m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="auto",
+                       tokens_col="tokens")
+    arrays = EX.top_keywords_arrays(EX.top_keywords(m, 5, tokens_col="tokens"))
+    return present(arrays.withColumn("top_keywords", F.to_json("top_keywords")))
 
 
 @register("topic_filters")

@@ -397,6 +397,13 @@ SELECT seq, CAST(len(list_filter(subs, lambda x: trim(x) <> '')) AS INTEGER) AS
          AS not_allowed
 FROM s"""
 
+ORACLE["allowed_search"] = f"""WITH {CATALOG},
+s AS (SELECT seq, list_filter(list_transform(string_split(coalesce(subreddits, ''), ','),
+                                             lambda x: trim(x)), lambda x: x <> '') AS subs
+      FROM cat)
+SELECT seq, CAST(to_json(list_filter(subs, lambda x: contains(lower(x), 'rc1'))) AS VARCHAR) AS found
+FROM s"""
+
 _EXISTING = ("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t, _ in F4_TOPICS)
              + ", ('click'), ('signup')) AS x(id)")
 ORACLE["append_topics"] = f"""WITH {CATALOG},
@@ -628,6 +635,12 @@ SELECT topic_id, window_type, {iso('start')} AS start, key, CAST(doc_count AS BI
        CAST(rank AS INTEGER) AS rank
 FROM r WHERE rank <= 5"""
 
+ORACLE["top_keywords_arrays"] = f"""
+SELECT topic_id, window_type, start,
+       CAST(to_json(list({{'key': key, 'doc_count': doc_count}} ORDER BY rank)) AS VARCHAR)
+         AS top_keywords
+FROM ({ORACLE["top_keywords"]}) GROUP BY 1, 2, 3"""
+
 ORACLE["topic_filters"] = _match_sql([]) + f""",
 mt AS (SELECT m.*, p.text, p.lang, p.author FROM m JOIN posts p USING (event_id))
 SELECT topic_id, event_id, subreddit, {iso('created_at')} AS created_at, engagement FROM mt
