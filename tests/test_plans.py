@@ -7,7 +7,7 @@ import re
 import __spark_entry__ as E
 from tests.conftest import SF0001
 
-STREAMING = ("stream_", "backfill_run", "raw_feed_json", "sync_resend", "report_from_log")
+STREAMING = ("stream_", "backfill_", "pipeline_report", "raw_feed_json", "sync_resend", "report_from_log")
 
 
 def _plan(df) -> str:

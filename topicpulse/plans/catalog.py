@@ -381,10 +381,25 @@ def backfill_run(spark, sf_dir):
     q = BF.run_backfill(spark, src, fx.topics(spark, ""), fx.posts(spark, sf_dir), AS_OF, out,
                         _os.path.join(base, "ckpt"), source_options={"maxFilesPerTrigger": 1})
     q.awaitTermination()
-    res = spark.read.option("basePath", out).parquet(out)
+    res = UP.read_log(spark, _os.path.join(out, "events"))
     return present(res.select("topic_id", "event_id", "created_at").distinct())
 
 
+@register("backfill_status")
+def backfill_status(spark, sf_dir):
+    """T3 → T4: the status that a backfill run wrote, and the tasks it rejected."""
+    base = scratch_dir(spark, "backfill-status")
+    src, out = _os.path.join(base, "tasks"), _os.path.join(base, "out")
+    _task_values(spark, sf_dir).repartitionByRange(2, "seq").select("value").write.text(src)
+    BF.run_backfill(spark, src, fx.topics(spark, ""), fx.posts(spark, sf_dir), AS_OF, out,
+                    _os.path.join(base, "ckpt")).awaitTermination()
+    status = BF.status_of(spark.read.parquet(_os.path.join(out, "status")))
+    rejected = spark.read.parquet(_os.path.join(out, "rejects")).groupBy("topic_id").agg(
+        F.count(F.lit(1)).alias("rejected"))
+    return status.select("topic_id", "status", "percentage").join(
+        rejected, "topic_id", "full").select("topic_id", "status", "percentage", "rejected")
+
+
 @register("backfill_progress")
 def backfill_progress(spark, sf_dir):
     m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""),
@@ -487,6 +502,27 @@ def sync_resend(spark, sf_dir):
                               "versions"))
 
 
+@register("pipeline_report")
+def pipeline_report(spark, sf_dir):
+    """The connected stream: match → JSON events → enrich stream → consumer stream →
+    upsert log → current view → report, over two cycles; the second re-sends every
+    post with its fresh score."""
+    base = scratch_dir(spark, "flow")
+    matched, enriched, log = (_os.path.join(base, x) for x in ("matched", "enriched", "log"))
+    topics = fx.topics(spark, "")
+    posts = fx.posts(spark, sf_dir)
+    stale = posts.withColumn("score", F.col("score") - F.lit(1))
+    for n, cycle in enumerate((stale, posts)):
+        SY.publish_cycle(cycle, topics, AS_OF, matched, n, preset=None)
+        EN.enrich_stream(spark, matched, enriched, _os.path.join(base, "ckpt-enrich"),
+                         source_options={"recursiveFileLookup": "true"}).awaitTermination()
+        events = EN.read_enriched(EN.read_posts_stream(spark, "text", enriched))
+        UP.upsert_stream(events, log, _os.path.join(base, "ckpt-upsert")).awaitTermination()
+    cur = UP.current_view(spark, log, value_cols=["event_ts", "engagement", "sentiment_score"])
+    return present(M.report(cur.withColumnRenamed("event_ts", "created_at"), AS_OF,
+                            topics=topics.select(F.col("id").alias("topic_id"))))
+
+
 # ---------------------------------------------------------------- more ranges, S6, U2
 @register("timeline_1w_this_month")
 def timeline_1w_this_month(spark, sf_dir):

@@ -726,4 +726,14 @@ ORACLE["topic_trends"] = ("WITH " + report_ctes(source=_TRENDS_SRC,
                                                 extra_topics=[t for t, _ in F4_TOPICS])
                           + REPORT_SELECT)
 
+ORACLE["pipeline_report"] = ORACLE["topic_trends"]
+_TASK_IDS = [t for t, _ in F4_TOPICS] + ["ghost-topic"]
+ORACLE["backfill_status"] = f"""WITH tasks AS (
+  SELECT [{", ".join(f"'{t}'" for t in _TASK_IDS)}][event_id % {len(_TASK_IDS)} + 1] AS topic_id
+  FROM events)
+SELECT topic_id,
+       CASE WHEN topic_id <> 'ghost-topic' THEN 'COMPLETED' END AS status,
+       CASE WHEN topic_id <> 'ghost-topic' THEN CAST(100.0 AS DOUBLE) END AS percentage,
+       CASE WHEN topic_id = 'ghost-topic' THEN count(*) END AS rejected
+FROM tasks GROUP BY topic_id"""
 ORACLE["report_from_log"] = ORACLE["report_all_topics"]
