@@ -90,13 +90,3 @@ def test_single_scan_plan(spark):
     r = M.report(fx.topic_posts(spark, SF001), AS_OF)
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 or plan.count("Scan parquet") == 1
-
-
-def test_spine_helper_extends_bounds(spark):
-    b = spark.createDataFrame([("x", None, None), ("y", dt.datetime(2021, 6, 1), None)],
-                              "topic_id string, dmin timestamp, dmax timestamp")
-    s = M.spine(b, AS_OF)
-    counts = {(r.topic_id, r.window_type): r["count"]
-              for r in s.groupBy("topic_id", "window_type").count().collect()}
-    assert counts[("x", "1d")] == 732 and counts[("x", "1w")] == 105 and counts[("x", "1m")] == 26
-    assert counts[("y", "1m")] == 33          # 2021-06 … 2024-02

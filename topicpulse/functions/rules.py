@@ -29,12 +29,6 @@ def _flat(kw: Column) -> Column:
     return F.from_json(kw, _FLAT)
 
 
-def is_nested(kw: Column) -> Column:
-    """True when the keyword JSON is a non-empty list whose first item is a list."""
-    n = _nested(kw)
-    return n.isNotNull() & (F.size(n) > 0)
-
-
 def parse_keywords(kw: Column) -> Column:
     """C1 + C4: keyword JSON → CNF ``array<array<string>>``.
 

@@ -76,24 +76,6 @@ def buckets_from_days(days: DataFrame) -> DataFrame:
                   F.sum("sentiment_sum").alias("sentiment_sum")))
 
 
-def spine(bounds: DataFrame, as_of: _dt.datetime) -> DataFrame:
-    """A5: every bucket start per topic and grain.
-
-    ``bounds`` has topic_id, dmin, dmax (day of first/last post, null for a
-    topic without posts).  Bounds extend the horizon, they never cut data.
-    """
-    lo_ext, hi_ext = horizon(as_of)
-    lo = F.least(F.col("dmin"), ts_lit(lo_ext))
-    hi = F.greatest(F.col("dmax"), ts_lit(hi_ext))
-    seqs = F.array(*[
-        F.struct(F.lit(wt).alias("window_type"),
-                 F.sequence(F.date_trunc(_TRUNC[wt], lo), F.date_trunc(_TRUNC[wt], hi),
-                            F.expr(_STEP[wt])).alias("starts"))
-        for wt in GRAIN_RANK])
-    return (bounds.select("topic_id", F.inline(seqs))
-                  .select("topic_id", "window_type", F.explode("starts").alias("start")))
-
-
 def _end(start: Column, wt: Column) -> Column:
     days = (F.when(wt == "1d", F.lit(BUCKET_DAYS["1d"]))
              .when(wt == "1w", F.lit(BUCKET_DAYS["1w"]))

@@ -36,14 +36,6 @@ def _bar_of(start: Column, window_type: str, range_start: _dt.datetime) -> Colum
     return rs + F.make_interval(days=days)
 
 
-def bars(topic_ids: DataFrame, window_type: str, range_start: _dt.datetime,
-         range_end: _dt.datetime) -> DataFrame:
-    """Bar starts per topic, ``range_start`` stepping while ``< range_end``."""
-    last = ts_lit(range_end) - F.expr("INTERVAL 1 MICROSECOND")
-    seq = F.sequence(ts_lit(range_start), last, F.expr(_STEP[window_type]))
-    return topic_ids.select("topic_id", F.explode(seq).alias("bar"))
-
-
 def timeline(report_df: DataFrame, window_type: str, range_name: str | None,
              as_of: _dt.datetime, clip_to_now: bool = False) -> DataFrame:
     """R1-R5 + J4: zero-filled chart points per topic.

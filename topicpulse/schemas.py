@@ -61,7 +61,3 @@ TASK_SCHEMA = T.StructType([
 STATUS_IDLE = "IDLE"
 STATUS_PENDING = "PENDING"
 STATUS_COMPLETED = "COMPLETED"
-STATUS_ERROR = "ERROR"
-
-# Window types of the report and their grain ordering.
-WINDOW_TYPES = ("1d", "1w", "1m")
