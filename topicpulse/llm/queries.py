@@ -139,3 +139,60 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id
 """,
 }
+
+
+def _quality_sql() -> str:
+    """op8 in SQL: the measures, the exact binomial bound and the two verdicts."""
+    cutoffs = ", ".join(f"('{rule}', {i}, {c})" for rule, cs in quality.RULES.items()
+                        for i, c in enumerate(cs))
+    share = quality.RISK / len(quality.RULES)
+    white = "[\\x20\\x09-\\x0D]"
+    ratio = """CASE rule WHEN 'symbol_ratio' THEN n_symbols / greatest(n_words, 1)
+        WHEN 'dup_line_ratio' THEN n_dup_lines / greatest(n_lines, 1)
+        WHEN 'repeat_ratio' THEN n_repeat_words / greatest(n_words, 1)
+        ELSE word_chars / greatest(n_words, 1) END"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i
+      FROM (SELECT rid, list_filter(string_split_regex(t, '{white}+'), lambda x: x <> '') AS ws FROM d)),
+tri AS (SELECT rid, i, a, lead(a, 1) OVER s AS b, lead(a, 2) OVER s AS c FROM w
+        WINDOW s AS (PARTITION BY rid ORDER BY i)),
+again AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM tri WHERE c IS NOT NULL)
+  WHERE n > 1),
+counts AS (SELECT rid, count(*) AS n_words, CAST(sum(length(a)) AS BIGINT) AS word_chars
+           FROM w GROUP BY rid),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM again GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(t, chr(10)),
+                                  lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+m AS (
+  SELECT d.rid, doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words
+  FROM d JOIN lines USING (rid) LEFT JOIN counts USING (rid) LEFT JOIN rep USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+rules(rule, pos, cutoff) AS (VALUES {cutoffs}),
+good AS (SELECT f.* FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE quality = 1 AND NOT base_failed),
+k AS (SELECT lang, rule, pos, cutoff, count(*) AS n,
+             count(*) FILTER ({ratio} > cutoff) AS k
+      FROM good, rules GROUP BY ALL),
+bound AS (
+  SELECT *, CASE WHEN k >= n * {share} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+           lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+                         + i * ln({share}) + (n - i) * ln(1 - {share})))) END AS p
+  FROM k),
+proven AS (
+  SELECT *, bool_and(p <= {quality.DELTA} / ({len(quality.RULES)}
+             * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM good)))
+           OVER (PARTITION BY lang, rule ORDER BY pos) AS ok FROM bound),
+cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM proven WHERE ok GROUP BY lang, rule),
+bad AS (SELECT DISTINCT rid FROM f JOIN cut ON cut.lang IS NOT DISTINCT FROM f.lang
+        WHERE {ratio} > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept
+FROM f
+"""
+
+
+ORACLE["op8_quality"] = _quality_sql()
