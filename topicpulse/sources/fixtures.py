@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicpulse.schemas import TOPIC_TABLE_SCHEMA
-from topicpulse.sources.tables import partitions_for, read_events, read_table, table_path
+from topicpulse.sources.tables import read_events, read_table
 
 # Fixed clock of every derived query (never the wall clock).
 AS_OF = _dt.datetime(2024, 1, 31, 12, 0, 0)
@@ -46,16 +46,15 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs.select("doc_id", "text", "lang", F.col("source").alias("subreddit"))
     # The feed is laid out by its record key, like the reference's stream
     # (messages keyed by event_id).  A stored post table gets the same layout
-    # from bucketBy(n, "event_id") without this shuffle; every per-post
-    # operator then runs with full parallelism, and the inverted matcher's
-    # division and join-back (both keyed by event_id) need no exchange.
-    n = partitions_for(spark, table_path(sf_dir, "events"), table_path(sf_dir, "documents"))
+    # from bucketBy(n, "event_id") without this shuffle; the number of
+    # partitions is AQE's, from the bytes that were shuffled.  The inverted
+    # matcher's division and join-back (keyed by event_id) need no exchange.
     return (ev.join(d, "doc_id", "inner")
               .withColumn("engagement",
                           F.col("score") + F.col("num_comments") + F.lit(1))
               .select("event_id", "subreddit", "author", "created_at", "text",
                       "lang", "score", "num_comments", "engagement")
-              .repartition(n, "event_id"))
+              .repartition("event_id"))
 
 
 def topic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

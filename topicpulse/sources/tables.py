@@ -21,28 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-# Tunable: compressed input bytes per partition for text-heavy per-row work.
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024
-
-
-def input_bytes(spark: SparkSession, *paths: str) -> int:
-    """Total size of the files under ``paths``.
-
-    Uses the public ``binaryFile`` source with only its ``length`` column,
-    so file contents are never read (a listing-sized job).
-    """
-    files = spark.read.format("binaryFile").load(list(paths))
-    return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
-
-
-def partitions_for(spark: SparkSession, *paths: str,
-                   target_bytes: int = TARGET_PARTITION_BYTES) -> int:
-    """Partition count that grows with the input: bytes / target, at least
-    ``spark.sql.shuffle.partitions``."""
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, -(-input_bytes(spark, *paths) // target_bytes))
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with ``ts`` as a UTC ``timestamp`` (stored as timestamp_ntz)."""
     ev = read_table(spark, sf_dir, "events")
