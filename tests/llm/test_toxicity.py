@@ -59,6 +59,25 @@ def test_held_out_accuracy(spark):
     assert (got.loc[~toxic, "score"] >= 0.7).mean() < 0.02
 
 
+def test_clear_terms_rank_before_frequent_words_that_lean(spark, monkeypatch):
+    # one language has more toxic texts, so all its common words lean; each of its
+    # toxic texts holds three of thirty terms
+    monkeypatch.setattr(T, "MAX_TERMS", 40)
+    rnd = random.Random(6)
+    terms = [f"vequ{k}x" for k in range(30)]
+    rows = []
+    for k in range(900):
+        lean = k % 3 == 0
+        toxic = int(rnd.random() < (0.4 if lean else 0.03))
+        words = rnd.choices([f"{'fr' if lean else 'en'}{j}" for j in range(50)], k=60)
+        words += rnd.sample(terms if lean else ["idiot", "moron", "scum"], 3) if toxic else []
+        rows.append((" ".join(words), toxic, k % 2))
+    sample = spark.createDataFrame(rows, "text string, toxic int, fold int")
+    learned = list(T.learn_terms(sample)[0])[:30]
+    assert len(set(terms) & set(learned)) >= 25
+    assert not any(w.startswith("fr") for w in learned)
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 1), (None, 1, 1), (3, 0, None), (8, 1, 0)],

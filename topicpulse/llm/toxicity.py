@@ -37,7 +37,9 @@ from topicpulse.llm.common import free_name, materialize, worker_cache
 ROWS_PER_CLASS = 8_000
 MAX_TERMS = 500
 MIN_TERM_DOCS = 4
-MIN_TERM_Z = 3.0
+#: A term's weight: its log odds less so many standard errors; and the least weight.
+ERRORS_OFF = 2.0
+MIN_WEIGHT = 1.2
 #: Words on each side that are looked at, and the words of a dense stretch.
 CONTEXT = 6
 STRETCH = 24
@@ -252,7 +254,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str)
 
 
 def learn_terms(sample: DataFrame) -> tuple[dict, dict, dict]:
-    """Lexicons learned from both folds, fold 0 and fold 1: term -> log odds."""
+    """Lexicons learned from both folds, fold 0 and fold 1: term -> weight.
+
+    The weight is a lower bound of the log odds, so a rare word must be far more
+    frequent among toxic texts, and a frequent word with a slight lean (one of a
+    language with more toxic texts) ranks below every clear term.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -275,11 +282,11 @@ def learn_terms(sample: DataFrame) -> tuple[dict, dict, dict]:
         all_pos = sum(totals[f, 1] for f in folds)
         all_neg = sum(totals[f, 0] for f in folds)
         odds = (F.log((pos + 0.5) / (all_pos + 1)) - F.log((neg + 0.5) / (all_neg + 1)))
-        z = odds / F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        rows = counts.select("word", odds.alias("odds"), z.alias("z"), pos.alias("pos")).filter(
-            (F.col("pos") >= MIN_TERM_DOCS) & (F.col("z") >= MIN_TERM_Z)).orderBy(
-            F.desc("z"), "word").limit(MAX_TERMS).collect()
-        out.append({r["word"]: min(float(r["odds"]), 6.0) for r in rows})
+        weight = odds - ERRORS_OFF * F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+        rows = counts.select("word", weight.alias("weight"), pos.alias("pos")).filter(
+            (F.col("pos") >= MIN_TERM_DOCS) & (F.col("weight") >= MIN_WEIGHT)).orderBy(
+            F.desc("weight"), "word").limit(MAX_TERMS).collect()
+        out.append({r["word"]: float(r["weight"]) for r in rows})
     return tuple(out)
 
 
