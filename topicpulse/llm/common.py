@@ -15,11 +15,13 @@ def worker_cache(name: str, make: Callable[[], Any]) -> Any:
     """A value made once per Python worker and kept across its tasks.
 
     Functions of this subpackage travel by value, so their module globals are
-    new in every task; the cache hangs on ``sys``, which lives as long as the
-    worker does.
+    new in every task; the value hangs on ``sys``, which lives as long as the
+    worker does.  Only the value asked for last is kept: a worker that goes on
+    to another operator or model gives the old one's memory back.
     """
     held = sys.__dict__.setdefault("_topicpulse_llm", {})
     if name not in held:
+        held.clear()
         held[name] = make()
     return held[name]
 

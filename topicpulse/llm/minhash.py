@@ -58,7 +58,7 @@ COMMON = 1 / 3
 #: Distinct random draws per sample; a shingle takes one by its hash.
 DRAWS = 1 << 15
 SEED = 7
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 _CHUNK = 2048
 #: Odd multipliers of the hash mix.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,

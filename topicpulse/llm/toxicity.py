@@ -43,7 +43,9 @@ MIN_WEIGHT = 1.2
 #: Words on each side that are looked at, and the words of a dense stretch.
 CONTEXT = 6
 STRETCH = 24
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
+#: (node, errors) pairs held in automaton states; beyond it the states start anew.
+STATE_PAIRS = 400_000
 #: Marks and words that announce a quotation or a report.
 QUOTE_MARKS = "\"“”„«»‹›"
 REPORT_WORDS = frozenset(
@@ -90,6 +92,7 @@ class FuzzyLexicon:
         self.ids: dict[tuple, int] = {}
         self.steps: list[dict[str, int]] = []
         self.verdict: list[tuple[float, int] | None] = []
+        self.pairs = 0
         self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
@@ -106,6 +109,7 @@ class FuzzyLexicon:
         if key not in self.ids:
             self.ids[key] = len(self.states)
             self.states.append(key)
+            self.pairs += len(key)
             self.steps.append({})
             best = None
             for node, e in key:
@@ -129,8 +133,8 @@ class FuzzyLexicon:
 
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, errors) of the best term within reach, or None."""
-        if len(self.states) > CACHE_ENTRIES:
-            self.states, self.ids, self.steps, self.verdict = [], {}, [], []
+        if self.pairs > STATE_PAIRS:
+            self.states, self.ids, self.steps, self.verdict, self.pairs = [], {}, [], [], 0
             self._state({0: 0})
         state, steps, alphabet = 0, self.steps, self.alphabet
         for c in word:
