@@ -93,3 +93,19 @@ def test_odd_rows(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 4, 5, 6, 7, 8, 10, 11]
     assert M.near_duplicates(no_documents(spark)).count() == 0
     assert M.deduplicate(no_documents(spark)).count() == 0
+
+
+def test_classes_of_one_name_keep_one_row_each(spark):
+    def text(name):
+        return " ".join(f"{name}{k}" for k in range(30))
+
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (None, ""),
+            (5, text("c")), (5, text("d")), (6, text("d")), (7, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = M.near_duplicates(docs).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in marked), key=str) == sorted(
+        [(None, None, True)] * 3 + [(None, None, False), (5, 5, True), (5, 5, True),
+                                    (6, 5, False), (7, 7, True)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in M.deduplicate(docs).collect()]
+    assert sorted(kept, key=str) == sorted(
+        [rows[k] for k in (0, 2, 3, 4, 5, 7)], key=str)

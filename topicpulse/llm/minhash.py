@@ -30,6 +30,8 @@ against the few edits in it.
 Edge cases: a text that is null or has no words forms no class but its own;
 the class is named by its least doc_id, and one row with it is kept (of
 repeated rows, one); null doc_ids never name a class that has another id.
+Which row stays is decided within each class: classes of one name (a doc_id on
+unrelated texts, or only null doc_ids) keep one row each.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicpulse.llm.common import free_name, materialize, shuffle_width, worker_cache
@@ -340,7 +341,8 @@ def verified_links(groups: DataFrame, reps: DataFrame, texts: DataFrame,
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             threshold: float = THRESHOLD) -> DataFrame:
-    """digest, class_id: the class of every distinct text that has words."""
+    """digest, class_id, stays: the class of every distinct text that has words, and
+    whether it is the one text of its class (least digest with the name) that stays."""
     idf = learn_idf(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.col(text).alias("text")).filter(has_words(F.col("text")))
@@ -368,9 +370,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labels = connected(links)
     named = reps.select("node", "digest", "least").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    return materialize(named.join(least, "label").select("digest", "class_id"), "text-classes",
-                       narrow=True)
+    # a null doc_id comes after all others
+    best = named.groupBy("label").agg(F.min(F.struct(
+        F.col("least").isNull().alias("unnamed"), "least", "digest")).alias("best"))
+    return materialize(named.join(best, "label").select(
+        "digest", F.col("best.least").alias("class_id"),
+        (F.col("digest") == F.col("best.digest")).alias("stays")), "text-classes", narrow=True)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -380,15 +385,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.when(has_words(F.col(text)), F.md5(F.col(text))).alias("digest"))
+    named = F.col("stays") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     rows = materialize(rows.join(found, "digest", "left").select(
         "doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(
-            F.col("class_id")).alias("class_id")), "documents-classed", narrow=True)
-    named = F.col("digest").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))
-    # of the rows that bear the class's id, one stays; texts without words all stay
-    first = F.row_number().over(W.partitionBy("class_id").orderBy("digest")) == 1
-    kept = rows.filter(named).withColumn("kept", F.col("digest").isNull() | first)
-    return kept.unionByName(rows.filter(~named).withColumn("kept", F.lit(False))).select(
-        "doc_id", "class_id", "kept")
+            F.col("class_id")).alias("class_id"), F.coalesce(named, F.lit(False)).alias("named"),
+        F.monotonically_increasing_id().alias("row")), "documents-classed", narrow=True)
+    # of the rows with the class's id and text, one stays; texts without words all stay
+    first = rows.filter("named").groupBy("digest").agg(F.min("row").alias("first"))
+    kept = rows.filter("named").join(first, F.col("row") == F.col("first"), "left").select(
+        "doc_id", "class_id", F.col("first").isNotNull().alias("kept"))
+    return kept.unionByName(rows.filter("NOT named").select(
+        "doc_id", "class_id", F.col("digest").isNull().alias("kept")))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -399,11 +406,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     digest, other, other_id = (free_name(names, n) for n in ("digest", "same_digest", "same_id"))
     rows = docs.withColumn(digest, F.when(has_words(F.col(text)), F.md5(F.col(text))))
     blank = rows.filter(F.col(digest).isNull()).drop(digest)
-    # the least doc_id of a class may stand on several texts or rows: the least digest wins
-    pick = rows.select(F.col(digest).alias("digest"),
-                       F.col(doc_id).cast("long").alias("doc")).join(found, "digest").filter(
-        F.col("doc").eqNullSafe(F.col("class_id"))).groupBy(
-        F.col("class_id").alias(other_id)).agg(F.min("digest").alias(other))
+    pick = found.filter("stays").select(F.col("digest").alias(other),
+                                        F.col("class_id").alias(other_id))
     stay = rows.join(pick, (F.col(digest) == F.col(other))
                      & F.col(doc_id).cast("long").eqNullSafe(F.col(other_id)), "left_semi")
-    return stay.dropDuplicates([digest, doc_id]).drop(digest).unionByName(blank)
+    return stay.dropDuplicates([digest]).drop(digest).unionByName(blank)
