@@ -66,3 +66,19 @@ def test_odd_rows(spark):
     assert len(got) == docs.count()
     assert all(tuple(r["license_"])[:5] == brute(r["text"]) for r in got)
     assert L.scan_licenses(no_documents(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text,labels,score", [
+    ("<!-- SPDX-License-Identifier: (GPL-2.0 OR MIT) -->", "gpl,mit", 0.1),
+    ("SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause) in this file",
+     "apache,bsd,mit", 0.1),
+    ("/* SPDX-License-Identifier: GPL-2.0 OR MIT */ or later", "gpl,mit", 0.1),
+    ("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0", "gpl,mit", 0.8),
+    ("é SPDX License Identifier: MIT AND\nSPDX-License-Identifier:ISC", "isc,mit", 0.1),
+    ("| SPDX License Identifier | EPL-2.0 |", "epl", 0.5),
+    ('"SPDX-License-Identifier": "MPL-2.0"', "mpl", 0.5),
+    ("the SPDX license identifier of a file names its terms", "", 0.0),
+])
+def test_expressions_end_with_their_grammar(text, labels, score):
+    automaton = L.WordAutomaton(dict.fromkeys([*L.BASE_PHRASES, *L.MORE_PHRASES, L.TAG], ""))
+    assert L.scan_text(automaton, text)[5:] == (labels, score)

@@ -14,9 +14,12 @@ a fixed weight; ``or`` takes the lesser side, since a user may choose, ``and``
 the greater, and ``with`` (an exception) halves the weight.  The document's
 score is the greatest over its notices and expressions.
 
-Edge cases: a null or empty text has no words, no labels and score 0.  An
-expression that cannot be parsed contributes the identifiers read before the
-error, joined by ``and``.  Rows are independent: repeated rows repeat, an empty
+An expression starts at every tag, goes to the line's end or the next tag, and
+ends before the first token that its grammar cannot continue with; its longest
+complete prefix counts.  A tag not spelled with hyphens needs a colon behind it
+or an identifier of a known family, else it is prose about tags.
+
+Edge cases: a null or empty text has no words, no labels and score 0.  Rows are independent: repeated rows repeat, an empty
 table gives an empty result, and extra columns pass through the operator.
 """
 
@@ -64,8 +67,14 @@ BINDS = {"or": 1, "and": 2, "with": 3}
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128
                   else 32 for b in range(256))
-_EXPRESSION = re.compile(r"SPDX-License-Identifier\s*:?[ \t]*([^\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_WORD = re.compile(rb"[^ ]+")
+_COLON = re.compile(rb"\s*:")
+_EXPRESSION = re.compile(rb"\s*:?[ \t]*([^\n]*)")
+#: Identifiers, operators and brackets; any other character is a token that ends
+#: an expression, or is skipped before it (quotation marks, comment signs).
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*|\S")
+_LEADING = re.compile(r"[^(A-Za-z0-9]*")
+
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -121,33 +130,33 @@ class WordAutomaton:
 
 
 def to_postfix(tokens: list[str]) -> list[str]:
-    """Shunting-yard: infix tokens to postfix; raises ValueError when malformed."""
+    """Shunting-yard: the longest prefix of infix tokens that is an expression, in
+    postfix order."""
     out: list[str] = []
     stack: list[str] = []
+    whole: list[str] = []
     operand_next = True
     for token in tokens:
         low = token.lower()
         if low == "(" and operand_next:
             stack.append(low)
-        elif low == ")" and not operand_next:
-            while stack and stack[-1] != "(":
+        elif low == ")" and not operand_next and "(" in stack:
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                raise ValueError("unbalanced )")
             stack.pop()
         elif low in BINDS and not operand_next:
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand_next = True
-        elif low not in BINDS and low not in "()" and operand_next:
+        elif low[0].isascii() and low[0].isalnum() and low not in BINDS and operand_next:
             out.append(token)
             operand_next = False
         else:
-            raise ValueError(f"unexpected {token}")
-    if operand_next or "(" in stack:
-        raise ValueError("incomplete expression")
-    return out + stack[::-1]
+            break
+        if not operand_next and "(" not in stack:
+            whole = out + stack[::-1]
+    return whole
 
 
 def family(identifier: str) -> str:
@@ -158,17 +167,7 @@ def family(identifier: str) -> str:
 
 def evaluate(expression: str) -> tuple[set[str], float]:
     """Labels and restrictiveness of a license expression."""
-    tokens = _TOKEN.findall(expression)
-    try:
-        postfix = to_postfix(tokens)
-    except ValueError:
-        names = []
-        for token in tokens:
-            if token in "()" or (token.lower() in BINDS) == (len(names) % 2 == 0):
-                break
-            names.append(token)
-        names = names[::2]
-        postfix = names + ["and"] * (len(names) - 1)
+    postfix = to_postfix(_TOKEN.findall(expression, _LEADING.match(expression).end()))
     values: list[tuple[set[str], float]] = []
     for token in postfix:
         if token.lower() in BINDS:
@@ -185,6 +184,22 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     return values[0] if values else (set(), 0.0)
 
 
+def expressions(text: str, tags: list[int]) -> Iterator[str]:
+    """The text behind each tag, given the tags' first words."""
+    raw = text.encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in _WORD.finditer(raw.translate(_TO_WORDS))]
+    n = len(TAG.split())
+    starts = [spans[i][0] for i in tags]
+    for i, start, stop in zip(tags, starts, [*starts[1:], len(raw)]):
+        end = spans[i + n - 1][1]
+        found = _EXPRESSION.match(raw, end, stop)[1].decode("utf-8", "replace")
+        first = _TOKEN.findall(found, _LEADING.match(found).end())
+        name = next((t for t in first if t != "("), "")
+        if raw[start:end].lower() == TAG.replace(" ", "-").encode() or _COLON.match(
+                raw, end, stop) or family(name) in FAMILIES:
+            yield found
+
+
 def scan_text(automaton: WordAutomaton, text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     words = words_of(text)
@@ -195,8 +210,9 @@ def scan_text(automaton: WordAutomaton, text: str | None) -> tuple:
     base_labels = {label for _, label in base}
     labels = base_labels | {MORE_PHRASES[p] for _, p in places if p in MORE_PHRASES}
     score = max((WEIGHTS[x] for x in labels), default=0.0)
-    if any(p == TAG for _, p in places):
-        for expression in _EXPRESSION.findall(text or ""):
+    tags = [at for at, p in places if p == TAG]
+    if tags:
+        for expression in expressions(text or "", tags):
             names, weight = evaluate(expression)
             labels |= names
             score = max(score, weight)
