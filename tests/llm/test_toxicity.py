@@ -87,3 +87,24 @@ def test_odd_rows(spark):
         assert len(got) == docs.count() and all(0 <= r["score_"] <= 1 for r in got)
     empty = no_documents(spark)
     assert T.score(empty, T.learn(empty, labels)).count() == 0
+
+
+def test_every_proven_term_of_all_labelled_texts(spark, monkeypatch):
+    # far more terms than one automaton holds, far more rows than the sample
+    monkeypatch.setattr(T, "MAX_TERMS", 40)
+    monkeypatch.setattr(T, "ROWS_PER_CLASS", 60)
+    rnd = random.Random(9)
+    terms = [f"{a}{b}qu{a}zx" for a in "bcdfghjklm" for b in "aeiou"]
+    rows = []
+    for k in range(2400):
+        words = rnd.choices([f"w{j}" for j in range(40)], k=30)
+        words += [terms[(k // 3 + j) % len(terms)] for j in (0, 7, 19)] if k % 3 == 0 else []
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS int) AS toxic")
+    model = T.learn(docs, labels)
+    assert set(terms) <= set(model.terms)
+    assert not any(w.startswith("w") for w in model.terms)
+    reader, one = T.Reader(model.terms), T.FuzzyLexicon(model.terms)
+    for w in terms + [t[:3] + t[4:] for t in terms] + ["river"]:
+        assert reader.match(w) == one.match(w)

@@ -7,12 +7,12 @@ misspelled terms are found with the exact ones.  A context window around each
 match tells quotation or report from abuse.  Match weights by kind and context
 give a few features; a logistic model turns them into a score.
 
-Learning reads a bounded sample of labelled rows, at most ``ROWS_PER_CLASS`` of
-each class by hash order (exact copies once), re-weighted to the true class
-shares.  The lexicon holds the at most ``MAX_TERMS`` words with the strongest
-tie to the label; the model is fitted on features from lexicons of the other
-fold (two folds by text hash), so a term that a fold has by chance gets no
-undue weight.
+The lexicon holds every word whose tie to the label is proven by its counts over
+all labelled texts that are not held out (exact copies once).  The logistic
+model is fitted on a bounded sample, at most ``ROWS_PER_CLASS`` rows of each
+class by hash order, re-weighted to the true class shares, with features from
+lexicons of the other fold (two folds by text hash), so a term that a fold has
+by chance gets no undue weight.
 
 Edge cases: a null or empty text has no matches and gets the score of its empty
 feature row; without labelled rows of both classes every score is the share of
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from topicpulse.llm.common import free_name, materialize, worker_cache
 
 ROWS_PER_CLASS = 8_000
+#: Terms of one automaton; a larger lexicon is read by several, so that their
+#: states stay small.
 MAX_TERMS = 500
 MIN_TERM_DOCS = 4
 #: A term's weight: its log odds less so many standard errors; and the least weight.
@@ -159,13 +161,17 @@ class Reader:
     """Turns texts into feature rows with one lexicon."""
 
     def __init__(self, terms: dict[str, float]):
-        self.lexicon = FuzzyLexicon(terms)
+        names = sorted(terms)
+        self.lexicons = [FuzzyLexicon({t: terms[t] for t in names[i:i + MAX_TERMS]})
+                         for i in range(0, len(names), MAX_TERMS)]
         self.known: dict[str, tuple[float, int] | None] = {}
 
     def match(self, word: str) -> tuple[float, int] | None:
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        found = self.known[word] = self.lexicon.match(word.strip(EDGES))
+        bare = word.strip(EDGES)
+        places = [m for m in (x.match(bare) for x in self.lexicons) if m]
+        found = self.known[word] = max(places, key=lambda m: (m[0], -m[1]), default=None)
         return found
 
     def features(self, text: str | None) -> list[float]:
@@ -239,10 +245,22 @@ def fit_logistic(rows: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float =
     return mean, scale, beta[:-1], float(beta[-1])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str) -> tuple:
-    """(text, toxic, fold) of the sampled labelled rows, and the class counts."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labelled rows that are not held out."""
+    return labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """text, toxic, fold of the rows with a label, exact copies once."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
+        known, "doc_id").filter("text IS NOT NULL")
+    once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    return once.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+
+
+def training_sample(docs: DataFrame, known: DataFrame, text: str, doc_id: str) -> tuple:
+    """(text, toxic, fold) of the sampled labelled rows, and the class counts."""
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     drawn = None
     for label in (0, 1):
@@ -250,15 +268,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str)
             F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS)
         drawn = part if drawn is None else drawn.unionByName(part)
     # at most 2 * ROWS_PER_CLASS pairs of numbers: a bound that no input can raise
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
-        F.broadcast(drawn), "doc_id").filter("text IS NOT NULL")
-    once = rows.groupBy(F.col("text")).agg(F.max("toxic").alias("toxic"))
-    return materialize(once.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")),
+    return materialize(labelled_texts(docs, F.broadcast(drawn), text, doc_id),
                        "toxicity-train"), counts
 
 
-def learn_terms(sample: DataFrame) -> tuple[dict, dict, dict]:
-    """Lexicons learned from both folds, fold 0 and fold 1: term -> weight.
+def learn_terms(texts: DataFrame) -> tuple[dict, dict, dict]:
+    """Lexicons learned from both folds, fold 0 and fold 1: term -> weight, the
+    strongest first.
 
     The weight is a lower bound of the log odds, so a rare word must be far more
     frequent among toxic texts, and a frequent word with a slight lean (one of a
@@ -271,14 +287,18 @@ def learn_terms(sample: DataFrame) -> tuple[dict, dict, dict]:
             for text, toxic, fold in zip(batch["text"], batch["toxic"], batch["fold"]):
                 words = {w.strip(EDGES) for w in words_of(text)}
                 seen.update((w, int(fold), int(toxic)) for w in words if 3 <= len(w) <= 40)
+                seen["", int(fold), int(toxic)] += 1    # the texts themselves
             yield pd.DataFrame([(*k, n) for k, n in seen.items()],
                                columns=["word", "fold", "toxic", "n"])
 
-    totals = Counter({(r["fold"], r["toxic"]): r["count"]
-                      for r in sample.groupBy("fold", "toxic").count().collect()})
-    counts = sample.mapInPandas(count, "word string, fold int, toxic int, n long").groupBy(
+    parts = [(f, t) for f in (0, 1) for t in (0, 1)]
+    counts = texts.mapInPandas(count, "word string, fold int, toxic int, n long").groupBy(
         "word").agg(*[F.sum(F.expr(f"CASE WHEN fold = {f} AND toxic = {t} THEN n ELSE 0 END"))
-                      .alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)])
+                      .alias(f"n{f}{t}") for f, t in parts])
+    counts = materialize(counts.filter(F.expr(f"word = '' OR n01 + n11 >= {MIN_TERM_DOCS}")),
+                         "toxicity-words", narrow=True)
+    totals = Counter({(f, t): r[f"n{f}{t}"] for r in counts.filter("word = ''").collect()
+                      for f, t in parts})
     out = []
     for folds in ((0, 1), (0,), (1,)):
         pos = sum(F.col(f"n{f}1") for f in folds)
@@ -288,8 +308,8 @@ def learn_terms(sample: DataFrame) -> tuple[dict, dict, dict]:
         odds = (F.log((pos + 0.5) / (all_pos + 1)) - F.log((neg + 0.5) / (all_neg + 1)))
         weight = odds - ERRORS_OFF * F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
         rows = counts.select("word", weight.alias("weight"), pos.alias("pos")).filter(
-            (F.col("pos") >= MIN_TERM_DOCS) & (F.col("weight") >= MIN_WEIGHT)).orderBy(
-            F.desc("weight"), "word").limit(MAX_TERMS).collect()
+            (F.col("word") != "") & (F.col("pos") >= MIN_TERM_DOCS)
+            & (F.col("weight") >= MIN_WEIGHT)).orderBy(F.desc("weight"), "word").collect()
         out.append({r["word"]: float(r["weight"]) for r in rows})
     return tuple(out)
 
@@ -309,9 +329,12 @@ def features_of(docs: DataFrame, terms: dict[str, float], text: str, name: str)
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text",
           doc_id: str = "doc_id") -> Model:
     """Lexicon and logistic model from the labelled rows that are not held out."""
-    sample, counts = training_sample(docs, labels, text, doc_id)
+    known = known_labels(labels)
+    sample, counts = training_sample(docs, known, text, doc_id)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    terms, of_0, of_1 = learn_terms(sample)
+    # the labels grow with the input: joined by a shuffle at every size, without a sort
+    terms, of_0, of_1 = learn_terms(
+        labelled_texts(docs, known.hint("shuffle_hash"), text, doc_id))
     rows = []
     for fold, lexicon in ((0, of_1), (1, of_0)):
         part = features_of(sample.filter(F.col("fold") == fold), lexicon, "text",
