@@ -65,3 +65,18 @@ def test_odd_rows(spark):
     assert langid.identify(no_documents(spark)).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred_"] for r in langid.identify(unlabelled).collect()} == {"und"}
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    # 80 labels, one of them with one much copied text and one rare text; few windows
+    monkeypatch.setattr(langid, "EPOCHS", 100)
+    texts = [(f"{chr(0x4E00 + 97 * k)}{chr(0x4E01 + 97 * k)} {j} " * 8, f"l{k:02}")
+             for k in range(79) for j in range(6)]
+    texts += [("zzz zz " * 20, "rare")] * 2000 + [("qqq qq " * 20, "rare")]
+    docs = spark.createDataFrame(texts, "text string, lang string")
+    net = langid.learn(docs)
+    assert net.labels == sorted({lang for _, lang in texts})
+    got = langid.predict(docs.distinct(), net).toPandas()
+    assert set(got["lang_pred"]) == set(net.labels)
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.9
+    assert set(got.loc[got["lang"] == "rare", "lang_pred"]) == {"rare"}

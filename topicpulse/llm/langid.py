@@ -6,10 +6,11 @@ numpy on windows of labelled texts and applied to every window of every whole
 text; a document's class is the one with the greatest mean probability over
 its windows, weighted by their bytes.
 
-Training reads a bounded sample: at most ``DOCS_PER_LANG`` texts for each of
-the ``MAX_LANGS`` most frequent labels, ``WINDOWS_PER_DOC`` windows of each.
-Sampling is by text hash, so copies of a text are in or out together and give
-their windows once.
+Every label that occurs is learned.  Training reads a bounded sample of each:
+about ``DOCS_PER_LANG`` texts, fewer when there are so many labels that
+``TRAIN_DOCS`` would be passed, but ``LEAST_DOCS`` or all that a label has; and
+at most ``WINDOWS_PER_DOC`` windows of each text.  Sampling is by text hash, so
+copies of a text are in or out together and give their windows once.
 
 For application the embedding and the first layers are folded into tables over
 byte pairs, so a filter response is a sum of one or two table rows.  Python
@@ -38,8 +39,9 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-MAX_LANGS = 64
 DOCS_PER_LANG = 500
+TRAIN_DOCS = 32_000
+LEAST_DOCS = 20
 WINDOWS_PER_DOC = 6
 EPOCHS = 6
 BATCH = 128
@@ -185,12 +187,19 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet |
     """Train on the rows of ``docs`` with a label; None when there are none."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         "text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    share = {r["lang"]: DOCS_PER_LANG / r["count"] for r in counts.collect()}
-    if not share:
+    # distinct texts, since copies are drawn together
+    counts = rows.groupBy("lang").agg(
+        F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()
+    if not counts:
         return None
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < limit * (1 << 40)
+    docs_each = max(LEAST_DOCS, min(DOCS_PER_LANG, TRAIN_DOCS // len(counts)))
+    share = {r["lang"]: docs_each / max(r["n"], 1) for r in counts}
+    # of a few texts all are drawn, whatever the estimate's error
+    limits = docs.sparkSession.createDataFrame(
+        [(k, 1.0 if v > 0.5 else v) for k, v in share.items()], "lang string, share double")
+    # one row a label, and the model holds a column for each
+    drawn = rows.join(F.broadcast(limits), "lang").filter(
+        F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,13 +207,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet |
             for text_, lang_ in zip(batch["text"], batch["lang"]):
                 raw = text_.encode("utf-8", "replace")
                 n = max(1, -(-len(raw) // WINDOW))
-                for k in range(0, n, max(1, n // WINDOWS_PER_DOC)):
+                take = min(n, WINDOWS_PER_DOC)
+                for k in (j * n // take for j in range(take)):
                     made.append((lang_, raw[k * WINDOW:(k + 1) * WINDOW]))
             yield pd.DataFrame(made, columns=["lang", "bytes"])
 
-    most = DOCS_PER_LANG * len(share) * WINDOWS_PER_DOC
-    got = rows.filter(drawn).mapInPandas(cut, "lang string, bytes binary").distinct().orderBy(
-        F.xxhash64("bytes", "lang"), "bytes", "lang").limit(most).toPandas()
+    got = drawn.select("text", "lang").mapInPandas(
+        cut, "lang string, bytes binary").distinct().orderBy(
+        F.xxhash64("bytes", "lang"), "bytes", "lang").toPandas()
     labels = sorted(share)
     net = ByteNet.fresh(labels)
     if len(got) and len(labels) > 1:
@@ -240,10 +250,15 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
                 windows, counts = windows_of([batch.iloc[i].encode("utf-8", "replace")
                                               for i in part])
                 weight = (windows != 0).sum(1).astype(np.float64)
-                p = probabilities(model, banks, windows) * weight[:, None]
-                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                mean = np.add.reduceat(p, starts) / np.maximum(
-                    np.add.reduceat(weight, starts), 1)[:, None]
+                owner = np.repeat(np.arange(len(part)), counts)
+                mean = np.zeros((len(part), len(labels)))
+                # a chunk at a time: windows times labels may be many
+                for i in range(0, len(windows), _CHUNK):
+                    now = slice(i, i + _CHUNK)
+                    p = probabilities(model, banks, windows[now]) * weight[now, None]
+                    starts = np.flatnonzero(np.diff(owner[now], prepend=-1))
+                    mean[owner[now][starts]] += np.add.reduceat(p, starts)
+                mean /= np.maximum(np.bincount(owner, weight), 1)[:, None]
                 best = mean.argmax(1)
                 pred[part] = labels[best]
                 score[part] = np.clip(mean[np.arange(len(part)), best], 0, 1)
