@@ -94,3 +94,12 @@ def test_odd_rows(spark):
             assert not r["kept"]
         assert r["row"]["kept"] == "mine"
     assert quality.assess(no_documents(spark), labels).count() == 0
+
+
+def test_every_stratum_is_tested(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"l{k}", text) for k in range(1100)],
+                                 "doc_id long, lang string, text string")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    cutoffs = quality.learn_cutoffs(quality.with_measures(docs, "text"), labels, "lang")
+    assert cutoffs.count() == 1100

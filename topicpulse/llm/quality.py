@@ -30,8 +30,6 @@ from topicpulse.llm.common import materialize
 
 RISK = 0.02
 DELTA = 0.05
-#: The most strata that may get cutoffs, the largest first; bounds the broadcast.
-MAX_STRATA = 1024
 #: Rule -> cutoffs from lenient to strict; a ratio above the
 #: cutoff rejects.
 RULES = {
@@ -158,7 +156,7 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, doc_id:
     """Per stratum, one column per rule: the strictest proven cutoff or null.
 
     One aggregate over the labelled documents; what leaves it is one row per
-    stratum, of which the MAX_STRATA largest are tested.
+    stratum, and every stratum is tested.
     """
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("good"))
     m = F.col("measures")
@@ -169,8 +167,7 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, doc_id:
         F.count("*").alias("n"),
         *[F.array(*[F.count_if(value > c) for c in RULES[rule]]).alias(rule)
           for rule, value in ratios(m).items()])
-    counts = materialize(counts.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA),
-                         "quality-counts")
+    counts = materialize(counts, "quality-counts")
     tests = max(1, counts.count()) * len(RULES)
     share, level = risk / len(RULES), delta / tests
     picked = []
@@ -185,9 +182,7 @@ def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, doc_id:
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     """row, measures, base_failed and kept."""
     rules = cutoffs.select("stratum", F.struct(*RULES).alias("cutoffs"))
-    # at most MAX_STRATA rows of a few numbers
-    out = measured.join(F.broadcast(rules), F.col("row")[stratum].eqNullSafe(F.col("stratum")),
-                        "left")
+    out = measured.join(rules, F.col("row")[stratum].eqNullSafe(F.col("stratum")), "left")
     m = F.col("measures")
     rejected = F.lit(False)
     for rule, value in ratios(m).items():
