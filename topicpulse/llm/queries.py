@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicpulse.llm import bpe, chat, embeddings, langid, licenses, minhash, packing, quality
-from topicpulse.llm import sharding, toxicity
+from topicpulse.llm import bpe, chat, collocations, embeddings, langid, licenses, minhash, packing
+from topicpulse.llm import quality, sharding, toxicity
 from topicpulse.sources.tables import read_table
 
 
@@ -82,6 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_embeddings": op2_embeddings,
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE = {
@@ -196,3 +201,40 @@ FROM f
 
 
 ORACLE["op8_quality"] = _quality_sql()
+
+ORACLE["op11_collocations"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents),
+p AS (
+  SELECT row_number() OVER () AS pid, lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws
+  FROM (SELECT lang, unnest(string_split_regex(low, '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM t)),
+w AS (SELECT lang, pid, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM p),
+x AS (SELECT lang, w1, lead(w1, 1) OVER s AS w2, lead(w1, 2) OVER s AS w3, lead(w1, 3) OVER s AS w4
+      FROM w WINDOW s AS (PARTITION BY pid ORDER BY i)),
+g AS (
+  SELECT lang, [w1] AS ws FROM x
+  UNION ALL SELECT lang, [w1, w2] FROM x WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3] FROM x WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3, w4] FROM x WHERE w4 IS NOT NULL),
+f AS (SELECT lang, ws, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+cut AS (SELECT lang, ws, f AS a, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) > 1),
+s AS (SELECT c.lang, c.ws, c.a, c.k, l.f AS l, r.f AS r, (2000000 * c.a) // (l.f + r.f) AS score
+      FROM cut c JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:c.k]
+                 JOIN f r ON r.lang = c.lang AND r.ws = c.ws[c.k + 1:]),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, ws[b:e] AS ws, max(f) AS holder
+  FROM (SELECT lang, ws, f, b, unnest(range(b + 1, len(ws) + 1)) AS e
+        FROM (SELECT lang, ws, f, unnest(range(1, len(ws))) AS b FROM f WHERE len(ws) > 2))
+  WHERE e - b + 1 < len(ws) GROUP BY ALL),
+kept AS (SELECT low.*, array_to_string(low.ws, ' ') AS phrase FROM low LEFT JOIN inside USING (lang, ws)
+         WHERE holder IS NULL OR 100 * holder < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+           FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+       score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
