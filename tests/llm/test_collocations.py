@@ -77,7 +77,7 @@ def test_scores_past_64_bits(spark):
 def test_a_bucket_shared_by_all_pairs_changes_nothing(spark, monkeypatch):
     rows = texts(9, 120)
     df = spark.createDataFrame(rows, "text string, lang string")
-    monkeypatch.setattr(C, "pair_buckets", lambda codes, words, lang: codes[1:] * 0)
+    monkeypatch.setattr(C, "run_buckets", lambda hashes, size: (hashes[size - 1:] * 0).astype("int64"))
     assert mined(df, min_count=8) == brute(rows, 8)
 
 

@@ -7,11 +7,12 @@ then sums them to every shorter prefix, and since each occurrence of a phrase
 is the prefix of exactly one window, those sums are the counts of all phrases
 of one to four words.  No n-gram explosion per length.
 
-A window is also padded from the first neighbouring pair on that occurs fewer
+A window is also padded from the first pair or triple on that occurs fewer
 than ``min_count`` times, because no phrase across it can be a candidate.  What
-is known of the pairs is a bitmap of hash buckets of fixed size: a bucket that
-reaches the count keeps its pairs, so a shared bucket only saves less, and no
-count of a phrase that can matter changes.
+is known of pairs and triples are two bitmaps of hash buckets of fixed size,
+made one after the other: a bucket that reaches the count keeps its members, so
+a shared bucket only saves less, and no count of a phrase that can matter
+changes.
 
 A candidate of 2 to 4 words is cut at each place; the score of a cut is
 floor(2000000 a / (l + r)) from the counts of the whole and its two parts, and
@@ -39,7 +40,7 @@ ORDER = 4
 MIN_COUNT = 30
 TOP = 2000
 CONTAINED = 80
-#: Buckets of the pair bitmap: 2 ** BUCKET_BITS bits, 16 MB, whatever the data.
+#: Buckets of a bitmap: 2 ** BUCKET_BITS bits, 16 MB, whatever the data.
 BUCKET_BITS = 27
 #: Bytes of text that a task cuts into words at a time.
 SLICE = 4 << 20
@@ -92,26 +93,45 @@ def coded(body: bytes) -> tuple[np.ndarray, pa.Array, int]:
     return column.indices.to_numpy().astype(np.int64), column.dictionary, end
 
 
-def pair_buckets(codes: np.ndarray, words: pa.Array, stratum: str) -> np.ndarray:
-    """The bucket of each pair of neighbours, ends included."""
+def word_hashes(codes: np.ndarray, words: pa.Array, stratum: str) -> np.ndarray:
+    """A 64-bit hash of each word, seeded by the stratum."""
     import xxhash
 
     seed = xxhash.xxh32_intdigest(stratum.encode())
-    own = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], np.uint64)
-    first, second = own[codes[:-1]], own[codes[1:]]
-    mixed = first * np.uint64(0x9E3779B97F4A7C15) + second
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()], np.uint64)[codes]
+
+
+def run_buckets(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The bucket of each run of ``size`` words."""
+    n = len(hashes) - size + 1
+    mixed = hashes[:n]
+    for k in range(1, size):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + n]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def window_lengths(codes: np.ndarray, end: int, usual: np.ndarray) -> np.ndarray:
-    """Per place the words of its window: up to a piece's end or a rare pair."""
-    n = len(codes) - (ORDER - 1)
-    joined = usual & (codes[:-1] != end) & (codes[1:] != end)
-    length = (codes[:n] != end).astype(np.int64)
-    open_ = length.astype(bool)
-    for k in range(ORDER - 1):
-        open_ &= joined[k:k + n]
+def usual_runs(codes: np.ndarray, end: int, hashes: np.ndarray,
+               bitmaps: list[np.ndarray]) -> list[np.ndarray]:
+    """For sizes 1, 2, ...: whether the run that starts at a place lies in a piece
+    and the bitmaps of its size and below know it and all runs inside it."""
+    usual = [codes != end]
+    for size, bitmap in enumerate(bitmaps, 2):
+        bucket = run_buckets(hashes, size)
+        known = (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+        usual.append(usual[-1][:-1] & usual[-1][1:] & known)
+    return usual
+
+
+def window_lengths(usual: list[np.ndarray]) -> np.ndarray:
+    """Per place the words of its window: up to a piece's end or a rare run."""
+    n = len(usual[0]) - (ORDER - 1)
+    length = np.zeros(n, np.int64)
+    open_ = np.ones(n, bool)
+    for k in range(ORDER):
+        # word k belongs if the longest known run that ends there is usual
+        size = min(k + 1, len(usual))
+        open_ &= usual[size - 1][k + 1 - size:][:n]
         length += open_
     return length
 
@@ -132,14 +152,18 @@ def counted(codes: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.nda
         _, key = np.unique(key * width + codes[places + k], return_inverse=True)
 
 
-def usual_pairs(docs: DataFrame, min_count: int):
-    """A broadcast bitmap of the buckets in which ``min_count`` pairs meet."""
+def usual_buckets(docs: DataFrame, min_count: int, size: int, known: list):
+    """A broadcast bitmap of the buckets in which ``min_count`` runs of ``size``
+    words meet; only runs whose shorter runs are all ``known`` are counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmaps = [np.frombuffer(b.value, np.uint8) for b in known]
         for stratum, body in slices(batches, SLICE):
             codes, words, end = coded(body)
-            whole = (codes[:-1] != end) & (codes[1:] != end)
-            bucket, n = np.unique(pair_buckets(codes, words, stratum)[whole], return_counts=True)
+            hashes = word_hashes(codes, words, stratum)
+            inner = usual_runs(codes, end, hashes, bitmaps)[-1]
+            bucket, n = np.unique(run_buckets(hashes, size)[inner[:-1] & inner[1:]],
+                                  return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int32())],
                                              names=["bucket", "n"])
 
@@ -148,26 +172,28 @@ def usual_pairs(docs: DataFrame, min_count: int):
             .groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
             .groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("bits")))
     bitmap = bytearray(1 << (BUCKET_BITS - 3))
-    size = 1 << (_BLOCK_BITS - 3)
+    size_of = 1 << (_BLOCK_BITS - 3)
     for row in rows.collect():          # at most 4,096 rows of 4 KB
-        bitmap[row["block"] * size:(row["block"] + 1) * size] = row["bits"]
+        bitmap[row["block"] * size_of:(row["block"] + 1) * size_of] = row["bits"]
     return docs.sparkSession.sparkContext.broadcast(bytes(bitmap))
 
 
 def windows(docs: DataFrame, min_count: int) -> DataFrame:
-    """lang, w1..w4 (padded with ''), n: a task's distinct longest windows."""
-    known = usual_pairs(docs, min_count)
+    """lang, w1..w4 (padded with ''), n: a slice's distinct longest windows."""
+    known: list = []
+    for size in range(2, ORDER):
+        known.append(usual_buckets(docs, min_count, size, list(known)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(known.value, np.uint8)
+        bitmaps = [np.frombuffer(b.value, np.uint8) for b in known]
         for stratum, body in slices(batches, SLICE):
             codes, words, end = coded(body)
-            bucket = pair_buckets(codes, words, stratum)
-            usual = (bitmap[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+            length = window_lengths(usual_runs(codes, end, word_hashes(codes, words, stratum),
+                                               bitmaps))
             texts = words.to_pylist()
             texts[end] = b""
             texts = pa.array(texts, pa.binary()).cast(pa.string())
-            for k, places, n in counted(codes, window_lengths(codes, end, usual)):
+            for k, places, n in counted(codes, length):
                 columns = [texts.take(pa.array(codes[places + i] if i < k
                                                else np.full(len(places), end)))
                            for i in range(ORDER)]
@@ -186,7 +212,8 @@ def phrase_counts(docs: DataFrame, min_count: int, text: str = "text",
     given = docs.select(F.coalesce(F.col(stratum), F.lit("und")).alias("lang"),
                         F.col(text).alias("text"))
     level = F.grouping_id()
-    summed = windows(given, min_count).rollup("lang", *_WORDS).agg(
+    longest = windows(given, min_count).groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
+    summed = longest.rollup("lang", *_WORDS).agg(
         F.sum("n").alias("f"), level.alias("level"))
     # the levels that keep k words: 2 ** (4 - k) - 1
     k = sum((F.col("level") == (1 << (ORDER - i)) - 1).cast("int") * i for i in range(1, ORDER + 1))
