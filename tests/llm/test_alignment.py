@@ -1,0 +1,164 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tests.llm.data import SF0001, no_documents, odd_documents
+from tokenizers import Tokenizer
+
+from topicpulse.llm import alignment as A
+from topicpulse.llm.queries import QUERIES, vocabulary
+
+RANKS, MODEL = vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model")
+NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def byte_alphabet():
+    """Character -> byte of the byte-level vocabulary file."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {**{chr(b): b for b in kept}, **{chr(256 + i): b for i, b in enumerate(rest)}}
+
+
+@pytest.fixture(scope="module")
+def reference():
+    """Ids and token bytes straight from the two libraries."""
+    a = Tokenizer.from_file(vocabulary())
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    back = byte_alphabet()
+
+    def piece(i):
+        text = b.id_to_piece(i)
+        if re.fullmatch("<0x[0-9A-F]{2}>", text):
+            return bytes([int(text[3:5], 16)])
+        return text.replace("▁", " ").encode()
+
+    def both(text):
+        if not text:
+            return [], [], [], []
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids
+        ids_b = b.encode(text)
+        bytes_a = [bytes(back[c] for c in a.id_to_token(i)) for i in ids_a]
+        bytes_b = [piece(i) for i in ids_b]
+        whole = (" " + text).encode()
+        if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
+            return [], [], [], []
+        return ids_a, ids_b, bytes_a, bytes_b
+
+    return both
+
+
+def brute(texts, both):
+    """The contract in plain Python over (key, text) rows."""
+    rows, corpus = [], Counter()
+    for key, text in texts:
+        ids_a, ids_b, bytes_a, bytes_b = both(text)
+        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
+        links = [(x, y) for x, e in zip(ids_a, ends_a) for y in
+                 [y for y, f in zip(ids_b, ends_b) if f == e]] if len(ids_a) < 3000 else None
+        groups, i, j = [], 0, 0
+        for end in sorted(set(ends_a.tolist()) & set(ends_b.tolist())):
+            ga = gb = ()
+            while i < len(ids_a) and ends_a[i] <= end:
+                ga += (ids_a[i],)
+                i += 1
+            while j < len(ids_b) and ends_b[j] <= end:
+                gb += (ids_b[j],)
+                j += 1
+            groups.append((ga, gb))
+        if links is None:
+            links = [(g[0][-1], g[1][-1]) for g in groups]
+        corpus.update(links)
+        rows.append((key, len(ids_a), len(ids_b), groups, links))
+    most = Counter()
+    for (_, y), n in corpus.items():
+        most[y] = max(most[y], n)
+    out = []
+    for key, n_a, n_b, groups, links in rows:
+        text = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
+        out.append((key, n_a, n_b, len(groups), len(links),
+                    sum(corpus[x] == most[x[1]] for x in links), sum(corpus[x] for x in links),
+                    hashlib.sha256(text.encode()).hexdigest() if groups else ""))
+    return sorted(out, key=repr)
+
+
+def aligned(df):
+    rows = A.aligned_counts(df, RANKS, MODEL).select("row.doc_id", *NAMES).collect()
+    return sorted(map(tuple, rows), key=repr)
+
+
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=60), st.integers(0, 2 ** 32), st.integers(1, 4))
+@settings(max_examples=150, deadline=None)
+def test_shared_cuts_equal_the_intersection(sizes, seed, texts):
+    rnd = random.Random(seed)
+    ends_a, ends_b, last_a, last_b, at = [], [], [], [], 0
+    for _ in range(texts):
+        total = sum(sizes)
+        for ends, last in ((ends_a, last_a), (ends_b, last_b)):
+            inner = rnd.sample(range(1, total), rnd.randint(0, total - 1))
+            ends += [at + x for x in sorted(inner)] + [at + total]
+            last.append(len(ends) - 1)
+        at += total
+    a, b = A.shared_cuts(*map(np.array, (ends_a, ends_b, last_a, last_b)))
+    common = sorted(set(ends_a) & set(ends_b))
+    assert [ends_a[i] for i in a] == common == [ends_b[i] for i in b]
+
+
+def test_random_texts_equal_brute_force(spark, reference):
+    rnd = random.Random(8)
+    alphabet = ["the", "The ", " river", "é", "ß", "日本", "\U0001f600", "\n", "  ", "x" * 9, "<s>",
+                "</s>", "<unk>", "<0x41>", "<|endoftext|>", "▁", " ", "ﬁ", "é", "\t",
+                "12345", "​", "\x00", "a"]
+    texts = [(i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25)))) for i in range(300)]
+    texts += [(300, None), (301, ""), (302, " "), (303, "a" * 5000), (304, "日" * 3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute(texts, reference)
+    assert sum(r[1] > 0 for r in want) > 60
+    assert aligned(df) == want
+
+
+@pytest.mark.parametrize("limit", [A.BROADCAST_MAX_BYTES, 0])
+def test_query_equals_brute_force(spark, reference, monkeypatch, limit):
+    monkeypatch.setattr(A, "BROADCAST_MAX_BYTES", limit)
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    got = QUERIES["op12_alignment"](spark, SF0001)
+    assert got.columns == ["doc_id", *NAMES]
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(
+        [(r["doc_id"], r["text"]) for r in docs.collect()], reference)
+
+
+def test_odd_rows_and_empty_table(spark, reference):
+    df = odd_documents(spark).withColumn("pairs", F.lit("mine")).withColumn("n_a", F.lit("mine"))
+    assert aligned(df) == brute([(r["doc_id"], r["text"]) for r in df.collect()], reference)
+    assert aligned(no_documents(spark)) == []
+
+
+def test_groups_are_real_and_slices_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    whole = A.align(docs, RANKS, MODEL, groups=True).select("row.doc_id", "groups", "pairs", "counts")
+    before = sorted(map(tuple, whole.collect()), key=repr)
+    monkeypatch.setattr(A, "SLICE", 500)
+    after = A.align(docs, RANKS, MODEL, groups=True).select("row.doc_id", "groups", "pairs", "counts")
+    assert sorted(map(tuple, after.collect()), key=repr) == before
+    ranks = A.Tokenizers(open(RANKS).read(), open(MODEL, "rb").read())
+    for _, groups, _, _ in before:
+        for g in groups.split(";"):
+            a, b = ([int(i) for i in side.split(",")] for side in g.split("|"))
+            assert b"".join(ranks.bytes_a[i] for i in a) == b"".join(ranks.bytes_b[i] for i in b)
+
+
+def test_pairs_stay_within_their_bound(spark):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    tools = A.Tokenizers(open(RANKS).read(), open(MODEL, "rb").read())
+    size = len(tools.bytes_b)
+    for r in A.align(docs, RANKS, MODEL).select(F.explode("pairs").alias("p")).distinct().collect():
+        a, b = tools.bytes_a[r["p"] // size], tools.bytes_b[r["p"] % size]
+        assert a.endswith(b) or b.endswith(a)
+    assert 100_000 < A.pair_bound(RANKS, MODEL) < 2_000_000

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicpulse.llm import bpe, chat, collocations, embeddings, langid, licenses, minhash, packing
-from topicpulse.llm import quality, sharding, toxicity
+from topicpulse.llm import alignment, bpe, chat, collocations, embeddings, langid, licenses, minhash
+from topicpulse.llm import packing, quality, sharding, toxicity
 from topicpulse.sources.tables import read_table
 
 
@@ -86,6 +86,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read_table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the rank file holds the vocabulary of byte_bpe_50k.json
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.aligned_counts(docs, vocabulary("byte_bpe_50k.tiktoken"),
+                                    vocabulary("piece_bpe_32k.model")).select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_embeddings": op2_embeddings,
@@ -98,6 +106,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLE = {
