@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicpulse.llm import alignment, bpe, chat, collocations, embeddings, langid, licenses, minhash
-from topicpulse.llm import packing, quality, sharding, toxicity
+from topicpulse.llm import packing, pii, quality, sharding, toxicity
 from topicpulse.sources.tables import read_table
 
 
@@ -94,6 +94,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs)).select(
+        "row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_embeddings": op2_embeddings,
@@ -107,6 +113,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
     "op12_alignment": op12_alignment,
+    "op13_pii": op13_pii,
 }
 
 ORACLE = {
