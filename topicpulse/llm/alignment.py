@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +92,15 @@ class Tokenizers:
 
 
 def _meet(ends: np.ndarray, other: np.ndarray, at: np.ndarray, stop: np.ndarray,
-          step: int) -> np.ndarray:
+          step: int) -> tuple[np.ndarray, np.ndarray]:
     """The first place from ``at`` on (``step`` 1) or back (-1), before ``stop``,
-    whose end is also one of ``other``; -1 where there is none.
+    whose end is also one of ``other``, and its place there; -1 where there is none.
 
     Each side's end is bisected in the other's: a miss gives the other's next
     end, which is bisected in turn, so whole stretches without a common end are
     leapt over.
     """
-    found = np.full(len(at), -1, np.int64)
+    found, mates = np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
     todo = np.arange(len(at))
     here = at.copy()
     while len(todo):
@@ -111,11 +112,18 @@ def _meet(ends: np.ndarray, other: np.ndarray, at: np.ndarray, stop: np.ndarray,
         j = np.searchsorted(other, value, "left" if step > 0 else "right") - (step < 0)
         theirs = other[np.clip(j, 0, len(other) - 1)]
         hit = (theirs == value) & (j >= 0) & (j < len(other))
-        found[todo[hit]] = here[hit]
+        found[todo[hit]], mates[todo[hit]] = here[hit], j[hit]
         miss = ~hit & (j >= 0) & (j < len(other))
         todo, theirs = todo[miss], theirs[miss]
         here = np.searchsorted(ends, theirs, "left" if step > 0 else "right") - (step < 0)
-    return found
+    return found, mates
+
+
+def _halves(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Left and right halves in turn, so that intervals stay in text order."""
+    out = np.empty(2 * len(left), np.int64)
+    out[0::2], out[1::2] = left, right
+    return out
 
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray,
@@ -136,16 +144,15 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray,
         cuts_b.append(hi_b[leaf])
         lo_a, hi_a, lo_b, hi_b = (x[~leaf] for x in (lo_a, hi_a, lo_b, hi_b))
         middle = (lo_a + hi_a) // 2
-        cut = _meet(ends_a, ends_b, middle, hi_a, 1)
+        cut, mate = _meet(ends_a, ends_b, middle, hi_a, 1)
         none = np.flatnonzero(cut < 0)
-        cut[none] = _meet(ends_a, ends_b, middle[none] - 1, lo_a[none] - 1, -1)
+        cut[none], mate[none] = _meet(ends_a, ends_b, middle[none] - 1, lo_a[none] - 1, -1)
         none = cut < 0
         cuts_a.append(hi_a[none])
         cuts_b.append(hi_b[none])
-        lo_a, hi_a, lo_b, hi_b, cut = (x[~none] for x in (lo_a, hi_a, lo_b, hi_b, cut))
-        mate = np.searchsorted(ends_b, ends_a[cut])
-        lo_a, hi_a = np.concatenate([lo_a, cut + 1]), np.concatenate([cut, hi_a])
-        lo_b, hi_b = np.concatenate([lo_b, mate + 1]), np.concatenate([mate, hi_b])
+        lo_a, hi_a, lo_b, hi_b, cut, mate = (x[~none] for x in (lo_a, hi_a, lo_b, hi_b, cut, mate))
+        lo_a, hi_a = _halves(lo_a, cut + 1), _halves(cut, hi_a)
+        lo_b, hi_b = _halves(lo_b, mate + 1), _halves(mate, hi_b)
     a = np.concatenate(cuts_a) if cuts_a else np.zeros(0, np.int64)
     b = np.concatenate(cuts_b) if cuts_b else np.zeros(0, np.int64)
     order = np.argsort(a, kind="stable")
@@ -154,7 +161,7 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray,
 
 def _flat(parts: list[list[int]]) -> np.ndarray:
     sizes = sum(map(len, parts))
-    return np.fromiter((i for p in parts for i in p), np.int64, sizes)
+    return np.fromiter(chain.from_iterable(parts), np.int64, sizes)
 
 
 def align_texts(tools: Tokenizers, texts: list[str | None], groups: bool) -> list[pa.Array]:
