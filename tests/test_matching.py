@@ -8,6 +8,7 @@ from topicpulse.functions.calendar import cutoff
 from topicpulse.operators import matching as MT
 from topicpulse.sources import fixtures as fx
 from tests.conftest import SF001
+from tests.test_plans import _count, _plan
 
 TOPIC_DDL = "id string, keywords string, subreddits string"
 
@@ -163,3 +164,58 @@ def test_letters_of_any_script(spark):
         got = {(r.topic_id, r.event_id)
                for r in MT.match_posts(posts, tdf, strategy=strategy).collect()}
         assert got == want, strategy
+
+
+def _rows(df):
+    return sorted((r.topic_id, str(r.event_id), str(r.text), r.subreddit) for r in df.collect())
+
+
+def _brute_rows(texts, topics):
+    """One row per post row and matching topic, whatever the posts' ids."""
+    out = []
+    for i, (eid, text, sub) in enumerate(texts):
+        out += [(tid, str(eid), str(text), sub) for tid, _ in _brute([(i, text, sub)], topics)]
+    return sorted(out)
+
+
+def test_repeated_and_missing_ids_agree_in_every_plan(spark, monkeypatch):
+    rnd = random.Random(21)
+    vocab = ["foo", "bar", "of", "the", "of the", "big data", "c++", "!!", "добрый", "x-ray"]
+    texts = [("e1", "foo only", "a"), ("e1", "bar only", "a"), (None, "foo bar", "a"), ("e2", "foo bar", "a"),
+             ("e2", "foo bar", "a"), (None, None, "a"), ("e3", "", "b")]
+    texts += [(rnd.choice(["e1", "e2", None, f"p{i}"]),
+               " ".join(rnd.choice(vocab + ["q", "r"]) for _ in range(rnd.randint(0, 9))),
+               rnd.choice(["a", "B"])) for i in range(150)]
+    topics = [("and", '[["foo"],["bar"]]', "")]
+    topics += [(f"t{j}", str([[rnd.choice(vocab) for _ in range(rnd.randint(1, 2))]
+                              for _ in range(rnd.randint(1, 3))]).replace("'", '"'),
+                rnd.choice(["", "a"])) for j in range(20)]
+    posts = spark.createDataFrame(texts, "event_id string, text string, subreddit string") \
+        .withColumn("created_at", F.lit(dt.datetime(2024, 1, 1))).repartition(4)
+    tdf = spark.createDataFrame(topics, TOPIC_DDL)
+    want = _brute_rows(texts, topics)
+    assert ("and", "None", "foo bar", "a") in want and len(want) > 150
+    assert _rows(MT.match_posts(posts, tdf, strategy="narrow")) == want
+    assert _rows(MT.match_posts(posts, tdf, strategy="inverted")) == want
+    monkeypatch.setattr(MT, "BROADCAST_MAX_BYTES", 0)
+    assert _rows(MT.match_posts(posts, tdf, strategy="inverted")) == want
+    monkeypatch.setattr(MT, "KEY_BUCKETS", 1)     # every token passes the table
+    assert _rows(MT.match_posts(posts, tdf, strategy="inverted")) == want
+
+
+def test_a_phrase_is_keyed_by_its_rarest_run(spark):
+    posts = spark.createDataFrame([(f"p{i}", "of the whole", "a") for i in range(9)]
+                                  + [("q", "ox of the", "a")], "event_id string, text string, subreddit string")
+    tdf = spark.createDataFrame([("t", '[["of the ox"],["whole thing","the"]]', "")], TOPIC_DDL)
+    freq = MT.token_frequencies(posts, tdf)
+    assert {r.tok: r.posts for r in freq.collect()} == {"of": 10, "the": 10, "ox": 1, "whole": 9}
+    keys = {r.term: r.key for r in MT.term_table(tdf, freq).collect()}
+    assert keys == {"of the ox": "ox", "whole thing": "thing", "the": "the"}
+    assert MT.token_frequencies(posts, spark.createDataFrame([("t", '["one"]', "")], TOPIC_DDL)) is None
+
+
+def test_inverted_plan_reads_the_posts_once(spark):
+    topics = fx.topics(spark, "")
+    plan = _plan(MT.match_posts(fx.posts(spark, SF001), topics, strategy="inverted"))
+    assert len(re.findall(r"ReadSchema: struct<[^>]*\btext:string", plan)) == 1
+    assert _count(plan, "CartesianProduct") == _count(plan, "BroadcastNestedLoopJoin") == 0

@@ -8,23 +8,28 @@ with an empty group, never matches.  A topic whose subreddit list is empty
 is not restricted; otherwise the post's subreddit must be in the list
 (case-insensitive).  One output row per (post, matching topic).
 
-Two physical strategies, same result:
+Two physical strategies, same rows, whatever the posts' ids (a post that was
+sent again is a row of its own, and a post without an id is matched too):
 
 * ``narrow``   — the topic catalogue is small (checked with a bounded
   ``limit(n+1)`` fetch).  Each OR group becomes one literal regex, the
   topics become a literal array of ``CASE WHEN`` expressions and one
   ``explode`` emits the matches.  One code-generated stage, no shuffle,
   regexes compiled once per task.
-* ``inverted`` — any catalogue size.  Distinct post tokens are equi-joined
-  with a term table keyed by the term's longest alphanumeric run (every
-  run of a matching term is a whole token of the text, so this is a
-  necessary condition); terms of symbols alone are keyed by a symbol that
-  the post must hold.  Phrases and punctuated terms are re-verified with
-  the exact regex on the joined rows only.  Relational division:
-  ``size(collect_set(group_idx)) = n_groups`` per (topic, post).  The term
-  table is broadcast only when its bytes are below a bound; beyond that
-  the join is a salted shuffle join so one very common token cannot pile
-  up in a single task.
+* ``inverted`` — any catalogue size.  Each term is keyed by one of its
+  alphanumeric runs (every run of a matching term is a whole token of the
+  text, so this is a necessary condition), the one found in fewest posts;
+  terms of symbols alone are keyed by a symbol that the post must hold.  A
+  table of hash buckets of the keys, of fixed size, drops other tokens
+  before they are exploded, and posts without any key altogether.  What is
+  left is equi-joined with the term table.  Every post gets a row number of
+  its own; the post itself travels on its first token and returns from the
+  aggregate by that number, so nothing is read or joined a second time.  Per
+  post the terms found are verified (phrases and punctuated terms, by the
+  exact regex) and divided: a topic stays if all its groups are among them.
+  The term table is broadcast only when its bytes are below a bound; beyond
+  that the join is a salted shuffle join so one very common token cannot
+  pile up in a single task.
 """
 
 from __future__ import annotations
@@ -38,12 +43,14 @@ from pyspark.sql import functions as F
 
 from topicpulse.functions.calendar import ts_lit
 from topicpulse.functions.rules import parse_csv, parse_keywords
+from topicpulse.session import scratch_dir
 
 # Tunables (not reference values).
 NARROW_MAX_TOPICS = 256
 NARROW_MAX_TERMS = 4096
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 SALT_BUCKETS = 16
+KEY_BUCKETS = 1 << 18          # bytes of the table that drops tokens before the explode
 
 _META = re.compile(r"([\\.^$|?*+()\[\]{}])")
 # Letters and digits of any script make a token.
@@ -147,28 +154,45 @@ def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | Non
     return staged.select(*cols, F.explode(hits).alias("topic_id"))
 
 
-def term_table(topics: DataFrame) -> DataFrame:
-    """One row per (topic, group, term): join key, exactness flag, regex.
+def _runs(term: Column) -> Column:
+    """The term's distinct runs of letters and digits."""
+    return F.array_distinct(F.filter(F.split(term, _SPLIT), lambda s: s != F.lit("")))
 
-    The key is the term's longest run of letters and digits; a term without
-    any takes its first character that is not white space.
-    """
-    t = prepare_topics(topics).where(F.col("cnf").isNotNull())
+
+def term_rows(topics: DataFrame) -> DataFrame:
+    """One row per (topic, group, term)."""
+    t = prepare_topics(topics).where(F.col("cnf").isNotNull() & F.col("topic_id").isNotNull())
     g = t.select("topic_id", "subs", F.size("cnf").alias("n_groups"),
                  F.posexplode("cnf").alias("group_idx", "terms"))
-    x = g.select("topic_id", "subs", "n_groups", "group_idx", F.explode("terms").alias("term"))
-    runs = F.filter(F.split(F.col("term"), _SPLIT), lambda s: s != F.lit(""))
-    longest = F.element_at(F.array_sort(
-        F.transform(runs, lambda s: F.struct((-F.length(s)).alias("neg_len"), s.alias("run")))),
-        1).getField("run")
+    return g.select("topic_id", "subs", "n_groups", "group_idx", F.explode("terms").alias("term"))
+
+
+def term_table(topics: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
+    """One row per (topic, group, term): join key, exactness flag, regex.
+
+    The key is the term's run that ``frequencies`` (tok, posts) counts in fewest
+    posts; a run it does not list is in none.  Ties, and all terms without the
+    table, go to the longest run, then to the first in order.  A term without
+    any run takes its first character that is not white space.
+    """
+    x = term_rows(topics).withColumn("runs", _runs(F.col("term")))
+    spread = x.select("*", F.explode_outer("runs").alias("run"))
+    if frequencies is None:
+        spread = spread.withColumn("posts", F.lit(0).cast("long"))
+    else:
+        counted = frequencies.select(F.col("tok").alias("run"), "posts")
+        spread = spread.join(counted, "run", "left").withColumn("posts", F.coalesce("posts", F.lit(0)))
+    order = F.struct("posts", -F.length("run"), "run")
+    keyed = spread.groupBy("topic_id", "group_idx", "term").agg(
+        F.any_value("subs").alias("subs"), F.any_value("n_groups").alias("n_groups"),
+        F.min_by("run", order).alias("run"))
     first = F.substring(F.coalesce(F.nullif(F.trim("term"), F.lit("")), "term"), 1, 1)
     pattern = F.concat(F.lit(_BOUND_L + "("),
                        F.regexp_replace("term", r"([\\.^$|?*+()\[\]{}])", r"\\$1"),
                        F.lit(")" + _BOUND_R))
-    return x.select("topic_id", "subs", "n_groups", "group_idx", "term",
-                    F.when(F.size(runs) > 0, longest).otherwise(first).alias("key"),
-                    (F.size(runs) == 0).alias("symbols"),
-                    F.col("term").rlike(_SIMPLE).alias("exact"), pattern.alias("pattern"))
+    return keyed.select("topic_id", "subs", "n_groups", "group_idx", "term",
+                        F.coalesce("run", first).alias("key"), F.col("run").isNull().alias("symbols"),
+                        F.col("term").rlike(_SIMPLE).alias("exact"), pattern.alias("pattern"))
 
 
 def _fits_broadcast(terms: DataFrame) -> bool:
@@ -178,53 +202,92 @@ def _fits_broadcast(terms: DataFrame) -> bool:
     return (terms.agg(size).first()[0] or 0) <= BROADCAST_MAX_BYTES
 
 
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def among(tokens: Column, keys: DataFrame, key: str = "key") -> Column:
+    """The tokens whose hash bucket holds a key: all keys, and few others.
+
+    The buckets are a literal of KEY_BUCKETS bytes however many keys there are.
+    """
+    held = bytearray(KEY_BUCKETS)
+    for r in keys.select(_bucket(F.col(key)).alias("b")).distinct().collect():   # KEY_BUCKETS at most
+        held[r["b"]] = 1
+    table = F.lit(held)
+    return F.filter(tokens, lambda t: F.substring(table, _bucket(t) + 1, F.lit(1)) == F.lit(b"\x01"))
+
+
+def token_frequencies(posts: DataFrame, topics: DataFrame) -> DataFrame | None:
+    """tok, posts: in how many posts each run of the catalogue's phrases occurs.
+
+    Only terms of several runs have a choice; None if there is no such term.
+    One aggregate over the posts, with map-side combine; store its rows to use
+    them for many cycles (a key is right whatever the counts, only slower).
+    """
+    runs = term_rows(topics).select(_runs(F.col("term")).alias("runs")).where(F.size("runs") > 1)
+    runs = runs.select(F.explode("runs").alias("run")).distinct()
+    if not runs.limit(1).count():
+        return None
+    words = F.array_distinct(F.split(F.lower(F.col("text")), _SPLIT))
+    found = posts.select(F.explode(among(words, runs, "run")).alias("tok"))
+    return found.groupBy("tok").agg(F.count(F.lit(1)).alias("posts"))
+
+
 def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
-                   ts_col: str = "created_at", key_col: str = "event_id",
-                   tokens_col: str | None = None) -> DataFrame:
-    terms = term_table(topics)
+                   ts_col: str = "created_at", tokens_col: str | None = None,
+                   frequencies: DataFrame | None = None) -> DataFrame:
+    """The inverted plan; ``frequencies`` (tok, posts) saves counting them here."""
     p = _since(posts, cutoff, ts_col)
+    if frequencies is None:
+        frequencies = token_frequencies(p, topics)
+    # used three times (its buckets, its size and the join), so counted and written once
+    path = scratch_dir(posts.sparkSession, "terms")
+    table = term_table(topics, frequencies)
+    table.write.parquet(path)
+    terms = posts.sparkSession.read.schema(table.schema).parquet(path)
     lt = F.lower(F.col("text"))
     words = F.split(lt, _SPLIT)
-    if terms.where("symbols").limit(1).count():
+    if term_rows(topics).where(F.size(_runs(F.col("term"))) == 0).limit(1).count():
         # terms of symbols alone meet the post in one of its symbols
         words = F.concat(words, F.regexp_extract_all(lt, F.lit(r"([^\p{L}\p{N}])"), 1),
                          F.array(F.lit("")))
-    # Carry the raw text (a reference, not a copy) through the explode; a
-    # projected lower(text) would be re-evaluated for every token row.
-    tok = p.select(key_col, "subreddit", "text", F.explode(F.array_distinct(words)).alias("tok"))
-
-    hit_cols = ["topic_id", key_col, "subreddit", "subs", "n_groups", "group_idx"]
+    staged = p.select(F.struct(*p.columns).alias("_data"), "subreddit",
+                      F.monotonically_increasing_id().alias("_row"),
+                      among(F.array_distinct(words), terms).alias("_keys")).where(F.size("_keys") > 0)
+    tok = staged.select("_row", "subreddit", "_data", F.posexplode("_keys").alias("_pos", "_tok"))
+    tok = tok.select("_row", "subreddit", "_tok", F.when(F.col("_pos") == 0, F.col("_data")).alias("_data"))
     if _fits_broadcast(terms):
-        # Broadcast hash join: no shuffle, the text stays a reference in the
-        # pipeline.  Single-token terms are exact after the join; only phrase
-        # / punctuated terms pay for a regex (compiled per joined row).
-        j = tok.join(F.broadcast(terms), tok["tok"] == terms["key"])
-        hits = (j.where(F.col("exact")
-                        | F.regexp_like(F.lower(F.col("text")), F.col("pattern")))
-                 .select(*hit_cols))
+        joined = tok.join(F.broadcast(terms), tok["_tok"] == terms["key"], "left")
     else:
-        # Shuffle join on (token, salt): a very common token is spread over
-        # SALT_BUCKETS tasks.  Only keys travel — never the text; candidates
-        # of phrase terms are verified afterwards against their own post.
-        salt = F.pmod(F.xxhash64(F.col(key_col)), F.lit(SALT_BUCKETS))
-        tok_s = tok.drop("text").withColumn("salt", salt)
-        keyed_s = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
-        j = tok_s.join(keyed_s, (tok_s["tok"] == keyed_s["key"]) & (tok_s["salt"] == keyed_s["salt"]))
-        exact = j.where(F.col("exact")).select(*hit_cols)
-        cand = j.where(~F.col("exact")).select(*hit_cols, "pattern")
-        checked = (cand.join(p.select(key_col, "text"), key_col)
-                       .where(F.regexp_like(F.lower(F.col("text")), F.col("pattern")))
-                       .select(*hit_cols))
-        hits = exact.unionByName(checked)
-
-    hits = hits.where(_sub_ok(F.col("subs"), F.col("subreddit")))
-    pairs = (hits.groupBy("topic_id", key_col)
-                 .agg(F.first("n_groups").alias("n_groups"),
-                      F.size(F.collect_set("group_idx")).alias("n_hit"))
-                 .where(F.col("n_hit") == F.col("n_groups"))
-                 .select("topic_id", key_col))
-    out = p.join(pairs, key_col, "inner")
-    return out.withColumn(tokens_col, F.split(lt, _SPLIT)) if tokens_col else out
+        # (token, salt): a very common token is spread over SALT_BUCKETS tasks
+        tok = tok.withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALT_BUCKETS)).cast("int"))
+        keyed = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
+        joined = tok.join(keyed, (tok["_tok"] == keyed["key"]) & (tok["_salt"] == keyed["_salt"]), "left")
+    hit = F.struct("topic_id", "group_idx", "n_groups",
+                   F.when(~F.col("exact"), F.col("term")).alias("term"),
+                   F.when(~F.col("exact"), F.col("pattern")).alias("pattern"))
+    ok = F.col("key").isNotNull() & F.coalesce(_sub_ok(F.col("subs"), F.col("subreddit")), F.lit(False))
+    found = (joined.where(ok | F.col("_data").isNotNull()).groupBy("_row")
+             .agg(F.any_value("_data", F.lit(True)).alias("_data"),
+                  F.collect_set(F.when(ok, hit)).alias("_hits")).where(F.size("_hits") > 0))
+    checked = found.select("_data", "_hits", F.lower("_data.text").alias("_lt"))
+    held = F.filter("_hits", lambda h: h["pattern"].isNull() | (
+        (F.instr(F.col("_lt"), h["term"]) > 0) & F.regexp_like(F.col("_lt"), h["pattern"])))
+    checked = checked.select("_data", F.sort_array(F.array_distinct(F.transform(
+        held, lambda h: F.struct(h["topic_id"].alias("topic"), h["group_idx"].alias("group"),
+                                 h["n_groups"].alias("n"))))).alias("_s"))
+    s = F.col("_s")
+
+    def whole(x: Column, i: Column) -> Column:
+        """x begins its topic, and the topic's last group stands where it must."""
+        return (~F.get(s, i - 1)["topic"].eqNullSafe(x["topic"])
+                & F.get(s, i + x["n"] - 1)["topic"].eqNullSafe(x["topic"]))
+
+    matched = F.transform(F.filter(s, whole), lambda x: x["topic"])
+    out = checked.select(F.col("_data"), F.explode(matched).alias("topic_id"))
+    extra = [F.split(F.lower("_data.text"), _SPLIT).alias(tokens_col)] if tokens_col else []
+    return out.select("_data.*", *extra, "topic_id")
 
 
 def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
@@ -233,7 +296,8 @@ def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None
     """J1 entry point: ``strategy`` = 'narrow' | 'inverted' | 'auto'.
 
     'auto' takes the narrow plan when the catalogue is within both of its
-    bounds (topics and terms); the two give the same rows.  ``tokens_col``
+    bounds (topics and terms); the two give the same rows, one per post row
+    and matching topic.  ``tokens_col``
     adds the post's token array, for callers that count tokens.
     """
     if strategy == "auto":

@@ -186,6 +186,20 @@ def match_cnf_inverted(spark, sf_dir):
                                      strategy="inverted"))
 
 
+@register("match_many_terms")
+def match_many_terms(spark, sf_dir):
+    """A catalogue beyond the narrow plan's bounds: one topic per document, five terms each."""
+    return _match_out(MT.match_posts(fx.posts(spark, sf_dir), fx.many_topics(spark, sf_dir),
+                                     strategy="inverted"))
+
+
+@register("match_non_latin")
+def match_non_latin(spark, sf_dir):
+    """Keywords and posts in Cyrillic letters."""
+    return _match_out(MT.match_posts(fx.cyrillic_posts(spark, sf_dir), fx.cyrillic_topics(spark),
+                                     strategy="inverted"))
+
+
 @register("match_since_48h")
 def match_since_48h(spark, sf_dir):
     return _match_out(MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""),
@@ -344,6 +358,31 @@ def stream_enrich(spark, sf_dir):
     return present(e.select("event_id", "topic_id", "sentiment_score"))
 
 
+def _stored_lexicon(spark, sf_dir):
+    """F8, written once: every micro-batch reads it."""
+    path = _os.path.join(scratch_dir(spark, "lexicon"), "words")
+    fx.large_lexicon(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("sentiment_large_lexicon")
+def sentiment_large_lexicon(spark, sf_dir):
+    """U1 with a lexicon beyond the inlined bound: the join plan."""
+    s = SE.with_sentiment(fx.posts(spark, sf_dir), _stored_lexicon(spark, sf_dir))
+    return present(s.select("event_id", "sentiment_score"))
+
+
+@register("stream_enrich_large_lexicon")
+def stream_enrich_large_lexicon(spark, sf_dir):
+    base = scratch_dir(spark, "enrich-large")
+    src, out = _os.path.join(base, "in"), _os.path.join(base, "out")
+    _wire_events(spark, sf_dir).write.text(src)
+    EN.enrich_stream(spark, src, out, _os.path.join(base, "ckpt"), lexicon=_stored_lexicon(spark, sf_dir),
+                     source_options={"maxFilesPerTrigger": 4}).awaitTermination()
+    e = EN.read_enriched(spark.read.text(out))
+    return present(e.select("event_id", "topic_id", "sentiment_score"))
+
+
 _LOG_DDL = ("topic_id string, event_id string, arrival_ts timestamp, seq long, score int, "
             "num_comments int, sentiment_score double")
 

@@ -12,7 +12,7 @@ import datetime as _dt
 import re
 
 from topicpulse.functions.sentiment import DEFAULT_LEXICON, NEGATION_FACTOR
-from topicpulse.sources.fixtures import AS_OF, F4_TOPICS
+from topicpulse.sources.fixtures import AS_OF, CYRILLIC, F4_TOPICS, LATIN
 
 ORACLE: dict[str, str] = {}
 
@@ -281,13 +281,14 @@ def _group(terms: list[str]) -> str:
     return f"(^|{edge})({words})({edge}|$)"
 
 
-def _match_sql(subs: list[str], cutoff=None) -> str:
+def _match_sql(subs: list[str], cutoff=None, text: str = "lower(text)",
+               term=lambda t: t) -> str:
     parts = []
     for tid, kw in F4_TOPICS:
         cnf = _f4_cnf(kw)
         if not cnf or any(len(g) == 0 for g in cnf):
             continue
-        conds = [f"regexp_matches(lower(text), '{_group(g)}')" for g in cnf]
+        conds = [f"regexp_matches({text}, '{_group([term(t) for t in g])}')" for g in cnf]
         if subs:
             conds.append("lower(subreddit) IN (" + ", ".join(f"'{s}'" for s in subs) + ")")
         if cutoff is not None:
@@ -297,10 +298,40 @@ def _match_sql(subs: list[str], cutoff=None) -> str:
     return f"WITH {POSTS},\nm AS (" + "\nUNION ALL\n".join(parts) + ")"
 
 
+# one topic per document: two phrases of three words, and three words; terms are
+# looked for in each document once, and a post has its document's matches
+_EDGE = r"[^\p{L}\p{N}]"
+ORACLE["match_many_terms"] = f"""WITH {POSTS},
+dw AS (SELECT doc_id, lower(text) AS lt,
+             list_filter(string_split_regex(lower(text), '{NONWORD}'), lambda x: x <> '') AS w
+      FROM documents),
+terms AS (
+  SELECT DISTINCT doc_id AS t, g, term FROM (
+    SELECT doc_id, 1 AS g, unnest([CASE WHEN len(w) >= 4 THEN array_to_string(w[2:4], ' ') END,
+                                   CASE WHEN len(w) >= 14 THEN array_to_string(w[12:14], ' ') END])
+           AS term FROM dw
+    UNION ALL SELECT doc_id, 2, unnest([w[8], w[20], w[30]]) FROM dw) WHERE term IS NOT NULL),
+words AS (SELECT DISTINCT doc_id, unnest(w) AS word FROM dw),
+hits AS (
+  SELECT terms.t, terms.g, words.doc_id FROM terms JOIN words ON words.word = terms.term WHERE g = 2
+  UNION ALL
+  SELECT terms.t, terms.g, dw.doc_id
+  FROM (SELECT *, string_split(term, ' ')[1] AS first FROM terms WHERE g = 1) terms
+  JOIN words ON words.word = terms.first JOIN dw ON dw.doc_id = words.doc_id
+  WHERE contains(dw.lt, term) AND regexp_matches(dw.lt, '(^|{_EDGE})' || term || '({_EDGE}|$)')),
+whole AS (SELECT t, doc_id FROM hits GROUP BY ALL HAVING count(DISTINCT g) = 2)
+SELECT 'doc-' || {_s('t')} AS topic_id, event_id, subreddit, {iso('created_at')} AS created_at, engagement
+FROM whole JOIN (SELECT 't3_' || {_s('event_id')} AS event_id,
+                        event_id % (SELECT count(*) FROM documents) AS doc_id FROM events) pd USING (doc_id)
+JOIN posts USING (event_id)"""
+
 _SRC09 = [f"src{i}" for i in range(10)]
 _MATCH_OUT = f"\nSELECT topic_id, event_id, subreddit, {iso('created_at')} AS created_at, engagement FROM m"
 ORACLE["match_cnf_narrow"] = _match_sql(_SRC09) + _MATCH_OUT
 ORACLE["match_cnf_inverted"] = _match_sql([]) + _MATCH_OUT
+ORACLE["match_non_latin"] = _match_sql(
+    [], text=f"translate(lower(text), '{LATIN}', '{CYRILLIC}')",
+    term=lambda t: t.translate(str.maketrans(LATIN, CYRILLIC))) + _MATCH_OUT
 ORACLE["match_since_48h"] = _match_sql([], _DT(2024, 1, 29, 12)) + _MATCH_OUT
 ORACLE["limit_per_topic"] = _match_sql([]) + f""",
 r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, event_id) AS rn
@@ -503,26 +534,45 @@ _LEX = "SELECT * FROM (VALUES " + ", ".join(
                                 f"CAST({i} AS DOUBLE)", "true" if n else "false")
     for w, p, i, n in DEFAULT_LEXICON) + ") AS x(word, polarity, intensity, negation)"
 
-ORACLE["sentiment_lexicon"] = f"""WITH {POSTS},
-lex AS ({_LEX}),
-tk AS (
-  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{NONWORD}'),
-                               lambda t: t <> '') AS toks
-  FROM posts),
-ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
-tp AS (SELECT event_id, toks[i] AS tok, CASE WHEN i > 1 THEN toks[i - 1] END AS prev FROM ti),
+# words whose md5 begins with 0, polarity by its next four digits
+_LARGE_LEX = f"""SELECT * FROM ({_LEX}) UNION ALL
+  SELECT word, (CAST('0x' || substr(md5(word), 2, 4) AS INTEGER) % 201 - 100) / 100.0, 1.0, false
+  FROM (SELECT DISTINCT unnest(string_split_regex(lower(text), '{NONWORD}')) AS word FROM documents)
+  WHERE word <> '' AND md5(word) LIKE '0%' AND word NOT IN (SELECT word FROM ({_LEX}))"""
+
+
+def _doc_sentiment(lexicon: str) -> str:
+    """m: the score of each document (a post's text is its document's); pd: post to document."""
+    return f"""lex AS ({lexicon}),
+tk AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{NONWORD}'),
+                                  lambda t: t <> '') AS toks
+       FROM documents),
+ti AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
+tp AS (SELECT doc_id, toks[i] AS tok, CASE WHEN i > 1 THEN toks[i - 1] END AS prev FROM ti),
 v AS (
-  SELECT tp.event_id,
+  SELECT tp.doc_id,
          lw.polarity * coalesce(lm.intensity, 1.0)
            * CASE WHEN ln.word IS NOT NULL THEN {NEGATION_FACTOR} ELSE 1.0 END AS v
   FROM tp JOIN lex lw ON lw.word = tp.tok AND lw.polarity IS NOT NULL
           LEFT JOIN lex lm ON lm.word = tp.prev AND lm.polarity IS NULL
           LEFT JOIN lex ln ON ln.word = tp.prev AND ln.negation),
-a AS (SELECT event_id, avg(v) AS m FROM v GROUP BY 1)
-SELECT p.event_id,
-       round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
-         AS sentiment_score
-FROM posts p LEFT JOIN a ON a.event_id = p.event_id"""
+a AS (SELECT doc_id, avg(v) AS m FROM v GROUP BY 1),
+pd AS (SELECT 't3_' || {_s('event_id')} AS event_id,
+              event_id % (SELECT count(*) FROM documents) AS doc_id FROM events)"""
+
+
+_SCORE = """round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
+         AS sentiment_score"""
+
+
+def _post_sentiment(lexicon: str) -> str:
+    return f"""WITH {_doc_sentiment(lexicon)}
+SELECT pd.event_id, {_SCORE}
+FROM pd JOIN documents d ON d.doc_id = pd.doc_id LEFT JOIN a ON a.doc_id = pd.doc_id"""
+
+
+ORACLE["sentiment_lexicon"] = _post_sentiment(_LEX)
+ORACLE["sentiment_large_lexicon"] = _post_sentiment(_LARGE_LEX)
 
 _LOG = f"""pl AS (
   SELECT event_type AS topic_id, {_s('user_id')} AS event_id, ts AS arrival_ts, event_id AS seq,
@@ -550,26 +600,14 @@ FROM r WHERE rn = 1"""
 
 
 # ---------------------------------------------------------------- phase 6
-ORACLE["stream_enrich"] = f"""WITH {_RT},
-lex AS ({_LEX}),
-tk AS (
-  SELECT event_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{NONWORD}'),
-                               lambda t: t <> '') AS toks
-  FROM rt WHERE event_id IS NOT NULL),
-ti AS (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM tk),
-tp AS (SELECT event_id, toks[i] AS tok, CASE WHEN i > 1 THEN toks[i - 1] END AS prev FROM ti),
-v AS (
-  SELECT tp.event_id,
-         lw.polarity * coalesce(lm.intensity, 1.0)
-           * CASE WHEN ln.word IS NOT NULL THEN {NEGATION_FACTOR} ELSE 1.0 END AS v
-  FROM tp JOIN lex lw ON lw.word = tp.tok AND lw.polarity IS NOT NULL
-          LEFT JOIN lex lm ON lm.word = tp.prev AND lm.polarity IS NULL
-          LEFT JOIN lex ln ON ln.word = tp.prev AND ln.negation),
-a AS (SELECT event_id, avg(v) AS m FROM v GROUP BY 1)
-SELECT rt.event_id, rt.topic_id,
-       round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
-         AS sentiment_score
-FROM rt LEFT JOIN a ON a.event_id = rt.event_id"""
+def _enriched(lexicon: str) -> str:
+    return f"""WITH {_RT}, {_doc_sentiment(lexicon)}
+SELECT rt.event_id, rt.topic_id, {_SCORE}
+FROM rt LEFT JOIN pd ON pd.event_id = rt.event_id LEFT JOIN a ON a.doc_id = pd.doc_id"""
+
+
+ORACLE["stream_enrich"] = _enriched(_LEX)
+ORACLE["stream_enrich_large_lexicon"] = _enriched(_LARGE_LEX)
 
 ORACLE["stream_upsert"] = ORACLE["current_posts_merge"]
 
@@ -688,15 +726,14 @@ for _w, _r in (("1d", "3m"), ("1d", "this_month"), ("1w", "6m"), ("1m", "3m")):
 ORACLE["topic_by_id"] = f"""WITH {CATALOG}
 SELECT seq, id, description, keywords, subreddits FROM slugged WHERE id = 'topic-40'"""
 
-ORACLE["sentiment_model"] = f"""WITH {POSTS},
-lex AS ({_LEX}),
-tk AS (SELECT event_id, unnest(string_split_regex(lower(text), '{NONWORD}')) AS tok FROM posts),
-a AS (SELECT tk.event_id, avg(lex.polarity) AS m FROM tk JOIN lex ON lex.word = tk.tok
-      WHERE lex.polarity IS NOT NULL GROUP BY 1)
-SELECT p.event_id,
-       round(CAST(CAST(greatest(least(coalesce(a.m, 0.0), 1.0), -1.0) AS FLOAT) AS DOUBLE), 6)
-         AS sentiment_score
-FROM posts p LEFT JOIN a ON a.event_id = p.event_id"""
+ORACLE["sentiment_model"] = f"""WITH lex AS ({_LEX}),
+tk AS (SELECT doc_id, unnest(string_split_regex(lower(text), '{NONWORD}')) AS tok FROM documents),
+a AS (SELECT tk.doc_id, avg(lex.polarity) AS m FROM tk JOIN lex ON lex.word = tk.tok
+      WHERE lex.polarity IS NOT NULL GROUP BY 1),
+pd AS (SELECT 't3_' || {_s('event_id')} AS event_id,
+              event_id % (SELECT count(*) FROM documents) AS doc_id FROM events)
+SELECT pd.event_id, {_SCORE}
+FROM pd JOIN documents d ON d.doc_id = pd.doc_id LEFT JOIN a ON a.doc_id = pd.doc_id"""
 
 
 # ---------------------------------------------------------------- end to end

@@ -9,6 +9,8 @@ F3 ``post_log``     — many versions per key (upsert / latest state)
 F4 ``topics``       — small inline catalogue covering every keyword shape
 F4s ``topic_catalog`` — catalogue derived from ``events`` (one topic per event)
 F6 ``raw_feed``     — raw feed records (``data`` struct) derived from events
+F7 ``many_topics``  — one topic per document, with phrases and words of its text
+F8 ``large_lexicon`` — the default lexicon and a sixteenth of the corpus's words
 """
 
 from __future__ import annotations
@@ -192,3 +194,58 @@ def topic_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.0).cast("float").alias("backfill_percentage"),
         i.alias("seq"),
     )
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"),
+                    lambda x: x != F.lit(""))
+
+
+def many_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic ``doc-<id>``, parsed: (words 2-4 or 12-14 as phrases) AND (word 8, 20 or 30).
+
+    A group without any of its terms stays empty, so such a topic never matches.
+    """
+    d = read_table(spark, sf_dir, "documents").select("doc_id", _words(F.col("text")).alias("w"))
+    w = F.col("w")
+
+    def phrase(i: int) -> Column:
+        return F.when(F.size(w) >= i + 2, F.array_join(F.slice(w, i, 3), " "))
+
+    def given(*terms: Column) -> Column:
+        return F.array_distinct(F.filter(F.array(*terms), lambda x: x.isNotNull()))
+
+    return d.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("topic_id"),
+        F.array(given(phrase(2), phrase(12)),
+                given(*[F.try_element_at(w, F.lit(i)) for i in (8, 20, 30)])).alias("cnf"),
+        F.array().cast("array<string>").alias("subs"))
+
+
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: words whose md5 begins with 0, polarity -1 to 1 by further digits of it."""
+    from topicpulse.functions.sentiment import default_lexicon
+
+    base = default_lexicon(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).distinct()
+    number = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 2, 4), 16, 10).cast("int")
+    more = words.where(F.md5(F.col("word").cast("binary")).startswith("0")).join(
+        base, "word", "left_anti").select(
+        "word", ((number % 201 - 100) / F.lit(100.0)).alias("polarity"), F.lit(1.0).alias("intensity"),
+        F.lit(False).alias("negation"))
+    return base.unionByName(more)
+
+
+# Latin letters of the posts and what stands for them in the Cyrillic feed.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувъжыз"
+
+
+def cyrillic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 with its letters a to z written in Cyrillic."""
+    return posts(spark, sf_dir).withColumn("text", F.translate(F.lower("text"), LATIN, CYRILLIC))
+
+
+def cyrillic_topics(spark: SparkSession) -> DataFrame:
+    """F4 with Cyrillic keywords."""
+    return topics(spark, "").withColumn("keywords", F.translate("keywords", LATIN, CYRILLIC))
