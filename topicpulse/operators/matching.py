@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from topicpulse.functions.calendar import ts_lit
 from topicpulse.functions.rules import parse_csv, parse_keywords
 from topicpulse.session import scratch_dir
+from topicpulse.sources.poststore import DATE_COL
 
 # Tunables (not reference values).
 NARROW_MAX_TOPICS = 256
@@ -91,10 +92,16 @@ def prepare_topics(topics: DataFrame) -> DataFrame:
 
 
 def _since(posts: DataFrame, cutoff: _dt.datetime | None, ts_col: str) -> DataFrame:
-    """Keep ``created >= cutoff`` (an older post is strictly before it)."""
-    if cutoff is None:
-        return posts
-    return posts.where(F.col(ts_col) >= ts_lit(cutoff))
+    """Keep ``created >= cutoff`` (an older post is strictly before it).
+
+    Posts that still carry the store's day column (``sources.poststore``) are
+    pruned by it first.
+    """
+    if cutoff is not None:
+        if DATE_COL in posts.columns:
+            posts = posts.where(F.col(DATE_COL) >= F.lit(cutoff.date()))
+        posts = posts.where(F.col(ts_col) >= ts_lit(cutoff))
+    return posts.drop(DATE_COL)
 
 
 def _sub_ok(subs: list[str] | Column, sub_col: Column) -> Column:
@@ -313,26 +320,61 @@ def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None
 
 
 LIMIT_SALT = 32
+HOUR_US = 3_600_000_000
 
 
 def limit_per_topic(matched: DataFrame, max_limit: int, ts_col: str = "created_at",
                     salt_buckets: int = LIMIT_SALT) -> DataFrame:
     """O3: newest posts per topic, cap rounded up to whole pages of 100.
 
-    ``row_number() <= k`` over (topic_id ORDER BY created desc, event_id),
-    in two salted stages: first per (topic, hash(event_id) % salt), then per
-    topic over the survivors.  The global top k of a topic is contained in
-    the union of its per-salt top k, so the result is exact, and the last
-    task of a hot topic receives at most ``salt × k`` rows however many map
-    tasks the input has.  Spark plans each stage with a WindowGroupLimit, so
-    map tasks already drop rows beyond k before every shuffle.
+    The first k rows of each topic by (created desc, event_id, row hash), found
+    by a threshold instead of ranking rows:
+
+    1. the matches are written once; the steps 2 to 4 read narrow columns;
+    2. a histogram of hours per topic (map-side combined) gives the cut hour,
+       in which the k-th newest row lies, and how many rows of it still fit;
+    3. only that hour's keys are ranked (salted top-k, then per topic), which
+       gives the topic's last key;
+    4. rows before the last key are kept by a comparison.
+
+    No text enters a window or its exchange.  Rows equal to the last key in
+    every column are interchangeable; as many as fit are copied from one of
+    them.  Null times come last, null ids first, as in a sort.
     """
     k = -(-max_limit // 100) * 100
-    order = [F.col(ts_col).desc(), F.col("event_id")]
-    salt = F.pmod(F.xxhash64(F.col("event_id")), F.lit(salt_buckets))
-    w1 = Window.partitionBy("topic_id", "_salt").orderBy(*order)
-    w2 = Window.partitionBy("topic_id").orderBy(*order)
-    stage1 = (matched.withColumn("_salt", salt)
-                     .withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= k)
-                     .drop("_rn", "_salt"))
-    return stage1.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k).drop("_rn")
+    cols = matched.columns
+    path = scratch_dir(matched.sparkSession, "limited")
+    newest = -F.coalesce(F.unix_micros(ts_col), F.lit(-2**62))
+    keyed = matched.select("*", newest.alias("_neg"), F.xxhash64(*cols).alias("_h"))
+    keyed.write.parquet(path)
+    stored = matched.sparkSession.read.schema(keyed.schema).parquet(path)
+
+    topic = F.col("topic_id")
+    hour = F.floor(F.col("_neg") / HOUR_US)
+    hours = stored.groupBy("topic_id", hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("topic_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, 0)
+    reach = hours.withColumn("_sum", F.sum("_n").over(upto)).where(F.col("_sum") >= k)
+    cut = reach.groupBy("topic_id").agg(F.min(F.struct("_hour", (F.col("_sum") - F.col("_n")).alias("_above")))
+                                        .alias("_c"))
+    cut = cut.select(topic.alias("_topic"), "_c._hour", (F.lit(k) - F.col("_c._above")).alias("_quota"))
+
+    inside = stored.select("topic_id", "_neg", "event_id", "_h", hour.alias("_at")).join(
+        cut, topic.eqNullSafe(F.col("_topic")) & (F.col("_at") == F.col("_hour")))
+    order = [F.col("_neg"), F.col("event_id"), F.col("_h")]
+    salted = Window.partitionBy("topic_id", F.pmod("_h", F.lit(salt_buckets))).orderBy(*order)
+    whole = Window.partitionBy("topic_id").orderBy(*order)
+    near = inside.withColumn("_rn", F.row_number().over(salted)).where(F.col("_rn") <= k)
+    ranked = near.withColumn("_rn", F.row_number().over(whole)).where(
+        F.col("_rn") <= F.col("_quota")).select("topic_id", "_neg", "event_id", "_h")
+    key = F.struct(*order)
+    last = ranked.groupBy("topic_id").agg(F.max(F.struct(key.alias("key"))).alias("_last"))
+    last = last.select(topic.alias("_topic"), "_last.key")
+    same = ranked.join(last, topic.eqNullSafe(F.col("_topic")) & key.eqNullSafe(F.col("key")))
+    last = same.groupBy("_topic", "key").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+
+    j = stored.join(last.withColumnRenamed("key", "_key"), topic.eqNullSafe(F.col("_topic")), "left")
+    before = j.where(F.col("_key").isNull() | (key < F.col("_key"))).select(*cols)
+    at = (j.where(key.eqNullSafe(F.col("_key"))).groupBy("_topic")
+          .agg(F.any_value(F.struct(*cols)).alias("_row"), F.any_value("_copies").alias("_copies")))
+    return before.unionByName(at.select("_row", F.explode(F.sequence(F.lit(1), "_copies")))
+                              .select("_row.*"))

@@ -95,11 +95,17 @@ def report(posts: DataFrame, as_of: _dt.datetime, topic_id: str | None = None,
     Columns: topic_id, start, end, mentions, engagement, sentiment, growth,
              trend_score, window_type (timestamps typed, UTC).
     """
-    spark = posts.sparkSession
     if topic_id is not None:
         posts = posts.where(F.col("topic_id") == F.lit(topic_id))
-    days = day_partials(posts, ts_col)
+    return report_from_days(day_partials(posts, ts_col), as_of, topic_id, topics)
 
+
+def report_from_days(days: DataFrame, as_of: _dt.datetime, topic_id: str | None = None,
+                     topics: DataFrame | None = None) -> DataFrame:
+    """``report`` from day partials (topic_id, day, mentions, engagement, sentiment_sum)."""
+    spark = days.sparkSession
+    if topic_id is not None:
+        days = days.where(F.col("topic_id") == F.lit(topic_id))
     extra_ids = None
     if topic_id is not None:
         extra_ids = spark.range(1).select(F.lit(topic_id).alias("topic_id"))

@@ -29,10 +29,12 @@ from topicpulse.plans.output import present
 from topicpulse.schemas import POST_SCHEMA
 from topicpulse.session import scratch_dir
 from topicpulse.sources import fixtures as fx
+from topicpulse.sources import poststore as PS
 from topicpulse.sources.posts import read_raw_posts
 from topicpulse.streaming import backfill as BF
 from topicpulse.streaming import enrich as EN
 from topicpulse.streaming import sync as SY
+from topicpulse.streaming import trends as TR
 from topicpulse.streaming import upsert as UP
 
 AS_OF = fx.AS_OF
@@ -202,10 +204,21 @@ def match_non_latin(spark, sf_dir):
 
 @register("match_since_48h")
 def match_since_48h(spark, sf_dir):
-    return _match_out(MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""),
+    """The 48 h look-back over the stored posts: only its days are listed."""
+    return _match_out(MT.match_posts(fx.stored_posts(spark, sf_dir), fx.topics(spark, ""),
                                      cutoff=_cutoff(AS_OF, "sync"), strategy="narrow"))
 
 
+@register("match_windows")
+def match_windows(spark, sf_dir):
+    """Posts around certain error events, by windows known at run time only."""
+    errors = fx.read_events(spark, sf_dir).where("event_type = 'error' AND value >= 99.9")
+    windows = errors.select(F.date_trunc("hour", "ts").alias("since"),
+                            (F.date_trunc("hour", "ts") + F.expr("INTERVAL 90 MINUTES")).alias("until"))
+    found = PS.read_windows(spark, fx.post_store(spark, sf_dir), windows)
+    return present(found.select("event_id", "subreddit", "created_at"))
+
+
 @register("limit_per_topic")
 def limit_per_topic(spark, sf_dir):
     m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""), strategy="inverted")
@@ -278,6 +291,29 @@ def append_topics(spark, sf_dir):
                               "update_frequency_seconds", "created_at", "backfill_status"))
 
 
+@register("insert_topics")
+def insert_topics(spark, sf_dir):
+    """Two batches with conflicting ids written to the stored catalogue, the second
+    one twice (a replay), and the catalogue read back."""
+    path = _os.path.join(scratch_dir(spark, "catalogue"), "topics")
+    new = TO.with_topic_ids(fx.topic_catalog(spark, sf_dir))
+    odd = F.col("seq") % 3 == 0
+    TO.insert_topics(new.where(odd), path, 0, AS_OF)
+    for _ in range(2):
+        TO.insert_topics(new.where(~odd), path, 1, AS_OF)
+    stored = TO.stored_topics(spark, path)
+    return present(stored.select("batch", "seq", "id", "description", "filters_json",
+                                 "update_frequency_seconds", "created_at", "backfill_status"))
+
+
+@register("stored_catalogue")
+def stored_catalogue(spark, sf_dir):
+    """The catalogue scanned from its store, in the form that is served."""
+    t = TO.served_topics(TO.read_topics(spark, "parquet", fx.topic_store(spark, sf_dir)))
+    return t.select("seq", "id", F.to_json("cnf").alias("keywords_cnf"),
+                    F.to_json("subreddit_list").alias("subreddit_list"))
+
+
 @register("tasks_with_topic")
 def tasks_with_topic(spark, sf_dir):
     ev = fx.read_events(spark, sf_dir)
@@ -314,6 +350,18 @@ def event_json_roundtrip(spark, sf_dir):
     return NO.parse_events(_wire_events(spark, sf_dir), POST_SCHEMA)
 
 
+@register("event_rejects")
+def event_rejects(spark, sf_dir):
+    """P1's rejects: broken JSON, a missing key and blank values, with text and reason."""
+    wire = _wire_events(spark, sf_dir)
+    field = F.get_json_object
+    score = field("value", "$.score").cast("int")
+    keyless = F.concat(F.lit('{"event_id":"'), field("value", "$.event_id"), F.lit('"}'))
+    values = wire.select(F.when(score % 17 == 0, keyless).when(score % 19 == 0, F.lit(" "))
+                         .otherwise(F.col("value")).alias("value"))
+    return NO.parse_with_rejects(values)[1]
+
+
 @register("event_time")
 def event_time(spark, sf_dir):
     e = NO.parse_events(_wire_events(spark, sf_dir), POST_SCHEMA)
@@ -417,7 +465,7 @@ def backfill_run(spark, sf_dir):
     base = scratch_dir(spark, "backfill")
     src, out = _os.path.join(base, "tasks"), _os.path.join(base, "out")
     _task_values(spark, sf_dir).repartitionByRange(3, "seq").select("value").write.text(src)
-    q = BF.run_backfill(spark, src, fx.topics(spark, ""), fx.posts(spark, sf_dir), AS_OF, out,
+    q = BF.run_backfill(spark, src, fx.topics(spark, ""), fx.stored_posts(spark, sf_dir), AS_OF, out,
                         _os.path.join(base, "ckpt"), source_options={"maxFilesPerTrigger": 1})
     q.awaitTermination()
     res = UP.read_log(spark, _os.path.join(out, "events"))
@@ -595,7 +643,8 @@ def summary_this_week(spark, sf_dir):
 
 @register("topic_by_id")
 def topic_by_id(spark, sf_dir):
-    t = TO.with_topic_ids(fx.topic_catalog(spark, sf_dir))
+    """A point lookup on the stored catalogue; the id reaches the scan."""
+    t = TO.read_topics(spark, "parquet", fx.topic_store(spark, sf_dir))
     return present(TO.topic_by_id(t, "topic-40").select("seq", "id", "description", "keywords",
                                                          "subreddits"))
 
@@ -634,3 +683,27 @@ def report_from_log(spark, sf_dir):
     UP.log_batch(tp, 1, log)
     cur = UP.current_view(spark, log, value_cols=["created_at", "engagement", "sentiment_score"])
     return present(M.report(cur, AS_OF))
+
+
+@register("report_incremental")
+def report_incremental(spark, sf_dir):
+    """The report kept by the trends stream over three re-send cycles.
+
+    The first cycle carries every post with stale figures, the second re-sends
+    the newer half of the month without sentiment, the third all posts with
+    their final figures but no sentiment where the first already had it.
+    """
+    base = scratch_dir(spark, "trends")
+    src, out = _os.path.join(base, "in"), _os.path.join(base, "out")
+    tp = fx.topic_posts(spark, sf_dir).select("topic_id", "event_id", "created_at", "engagement",
+                                              "sentiment_score")
+    none = F.lit(None).cast("double")
+    cycles = [tp.withColumn("engagement", F.col("engagement") - 2),
+              tp.where(F.col("created_at") >= F.lit(dt.datetime(2024, 1, 16))).withColumn(
+                  "engagement", F.col("engagement") - 1).withColumn("sentiment_score", none),
+              tp.withColumn("sentiment_score", none)]
+    for c in cycles:
+        c.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(tp.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    TR.trends_stream(stream, out, _os.path.join(base, "ckpt")).awaitTermination()
+    return present(TR.report_now(spark, out, AS_OF))

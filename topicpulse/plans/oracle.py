@@ -333,6 +333,11 @@ ORACLE["match_non_latin"] = _match_sql(
     [], text=f"translate(lower(text), '{LATIN}', '{CYRILLIC}')",
     term=lambda t: t.translate(str.maketrans(LATIN, CYRILLIC))) + _MATCH_OUT
 ORACLE["match_since_48h"] = _match_sql([], _DT(2024, 1, 29, 12)) + _MATCH_OUT
+ORACLE["match_windows"] = f"""WITH {POSTS},
+win AS (SELECT DISTINCT date_trunc('hour', ts) AS since FROM events
+        WHERE event_type = 'error' AND value >= 99.9)
+SELECT event_id, subreddit, {iso('created_at')} AS created_at FROM posts p
+WHERE EXISTS (SELECT 1 FROM win WHERE p.created_at BETWEEN since AND since + INTERVAL 90 MINUTE)"""
 ORACLE["limit_per_topic"] = _match_sql([]) + f""",
 r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY created_at DESC, event_id) AS rn
       FROM m)
@@ -453,6 +458,19 @@ SELECT seq, id, 'invalid', coalesce(description, ''), coalesce(filters_json, '{{
        '2024-01-31T12:00:00.000Z', 'IDLE'
 FROM v WHERE NOT ok"""
 
+ORACLE["insert_topics"] = f"""WITH {CATALOG},
+v AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS batch FROM slugged WHERE {_VALID}),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch, seq) AS rn FROM v)
+SELECT batch, seq, id, coalesce(description, '') AS description,
+       coalesce(filters_json, '{{}}') AS filters_json, 60 AS update_frequency_seconds,
+       '2024-01-31T12:00:00.000Z' AS created_at, 'IDLE' AS backfill_status
+FROM r WHERE rn = 1"""
+
+ORACLE["stored_catalogue"] = f"""WITH {CATALOG}
+SELECT s.seq, s.id, CAST(to_json(c.cnf) AS VARCHAR) AS keywords_cnf,
+       CAST(to_json(string_split(coalesce(c.subreddits, ''), ',')) AS VARCHAR) AS subreddit_list
+FROM slugged s JOIN catp c ON c.seq = s.seq"""
+
 ORACLE["tasks_with_topic"] = f"""WITH {CATALOG},
 tasks AS (
   SELECT event_id AS task_seq,
@@ -523,6 +541,13 @@ rt AS (
 
 ORACLE["event_json_roundtrip"] = f"WITH {_RT}\nSELECT * FROM rt"
 
+ORACLE["event_rejects"] = f"""WITH {POSTS}
+SELECT CASE WHEN num_comments = 0 THEN '{{"event_id":"' || event_id || '","score":'
+            WHEN score % 17 = 0 THEN '{{"event_id":"' || event_id || '"}}' ELSE ' ' END AS value,
+       CASE WHEN num_comments = 0 THEN 'malformed' WHEN score % 17 = 0 THEN 'no topic_id'
+            ELSE 'empty' END AS reason
+FROM posts WHERE num_comments = 0 OR score % 17 = 0 OR score % 19 = 0"""
+
 ORACLE["event_time"] = f"""WITH {_RT},
 t AS (SELECT event_id, CASE WHEN score % 13 = 0 THEN 'not-a-date' ELSE "timestamp" END AS ts FROM rt)
 SELECT event_id, ts AS "timestamp",
@@ -774,3 +799,5 @@ SELECT topic_id,
        CASE WHEN topic_id = 'ghost-topic' THEN count(*) END AS rejected
 FROM tasks GROUP BY topic_id"""
 ORACLE["report_from_log"] = ORACLE["report_all_topics"]
+
+ORACLE["report_incremental"] = ORACLE["report_from_log"]

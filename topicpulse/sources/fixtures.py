@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicpulse.schemas import TOPIC_TABLE_SCHEMA
+from topicpulse.session import scratch_dir
+from topicpulse.sources.poststore import write_posts
 from topicpulse.sources.tables import read_events, read_table
 
 # Fixed clock of every derived query (never the wall clock).
@@ -59,6 +61,37 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
               .repartition("event_id"))
 
 
+_STORES: dict[tuple, str] = {}
+
+
+def _store(spark: SparkSession, name: str, sf_dir: str, write) -> str:
+    """A table written once per application under the scratch folder; its path."""
+    at = (spark.sparkContext.applicationId, name, sf_dir)
+    if at not in _STORES:
+        path = scratch_dir(spark, name)
+        write(path)
+        _STORES[at] = path
+    return _STORES[at]
+
+
+def post_store(spark: SparkSession, sf_dir: str) -> str:
+    """F1 as a deployment keeps it: parquet by day."""
+    return _store(spark, "posts", sf_dir, lambda path: write_posts(posts(spark, sf_dir), path))
+
+
+def stored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 from its store, with the day column that cutoffs prune by."""
+    return spark.read.parquet(post_store(spark, sf_dir))
+
+
+def topic_store(spark: SparkSession, sf_dir: str) -> str:
+    """F4s with its final ids as a stored catalogue, sorted by id."""
+    from topicpulse.operators.topics import with_topic_ids, write_topics
+
+    return _store(spark, "topics", sf_dir,
+                  lambda path: write_topics(with_topic_ids(topic_catalog(spark, sf_dir)), path))
+
+
 def topic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2: topic_id = event_type; sentiment 0.5 when value >= 50 else -0.25."""
     ev = read_events(spark, sf_dir)
