@@ -43,7 +43,7 @@ CONTAINED = 80
 #: Buckets of a bitmap: 2 ** BUCKET_BITS bits, 16 MB, whatever the data.
 BUCKET_BITS = 27
 #: Bytes of text that a task cuts into words at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 TOP_SALT = 32
 
 _WORDS = [f"w{i}" for i in range(1, ORDER + 1)]
