@@ -18,8 +18,8 @@ sent again is a row of its own, and a post without an id is matched too):
   regexes compiled once per task.
 * ``inverted`` — any catalogue size.  Each term is keyed by one of its
   alphanumeric runs (every run of a matching term is a whole token of the
-  text, so this is a necessary condition), the one found in fewest posts;
-  terms of symbols alone are keyed by a symbol that the post must hold.  A
+  text, so this is a necessary condition), the one found in fewest posts if
+  a frequency table is given, else the longest; terms of symbols alone are keyed by a symbol that the post must hold.  A
   table of hash buckets of the keys, of fixed size, drops other tokens
   before they are exploded, and posts without any key altogether.  What is
   left is equi-joined with the term table.  Every post gets a row number of
@@ -244,10 +244,9 @@ def token_frequencies(posts: DataFrame, topics: DataFrame) -> DataFrame | None:
 def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
                    ts_col: str = "created_at", tokens_col: str | None = None,
                    frequencies: DataFrame | None = None) -> DataFrame:
-    """The inverted plan; ``frequencies`` (tok, posts) saves counting them here."""
+    """The inverted plan.  Terms are keyed by their rarest run if ``frequencies``
+    (``token_frequencies``, or a stored table of it) is given, else by the longest."""
     p = _since(posts, cutoff, ts_col)
-    if frequencies is None:
-        frequencies = token_frequencies(p, topics)
     # used three times (its buckets, its size and the join), so counted and written once
     path = scratch_dir(posts.sparkSession, "terms")
     table = term_table(topics, frequencies)
@@ -299,23 +298,26 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
 
 def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None = None,
                 strategy: str = "auto", ts_col: str = "created_at",
-                tokens_col: str | None = None) -> DataFrame:
+                tokens_col: str | None = None, frequencies: DataFrame | None = None) -> DataFrame:
     """J1 entry point: ``strategy`` = 'narrow' | 'inverted' | 'auto'.
 
     'auto' takes the narrow plan when the catalogue is within both of its
-    bounds (topics and terms); the two give the same rows, one per post row
-    and matching topic.  ``tokens_col``
-    adds the post's token array, for callers that count tokens.
+    bounds (topics and terms), else the inverted one, for which it counts the
+    phrases' runs unless ``frequencies`` are given; the two plans give the same
+    rows, one per post row and matching topic.  ``tokens_col`` adds the post's
+    token array, for callers that count tokens.
     """
     if strategy == "auto":
         rows = prepare_topics(topics).limit(NARROW_MAX_TOPICS + 1).collect()
         terms = sum(len(g) for r in rows for g in (r.cnf or []))
         narrow = len(rows) <= NARROW_MAX_TOPICS and terms <= NARROW_MAX_TERMS
         strategy = "narrow" if narrow else "inverted"
+        if not narrow and frequencies is None:
+            frequencies = token_frequencies(_since(posts, cutoff, ts_col), topics)
     if strategy == "narrow":
         return match_narrow(posts, topics, cutoff, ts_col, tokens_col)
     if strategy == "inverted":
-        return match_inverted(posts, topics, cutoff, ts_col, tokens_col=tokens_col)
+        return match_inverted(posts, topics, cutoff, ts_col, tokens_col, frequencies)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

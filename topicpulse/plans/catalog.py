@@ -190,9 +190,11 @@ def match_cnf_inverted(spark, sf_dir):
 
 @register("match_many_terms")
 def match_many_terms(spark, sf_dir):
-    """A catalogue beyond the narrow plan's bounds: one topic per document, five terms each."""
-    return _match_out(MT.match_posts(fx.posts(spark, sf_dir), fx.many_topics(spark, sf_dir),
-                                     strategy="inverted"))
+    """A catalogue beyond the narrow plan's bounds: one topic per document, five terms
+    each, keyed by their rarest runs."""
+    posts, topics = fx.posts(spark, sf_dir), fx.many_topics(spark, sf_dir)
+    return _match_out(MT.match_posts(posts, topics, strategy="inverted",
+                                     frequencies=MT.token_frequencies(posts, topics)))
 
 
 @register("match_non_latin")
@@ -478,15 +480,26 @@ def backfill_status(spark, sf_dir):
     base = scratch_dir(spark, "backfill-status")
     src, out = _os.path.join(base, "tasks"), _os.path.join(base, "out")
     _task_values(spark, sf_dir).repartitionByRange(2, "seq").select("value").write.text(src)
-    BF.run_backfill(spark, src, fx.topics(spark, ""), fx.posts(spark, sf_dir), AS_OF, out,
+    BF.run_backfill(spark, src, fx.topics(spark, ""), fx.stored_posts(spark, sf_dir), AS_OF, out,
                     _os.path.join(base, "ckpt")).awaitTermination()
-    status = BF.status_of(spark.read.parquet(_os.path.join(out, "status")))
+    status = BF.status_of(BF.read_status(spark, out))
     rejected = spark.read.parquet(_os.path.join(out, "rejects")).groupBy("topic_id").agg(
         F.count(F.lit(1)).alias("rejected"))
     return status.select("topic_id", "status", "percentage").join(
         rejected, "topic_id", "full").select("topic_id", "status", "percentage", "rejected")
 
 
+@register("backfill_steps")
+def backfill_steps(spark, sf_dir):
+    """Every status event of one backfill, with what its job observed."""
+    base = scratch_dir(spark, "backfill-steps")
+    src, out = _os.path.join(base, "tasks"), _os.path.join(base, "out")
+    _task_values(spark, sf_dir).select("value").write.text(src)
+    BF.run_backfill(spark, src, fx.topics(spark, ""), fx.stored_posts(spark, sf_dir), AS_OF, out,
+                    _os.path.join(base, "ckpt")).awaitTermination()
+    return present(BF.read_status(spark, out))
+
+
 @register("backfill_progress")
 def backfill_progress(spark, sf_dir):
     m = MT.match_posts(fx.posts(spark, sf_dir), fx.topics(spark, ""),

@@ -798,6 +798,21 @@ SELECT topic_id,
        CASE WHEN topic_id <> 'ghost-topic' THEN CAST(100.0 AS DOUBLE) END AS percentage,
        CASE WHEN topic_id = 'ghost-topic' THEN count(*) END AS rejected
 FROM tasks GROUP BY topic_id"""
+# the window of 30 days in three slices, newest first
+_SPANS = [("TIMESTAMP '2024-01-21 12:00:00'", "TIMESTAMP '9999-01-01'"),
+          ("TIMESTAMP '2024-01-11 12:00:00'", "TIMESTAMP '2024-01-21 12:00:00'"),
+          ("TIMESTAMP '2024-01-01 12:00:00'", "TIMESTAMP '2024-01-11 12:00:00'")]
+ORACLE["backfill_steps"] = _match_sql([], _BF_CUT) + """,
+steps AS (
+  SELECT 'PENDING' AS status, NULL::DOUBLE AS percentage, 0 AS seq, 0 AS slice_rows, NULL::TIMESTAMP AS o
+  UNION ALL SELECT 'COMPLETED', 100.0, 4, 0, NULL
+""" + "".join(f"""  UNION ALL
+  SELECT NULL, round(100.0 * {i} / 3, 6), {i}, count(*), min(created_at) FROM m
+  WHERE created_at >= {lo} AND created_at < {hi}
+""" for i, (lo, hi) in enumerate(_SPANS, 1)) + f""")
+SELECT t.topic_id, status, percentage, CAST(seq AS BIGINT) AS seq, CAST(slice_rows AS BIGINT) AS slice_rows,
+       {iso('o')} AS slice_oldest
+FROM steps, (SELECT unnest([{", ".join(f"'{t}'" for t, _ in F4_TOPICS)}]) AS topic_id) t"""
 ORACLE["report_from_log"] = ORACLE["report_all_topics"]
 
 ORACLE["report_incremental"] = ORACLE["report_from_log"]
