@@ -80,3 +80,10 @@ def test_every_label_is_learned(spark, monkeypatch):
     assert set(got["lang_pred"]) == set(net.labels)
     assert (got["lang"] == got["lang_pred"]).mean() > 0.9
     assert set(got.loc[got["lang"] == "rare", "lang_pred"]) == {"rare"}
+
+
+def test_numerals_are_no_letters(spark):
+    from topicpulse.llm.langid import has_letter
+
+    assert not any(map(has_letter, [None, "", "² ½ 12", "Ⅷ ①", "12 !!", "_"]))
+    assert all(map(has_letter, ["² a", "ß", "日", "ª", "½ ё"]))

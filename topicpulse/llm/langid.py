@@ -25,6 +25,7 @@ result, the result's name gets underscores.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 512
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode's letter categories is in the text; numerals
+    such as superscripts and fractions are word characters, but no letters."""
+    return bool(text) and any(unicodedata.category(m.group())[0] == "L"
+                              for m in _LETTER.finditer(text))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether the row is kept away from learning."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -240,7 +248,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
         banks = model.folded()
         labels = np.array(model.labels, dtype=object)
         for batch in batches:
-            known = [bool(t) and _LETTER.search(t) is not None for t in batch]
+            known = [has_letter(t) for t in batch]
             pred = np.full(len(batch), UNKNOWN, dtype=object)
             score = np.zeros(len(batch))
             at = np.flatnonzero(known)
