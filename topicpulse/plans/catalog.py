@@ -592,7 +592,7 @@ def sync_resend(spark, sf_dir):
     """Two re-send cycles an hour apart; the second carries fresh scores."""
     import datetime as _dt2
     log = _os.path.join(scratch_dir(spark, "sync"), "log")
-    posts = fx.posts(spark, sf_dir)
+    posts = fx.stored_posts(spark, sf_dir)       # each cycle lists the days of its 48 h only
     topics = fx.topics(spark, "")
     SY.sync_cycle(posts, topics, AS_OF - _dt2.timedelta(hours=1), log, 0, strategy="narrow")
     fresh = posts.withColumn("score", F.col("score") + F.lit(1))
