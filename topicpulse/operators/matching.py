@@ -51,7 +51,7 @@ NARROW_MAX_TOPICS = 256
 NARROW_MAX_TERMS = 4096
 BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 SALT_BUCKETS = 16
-KEY_BUCKETS = 1 << 18          # bytes of the table that drops tokens before the explode
+KEY_BUCKETS = 1 << 16          # bytes of the table that drops tokens before the explode
 
 _META = re.compile(r"([\\.^$|?*+()\[\]{}])")
 # Letters and digits of any script make a token.
@@ -202,25 +202,24 @@ def term_table(topics: DataFrame, frequencies: DataFrame | None = None) -> DataF
                         F.col("term").rlike(_SIMPLE).alias("exact"), pattern.alias("pattern"))
 
 
-def _fits_broadcast(terms: DataFrame) -> bool:
-    """Whether the term table's strings stay under the byte bound."""
-    size = F.sum(F.octet_length("pattern") + F.octet_length("term") + F.lit(64)
+def _bytes() -> Column:
+    """The aggregate size of the term table's strings."""
+    return F.sum(F.octet_length("pattern") + F.octet_length("term") + F.lit(64)
                  + F.aggregate("subs", F.lit(0), lambda n, s: n + F.octet_length(s) + 16))
-    return (terms.agg(size).first()[0] or 0) <= BROADCAST_MAX_BYTES
 
 
 def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(KEY_BUCKETS)).cast("int")
 
 
-def among(tokens: Column, keys: DataFrame, key: str = "key") -> Column:
-    """The tokens whose hash bucket holds a key: all keys, and few others.
+def among(tokens: Column, buckets: list[int]) -> Column:
+    """The tokens whose hash bucket is listed: all keys, and few others.
 
     The buckets are a literal of KEY_BUCKETS bytes however many keys there are.
     """
     held = bytearray(KEY_BUCKETS)
-    for r in keys.select(_bucket(F.col(key)).alias("b")).distinct().collect():   # KEY_BUCKETS at most
-        held[r["b"]] = 1
+    for b in buckets:
+        held[b] = 1
     table = F.lit(held)
     return F.filter(tokens, lambda t: F.substring(table, _bucket(t) + 1, F.lit(1)) == F.lit(b"\x01"))
 
@@ -233,11 +232,12 @@ def token_frequencies(posts: DataFrame, topics: DataFrame) -> DataFrame | None:
     them for many cycles (a key is right whatever the counts, only slower).
     """
     runs = term_rows(topics).select(_runs(F.col("term")).alias("runs")).where(F.size("runs") > 1)
-    runs = runs.select(F.explode("runs").alias("run")).distinct()
-    if not runs.limit(1).count():
+    runs = runs.select(F.explode("runs").alias("run"))
+    buckets = runs.agg(F.collect_set(_bucket(F.col("run")))).first()[0]    # KEY_BUCKETS at most
+    if not buckets:
         return None
     words = F.array_distinct(F.split(F.lower(F.col("text")), _SPLIT))
-    found = posts.select(F.explode(among(words, runs, "run")).alias("tok"))
+    found = posts.select(F.explode(among(words, buckets)).alias("tok"))
     return found.groupBy("tok").agg(F.count(F.lit(1)).alias("posts"))
 
 
@@ -247,23 +247,25 @@ def match_inverted(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | N
     """The inverted plan.  Terms are keyed by their rarest run if ``frequencies``
     (``token_frequencies``, or a stored table of it) is given, else by the longest."""
     p = _since(posts, cutoff, ts_col)
-    # used three times (its buckets, its size and the join), so counted and written once
+    # read twice (for its figures and in the join), so made and written once
     path = scratch_dir(posts.sparkSession, "terms")
     table = term_table(topics, frequencies)
     table.write.parquet(path)
     terms = posts.sparkSession.read.schema(table.schema).parquet(path)
+    known = terms.agg(F.collect_set(_bucket(F.col("key"))).alias("buckets"), _bytes().alias("bytes"),
+                      F.max("symbols").alias("symbols")).first()           # KEY_BUCKETS numbers at most
     lt = F.lower(F.col("text"))
     words = F.split(lt, _SPLIT)
-    if term_rows(topics).where(F.size(_runs(F.col("term"))) == 0).limit(1).count():
+    if known["symbols"]:
         # terms of symbols alone meet the post in one of its symbols
         words = F.concat(words, F.regexp_extract_all(lt, F.lit(r"([^\p{L}\p{N}])"), 1),
                          F.array(F.lit("")))
     staged = p.select(F.struct(*p.columns).alias("_data"), "subreddit",
                       F.monotonically_increasing_id().alias("_row"),
-                      among(F.array_distinct(words), terms).alias("_keys")).where(F.size("_keys") > 0)
+                      among(F.array_distinct(words), known["buckets"]).alias("_keys")).where(F.size("_keys") > 0)
     tok = staged.select("_row", "subreddit", "_data", F.posexplode("_keys").alias("_pos", "_tok"))
     tok = tok.select("_row", "subreddit", "_tok", F.when(F.col("_pos") == 0, F.col("_data")).alias("_data"))
-    if _fits_broadcast(terms):
+    if (known["bytes"] or 0) <= BROADCAST_MAX_BYTES:
         joined = tok.join(F.broadcast(terms), tok["_tok"] == terms["key"], "left")
     else:
         # (token, salt): a very common token is spread over SALT_BUCKETS tasks
