@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from tests.llm.data import SF0001, no_documents, odd_documents
@@ -47,6 +48,8 @@ def test_query_against_brute_force(spark):
     ("((MIT", set(), 0.0),
     ("", set(), 0.0),
     ("Some-Own", {"some-own"}, 0.5),
+    ("MIT WITH (ISC OR BSD-3-Clause) AND Apache-2.0", {"mit", "apache"}, 0.2),
+    ("(MIT OR (GPL-2.0 WITH x AND ISC)) OR EPL-2.0 AND (", {"mit", "gpl", "isc", "epl"}, 0.1),
 ])
 def test_expressions(text, labels, score):
     assert L.evaluate(text) == (labels, score)
@@ -82,3 +85,14 @@ def test_odd_rows(spark):
 def test_expressions_end_with_their_grammar(text, labels, score):
     automaton = L.WordAutomaton(dict.fromkeys([*L.BASE_PHRASES, *L.MORE_PHRASES, L.TAG], ""))
     assert L.scan_text(automaton, text)[5:] == (labels, score)
+
+
+@pytest.mark.parametrize("joined", [" OR ", " AND ", " WITH ", " OR ("])
+def test_time_grows_with_the_expression_alone(joined):
+    n = 100_000
+    text = joined.join(f"Own-{k}" for k in range(n)) + ")" * (n - 1 if "(" in joined else 0)
+    started = time.process_time()
+    names, weight = L.evaluate(text)
+    assert time.process_time() - started < 5
+    assert len(names) == (1 if "WITH" in joined else n)
+    assert weight == (0.0 if "WITH" in joined else 0.5)

@@ -19,8 +19,10 @@ ends before the first token that its grammar cannot continue with; its longest
 complete prefix counts.  A tag not spelled with hyphens needs a colon behind it
 or an identifier of a known family, else it is prose about tags.
 
-Edge cases: a null or empty text has no words, no labels and score 0.  Rows are independent: repeated rows repeat, an empty
-table gives an empty result, and extra columns pass through the operator.
+Edge cases: a null or empty text has no words, no labels and score 0.  Rows are
+independent: repeated rows repeat, an empty table gives an empty result, and
+extra columns pass through the operator.  The time for a text grows with its
+length, however long an expression in it is.
 """
 
 from __future__ import annotations
@@ -131,19 +133,27 @@ class WordAutomaton:
 
 def to_postfix(tokens: list[str]) -> list[str]:
     """Shunting-yard: the longest prefix of infix tokens that is an expression, in
-    postfix order."""
+    postfix order.
+
+    The output only grows, so a complete prefix is remembered by its length and
+    by the operators still on the stack, of which there are at most three
+    outside brackets.
+    """
     out: list[str] = []
     stack: list[str] = []
-    whole: list[str] = []
+    length, waiting = 0, []
+    brackets = 0
     operand_next = True
     for token in tokens:
         low = token.lower()
         if low == "(" and operand_next:
             stack.append(low)
-        elif low == ")" and not operand_next and "(" in stack:
+            brackets += 1
+        elif low == ")" and not operand_next and brackets:
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            brackets -= 1
         elif low in BINDS and not operand_next:
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[low]:
                 out.append(stack.pop())
@@ -154,9 +164,9 @@ def to_postfix(tokens: list[str]) -> list[str]:
             operand_next = False
         else:
             break
-        if not operand_next and "(" not in stack:
-            whole = out + stack[::-1]
-    return whole
+        if not operand_next and not brackets:
+            length, waiting = len(out), stack[::-1]
+    return out[:length] + waiting
 
 
 def family(identifier: str) -> str:
@@ -166,22 +176,29 @@ def family(identifier: str) -> str:
 
 
 def evaluate(expression: str) -> tuple[set[str], float]:
-    """Labels and restrictiveness of a license expression."""
+    """Labels and restrictiveness of a license expression.
+
+    Labels are kept in one list, in the order of the operands; a value is where
+    its labels start there, and its weight.  What stands behind ``with`` adds no
+    label, and its labels are always the last of the list.
+    """
     postfix = to_postfix(_TOKEN.findall(expression, _LEADING.match(expression).end()))
-    values: list[tuple[set[str], float]] = []
+    labels: list[str] = []
+    values: list[tuple[int, float]] = []
     for token in postfix:
-        if token.lower() in BINDS:
-            right, left = values.pop(), values.pop()
-            op = token.lower()
+        op = token.lower()
+        if op in BINDS:
+            (at, right), (start, left) = values.pop(), values.pop()
             if op == "with":
-                values.append((left[0], left[1] / 2))
+                del labels[at:]
+                values.append((start, left / 2))
             else:
-                pick = min if op == "or" else max
-                values.append((left[0] | right[0], pick(left[1], right[1])))
+                values.append((start, min(left, right) if op == "or" else max(left, right)))
         else:
             label = family(token)
-            values.append(({label}, WEIGHTS.get(label, OTHER_WEIGHT)))
-    return values[0] if values else (set(), 0.0)
+            values.append((len(labels), WEIGHTS.get(label, OTHER_WEIGHT)))
+            labels.append(label)
+    return set(labels), values[0][1] if values else 0.0
 
 
 def expressions(text: str, tags: list[int]) -> Iterator[str]:
