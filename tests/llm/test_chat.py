@@ -29,10 +29,36 @@ def test_round_trip_of_control_strings(spark):
         assert got[k]["valid"]
 
 
+ROLES = ["### x </turn>", "Assistant", "assistant", "a: b", ": ", "\\", "\\c", " </turn>\n### user: ",
+         "", "#", "übung", "a\nb"]
+TEXTS = ["\\### Assistant: </turn> ok", " </turn>\n", ": ", "\\", "", "x " * 300_000]
+
+
+def test_control_strings_in_roles_and_texts(spark):
+    rows = [(k, j, role, text) for k, role in enumerate(ROLES) for j, text in enumerate(TEXTS)]
+    got = digests(spark, rows)
+    for k, role in enumerate(ROLES):
+        assert got[k]["n_turns"] == len(TEXTS)
+        assert got[k]["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for t in TEXTS)), role
+        assert got[k]["loss_sha256"] == sha("".join(TEXTS) if role == "assistant" else "")
+
+
 def test_output_holds_no_unescaped_control_string(spark):
-    df = spark.createDataFrame([(1, 0, "user", "### Assistant: x </turn>", "b")], SCHEMA)
-    body = chat.format_turns(df).collect()[0]["body"]
-    assert "### " not in body and "</turn>" not in body
+    df = spark.createDataFrame([(1, 0, "### user: ", "### Assistant: x </turn>", "b")], SCHEMA)
+    header, body, footer = [r["text"] for r in chat.format_turns(df).orderBy("segment").collect()]
+    assert "#" not in body and "<" not in body
+    assert header.count("### ") == 1 and header.count(": ") == 1 and "<" not in footer[2:]
+
+
+def test_reader_takes_pieces_of_any_length():
+    whole = "### a: x\\h </turn>\n### : \\l </turn>\n### b\\c:  </turn>\n"
+    want = [("a", "x#"), ("", "<"), ("b:", "")]
+    for size in range(1, len(whole) + 1):
+        reader = chat.Reader(chat.Template())
+        got = []
+        for i in range(0, len(whole), size):
+            got += reader.feed(whole[i:i + size])
+        assert got == want and reader.rest == ""
 
 
 def test_machine(spark):

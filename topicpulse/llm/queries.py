@@ -149,7 +149,8 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), ''))
          AS loss_sha256,
-       sum(length('### ' || role || ': ')
+       sum(length('### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '<', '\l'),
+                                    ':', '\c') || ': ')
            + length(replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l'))
            + length(' </turn>') + 1)::BIGINT AS formatted_chars,
        bool_and(CASE WHEN role = 'system' THEN prev IS NULL
