@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.llm.data import no_documents, odd_documents
 
 from topicpulse.llm import quality
+from topicpulse.llm.common import materialize
 from topicpulse.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -48,25 +49,61 @@ def test_binomial_bound(spark, n, p):
         assert abs(r["c"] - cdf(r["k"], n, p)) < 1e-9
 
 
-def test_cutoffs_keep_their_promise(spark):
-    # 4000 good rows; the symbol ratio of 8 is high: 2 in 1000 is under the risk, 1 % is not
-    rows = [(i, "en", (8 if i < 8 else 1 if i < 48 else 0)) for i in range(4000)]
-    measured = spark.createDataFrame(rows, "doc_id long, lang string, s long").select(
-        F.struct("doc_id", "lang").alias("row"),
+def made(spark, symbols):
+    """Measured rows of which row i has the symbol ratio symbols[i] and a text of its own."""
+    rows = [(i, "en", s) for i, s in enumerate(symbols)]
+    return spark.createDataFrame(rows, "doc_id long, lang string, s long").select(
+        F.struct("doc_id", "lang").alias("row"), F.md5(F.col("doc_id").cast("string")).alias("digest"),
         F.struct(F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"),
                  (F.col("s") * 100).alias("n_symbols"), F.lit(9).cast("long").alias("n_lines"),
                  F.lit(0).cast("long").alias("n_dup_lines"),
                  F.lit(0).cast("long").alias("n_repeat_words")).alias("measures"))
+
+
+def test_cutoffs_keep_their_promise(spark):
+    # the symbol ratio of 8 is high in 8 texts; one of 1 in 80 more, which is over the risk
+    measured = made(spark, [8 if i < 8 else 1 if i < 88 else 0 for i in range(4000)])
     labels = measured.select("row.doc_id", F.lit(1).alias("quality"))
-    cut = quality.learn_cutoffs(measured, labels, "lang").collect()[0]
-    share, level = quality.RISK / len(quality.RULES), quality.DELTA / len(quality.RULES)
-    assert cdf(8, 4000, share) <= level < cdf(48, 4000, share)
-    assert cut["symbol_ratio"] == 1.0 and cut["dup_line_ratio"] == 0.1
-    kept = quality.judge(measured, quality.learn_cutoffs(measured, labels, "lang"), "lang")
+    assert cdf(8, 4000, quality.RISK) <= quality.DELTA < cdf(88, 4000, quality.RISK)
+    cutoffs = quality.learn_cutoffs(measured, labels, "lang")
+    cut = cutoffs.collect()[0]
+    # the ladder stops where the symbol ratio 1 would be rejected
+    assert cut["n"] == 4000 and quality.STEPS[cut["steps"]] == ("symbol_ratio", 0.7)
+    assert (cut["symbol_ratio"], cut["dup_line_ratio"], cut["chars_per_word"]) == (1.0, 0.5, 15.0)
+    kept = quality.judge(measured, cutoffs, "lang")
     assert kept.filter("NOT kept").count() == 8
-    few = labels.limit(50)
-    none = quality.learn_cutoffs(measured, few, "lang").collect()[0]
-    assert none["symbol_ratio"] is None
+    none = quality.learn_cutoffs(measured, labels.limit(50), "lang").collect()[0]
+    assert none["steps"] == 0 and none["symbol_ratio"] is None
+
+
+def test_rules_share_one_risk(spark):
+    # 30 good texts go to the symbol rule and 30 others to the line rule: 1.5 % each, 3 % together
+    measured = made(spark, [8 if i < 30 else 0 for i in range(2000)])
+    lines = F.when(F.col("row.doc_id").between(30, 59), 9).otherwise(0).cast("long")
+    measured = measured.withColumn("measures", F.col("measures").withField("n_dup_lines", lines))
+    labels = measured.select("row.doc_id", F.lit(1).alias("quality"))
+    cut = quality.learn_cutoffs(measured, labels, "lang", risk=0.025).collect()[0]
+    assert cut["steps"] == 1 and cut["symbol_ratio"] == 4.0 and cut["dup_line_ratio"] is None
+
+
+def test_copies_and_repeated_labels_prove_nothing(spark):
+    measured = made(spark, [0] * 100)
+    labels = measured.select("row.doc_id", F.lit(1).alias("quality"))
+    labels = labels.crossJoin(spark.range(30))
+    cut = quality.learn_cutoffs(measured, labels, "lang").collect()[0]
+    assert cut["n"] == 100 and cut["steps"] == 0
+    copies = made(spark, [0] * 3200).withColumn("digest", F.md5((F.col("row.doc_id") % 100).cast("string")))
+    labels = copies.select("row.doc_id", F.lit(1).alias("quality"))
+    assert quality.learn_cutoffs(copies, labels, "lang").collect()[0]["n"] == 100
+
+
+def test_query_uses_proven_cutoffs(spark):
+    """At sf0.1 every language has good texts enough to prove cutoffs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    measured = materialize(quality.with_measures(docs), "test-measures")
+    cut = quality.learn_cutoffs(measured, labels, "lang").collect()
+    assert sum(r["steps"] > 0 for r in cut if r["stratum"]) >= 4, cut
 
 
 def test_query_and_good_documents(spark):

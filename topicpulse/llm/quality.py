@@ -2,21 +2,29 @@
 
 Base measures come from each whole text by array expressions, without a
 shuffle.  Each rule compares one ratio of them with a cutoff.  Cutoffs are
-learned on the labelled documents, per stratum: a cutoff is allowed only if the
-exact binomial (Clopper-Pearson) bound says that it rejects at most
-``RISK / number of rules`` of the stratum's good documents.
-
-Multiple testing: within a (stratum, rule) the cutoffs are tested in fixed
-order from lenient to strict and the first failure stops the sequence; across
-all strata and rules the level is divided by their number (Bonferroni).  So
-with probability 1 - DELTA no stratum loses more than RISK of its good
-documents to the rules.
+learned on the labelled documents, per stratum: they are allowed only if the
+exact binomial (Clopper-Pearson) bound says that all rules together reject at
+most ``RISK`` of the stratum's good texts.
+
+Trials: a good text is one trial of its stratum, however many documents or
+labels hold it, since copies prove nothing anew.
+
+Multiple testing: within a stratum the cutoffs of all rules form one ladder
+(``STEPS``), tested in fixed order from lenient to strict, and the first failure
+stops it.  What is tested at a step is the share of good texts that any rule
+rejects with the cutoffs up to that step, so the rules share one risk and need
+no correction among them.  Across strata the level is divided by their number
+(Bonferroni).  So with probability 1 - DELTA no stratum loses more than RISK of
+its good texts to the rules.  Even a step that rejects none needs
+ln(strata / DELTA) / -ln(1 - RISK) good texts: 228 a stratum with five strata.
 
 Edge cases: a null text has no words; documents without words or under the
 base limits fail the base; a stratum (null: its own) whose labelled sample is
 too small to prove anything gets no cutoff and keeps what passes the base;
-repeated rows are judged alike; labels with several rows for a document count
-each.
+repeated rows are judged alike; repeated labels change nothing, and a text with
+labels of both kinds counts as good; very long texts are measured whole; an
+empty table gives an empty result; all columns but the text travel inside the
+struct ``row``, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -38,6 +46,9 @@ RULES = {
     "repeat_ratio": (0.48, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2),
     "chars_per_word": (30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0),
 }
+#: (rule, cutoff) in the order of testing: level by level, in a level rule by rule.
+STEPS = tuple((rule, cutoffs[k]) for k in range(max(map(len, RULES.values())))
+              for rule, cutoffs in RULES.items() if k < len(cutoffs))
 WHITE = r"[\x20\x09-\x0D]"
 _PLACE_BITS = 31
 _PLACES = (1 << _PLACE_BITS) - 1
@@ -49,8 +60,9 @@ def words_of(text: Column) -> Column:
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The struct ``row`` (all columns of ``docs`` but the text) and the struct ``measures``: n_words, word_chars, n_symbols,
-    n_lines, n_dup_lines, n_repeat_words.
+    """The struct ``row`` (all columns of ``docs`` but the text), ``digest`` of the text, and
+    the struct ``measures``: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
+    n_repeat_words.
 
     Repeated three-word windows are found by sorting: each window becomes one
     long, hash bits above its place, and neighbours with equal hash bits are
@@ -61,7 +73,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = docs.select(
-        "row", words_of(F.col("text")).alias("words"), lines.alias("lines"),
+        "row", F.md5(body).alias("digest"), words_of(F.col("text")).alias("words"), lines.alias("lines"),
         (F.char_length(body) - F.regexp_count(body, F.lit(WHITE))).alias("chars"),
         F.regexp_count(body, F.lit(r"[#*$%&|<>]")).alias("symbols"))
     keep = step.columns
@@ -98,7 +110,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, p: F.struct(p.alias("last"),
                                 (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")),
         lambda acc: acc["n"])
-    return step.select("row", F.struct(
+    return step.select("row", "digest", F.struct(
         F.size("words").cast("long").alias("n_words"),
         F.col("chars").cast("long").alias("word_chars"),
         F.col("symbols").cast("long").alias("n_symbols"),
@@ -151,32 +163,45 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(kd < nd * p, F.least(total, F.lit(1.0))).otherwise(1.0)
 
 
+def first_step(m: Column) -> Column:
+    """The first of STEPS that rejects a text, null if none does."""
+    rejects = []
+    for rule, value in ratios(m).items():
+        places = F.array(*[F.lit(k) for k, (r, _) in enumerate(STEPS) if r == rule])
+        # one use of the value: what it is made of is not computed once per cutoff
+        lenient = F.filter(F.array(*map(F.lit, RULES[rule])), lambda c: ~(value > c))
+        rejects.append(F.get(places, F.size(lenient)))
+    return F.least(*rejects)
+
+
 def learn_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, doc_id: str = "doc_id",
                   risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Per stratum, one column per rule: the strictest proven cutoff or null.
+    """Per stratum: n (its good texts), steps (how many of STEPS are proven) and one
+    column per rule: its strictest proven cutoff or null.
 
-    One aggregate over the labelled documents; what leaves it is one row per
-    stratum, and every stratum is tested.
+    Two aggregates over the labelled documents, by text and by stratum; what
+    leaves them is one row per stratum, and every stratum is tested.
     """
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("good"))
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("good")).distinct()
     m = F.col("measures")
-    rows = measured.select(F.col("row")[doc_id].alias("doc"), F.col("row")[stratum].alias("stratum"),
-                           "measures")
-    rows = rows.join(good, F.col("doc") == F.col("good"))
-    counts = rows.filter(~base_failed(m)).groupBy("stratum").agg(
+    rows = measured.filter(~base_failed(m)).select(
+        F.col("row")[doc_id].alias("doc"), F.col("row")[stratum].alias("stratum"), "digest",
+        first_step(m).alias("first"))
+    # equal texts have the same first step
+    texts = rows.join(good, F.col("doc") == F.col("good")).groupBy("stratum", "digest").agg(
+        F.min("first").alias("first"))
+    counts = materialize(texts.groupBy("stratum").agg(
         F.count("*").alias("n"),
-        *[F.array(*[F.count_if(value > c) for c in RULES[rule]]).alias(rule)
-          for rule, value in ratios(m).items()])
-    counts = materialize(counts, "quality-counts")
-    tests = max(1, counts.count()) * len(RULES)
-    share, level = risk / len(RULES), delta / tests
-    picked = []
-    for rule, cutoffs in RULES.items():
-        proven = F.transform(F.col(rule), lambda k: binomial_cdf(k, F.col("n"), share) <= level)
-        # the number of leading proofs: the place of the first failure
-        passed = F.array_position(F.concat(proven, F.array(F.lit(False))), False) - 1
-        picked.append(F.get(F.array(*map(F.lit, cutoffs)), (passed - 1).cast("int")).alias(rule))
-    return counts.select("stratum", *picked)
+        F.array(*[F.count_if(F.col("first") <= k) for k in range(len(STEPS))]).alias("rejected")),
+        "quality-counts")
+    level = delta / max(1, counts.count())
+    proven = F.transform("rejected", lambda k: binomial_cdf(k, F.col("n"), risk) <= level)
+    # the number of leading proofs: the place of the first failure
+    steps = F.array_position(F.concat(proven, F.array(F.lit(False))), False) - 1
+    ladder = counts.select("stratum", "n", steps.alias("steps"))
+    return ladder.select("*", *[
+        F.least(*[F.when(F.col("steps") > k, c) for k, (r, c) in enumerate(STEPS) if r == rule])
+        .alias(rule) for rule in RULES])
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:

@@ -165,9 +165,8 @@ FROM s GROUP BY conv_id
 
 def _quality_sql() -> str:
     """op8 in SQL: the measures, the exact binomial bound and the two verdicts."""
-    cutoffs = ", ".join(f"('{rule}', {i}, {c})" for rule, cs in quality.RULES.items()
-                        for i, c in enumerate(cs))
-    share = quality.RISK / len(quality.RULES)
+    cutoffs = ", ".join(f"('{rule}', {i}, {c})" for i, (rule, c) in enumerate(quality.STEPS))
+    risk = quality.RISK
     white = "[\\x20\\x09-\\x0D]"
     ratio = """CASE rule WHEN 'symbol_ratio' THEN n_symbols / greatest(n_words, 1)
         WHEN 'dup_line_ratio' THEN n_dup_lines / greatest(n_lines, 1)
@@ -188,27 +187,28 @@ rep AS (SELECT rid, count(DISTINCT p) AS n FROM again GROUP BY rid),
 lines AS (SELECT rid, list_filter(string_split(t, chr(10)),
                                   lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 m AS (
-  SELECT d.rid, doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+  SELECT d.rid, doc_id, lang, t, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(rep.n, 0) AS n_repeat_words
   FROM d JOIN lines USING (rid) LEFT JOIN counts USING (rid) LEFT JOIN rep USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 rules(rule, pos, cutoff) AS (VALUES {cutoffs}),
-good AS (SELECT f.* FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE quality = 1 AND NOT base_failed),
-k AS (SELECT lang, rule, pos, cutoff, count(*) AS n,
-             count(*) FILTER ({ratio} > cutoff) AS k
-      FROM good, rules GROUP BY ALL),
+good AS (SELECT DISTINCT lang, t, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words
+         FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+hit AS (SELECT lang, t, min(pos) FILTER ({ratio} > cutoff) AS first FROM good, rules GROUP BY lang, t),
+k AS (SELECT lang, pos, count(*) AS n, count(*) FILTER (first <= pos) AS k
+      FROM hit, rules GROUP BY lang, pos),
 bound AS (
-  SELECT *, CASE WHEN k >= n * {share} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+  SELECT *, CASE WHEN k >= n * {risk} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
            lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-                         + i * ln({share}) + (n - i) * ln(1 - {share})))) END AS p
+                         + i * ln({risk}) + (n - i) * ln(1 - {risk})))) END AS p
   FROM k),
 proven AS (
-  SELECT *, bool_and(p <= {quality.DELTA} / ({len(quality.RULES)}
-             * (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM good)))
-           OVER (PARTITION BY lang, rule ORDER BY pos) AS ok FROM bound),
-cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM proven WHERE ok GROUP BY lang, rule),
+  SELECT *, bool_and(p <= {quality.DELTA} / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM good))
+           OVER (PARTITION BY lang ORDER BY pos) AS ok FROM bound),
+cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM proven JOIN rules USING (pos)
+        WHERE ok GROUP BY lang, rule),
 bad AS (SELECT DISTINCT rid FROM f JOIN cut ON cut.lang IS NOT DISTINCT FROM f.lang
         WHERE {ratio} > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
