@@ -32,9 +32,11 @@ def brute(ids, vectors, threshold):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("kind,leaf", [("float", 2048), ("double", 40)])
-def test_against_all_pairs(spark, monkeypatch, kind, leaf):
+@pytest.mark.parametrize("kind,leaf,groups", [("float", 2048, 12), ("double", 40, 12),
+                                              ("float", 20, 3), ("double", 40, 1)])
+def test_against_all_pairs(spark, monkeypatch, kind, leaf, groups):
     monkeypatch.setattr(E, "LEAF", leaf)
+    monkeypatch.setattr(E, "GROUPS", groups)
     monkeypatch.setattr(E, "PIECE", 8)
     monkeypatch.setattr(E, "FAN_BITS", 1)
     rng = np.random.default_rng(5)
@@ -51,6 +53,29 @@ def test_against_all_pairs(spark, monkeypatch, kind, leaf):
     assert got == brute(ids, vectors, 0.95)
 
 
+def test_a_dense_group_and_small_groups_of_leaves(spark, monkeypatch):
+    """Half of all vectors link with each other; a byte bound of one part a group."""
+    monkeypatch.setattr(E, "LEAF", 16)
+    monkeypatch.setattr(E, "PIECE", 4)
+    monkeypatch.setattr(E, "GROUP_BYTES", 1)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8))
+    x[:150] = x[0] + 0.02 * rng.standard_normal((150, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)],
+                               "vec_id long, embedding array<double>")
+    got = sorted([tuple(r)[:3] for r in E.link(df).collect()], key=str)
+    assert got == brute(list(range(300)), x.tolist(), 0.95)
+
+
+def test_far_groups_are_skipped(spark):
+    """Groups of leaves on well separated directions meet only their neighbours."""
+    lo = [[float(g)] * 9 for g in range(40)]
+    leaves = spark.createDataFrame([(g, 4, v, v) for g, v in enumerate(lo)],
+                                   "group long, size int, lo array<double>, hi array<double>")
+    got = {tuple(r) for r in E.near_groups(leaves, 40, 3.5).collect()}
+    assert got == {(g, h) for g in range(40) for h in (g, g + 1) if h < 40}
+
+
 def test_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1e300, 1e290]), (3, None), (4, []), (5, [0.0, 0.0]),

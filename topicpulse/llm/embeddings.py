@@ -7,13 +7,18 @@ give the same result), sorted by their grid cells of side eps along these axes,
 and the sequence is cut into intervals.  Every interval has a box over the
 projections and the length of what they leave out, which bounds distances from
 below.  Pairs of intervals are joined recursively from the whole sequence
-down: first as rows, by a fan-out of 16 per level, then inside a task by
-halves; a pair whose boxes are more than eps apart is skipped with all below
-it.  What is left is compared in double precision.
-
-A pair of leaf intervals returns, per vector, how many links it found and one
-edge to its local component, so a dense group of g vectors costs g rows, not g
-squared.  A task holds two intervals of LEAF vectors.
+down: first as rows, by a fan-out of 16 per level down to groups of
+neighbouring leaf intervals, then inside a task, leaf by leaf and by halves; a
+pair whose boxes are more than eps apart is skipped with all
+below it.  What is left is compared in double precision.
+
+A pair of groups is one unit of work, so each leaf is sent once for each group
+within reach of its own, not once for each leaf.  Groups hold a twelfth of the
+sequence, up to GROUP_BYTES: below that size what is shuffled grows with the
+input, above it with the pairs of groups within reach.  A task holds one group
+and streams the other.  A pair of leaves returns, per vector, how many links it
+found and one edge to its local component, so a dense group of g vectors costs
+g rows, not g squared.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths never link; a
@@ -40,6 +45,10 @@ SAMPLE = 2048
 LEAF = 2048
 PIECE = 128
 LEAVES_PER_TASK = 2
+#: Groups of leaves that the sequence is cut into, unless a group is larger than
+#: GROUP_BYTES; neither changes the result.
+GROUPS = 12
+GROUP_BYTES = 64 << 20
 #: Children per level of the distributed recursion, as a power of two.
 FAN_BITS = 4
 _LEAF_BITS = 20
@@ -217,13 +226,13 @@ def leaves_of(classes: DataFrame, axes: dict[int, np.ndarray], eps: float, n: in
              "reps binary, named binary, copies binary")
 
 
-def near_pairs(leaves: DataFrame, parts: int, eps: float) -> DataFrame:
-    """Pairs of leaf intervals (a <= b) within reach, by recursion from the root."""
+def near_groups(leaves: DataFrame, groups: int, eps: float) -> DataFrame:
+    """Pairs of groups (a <= b) within reach, by recursion from the whole sequence."""
     reach2 = eps * eps * (1 + 1e-9)
-    levels = 0
-    while parts > 1 << (FAN_BITS * levels):
+    levels = 1
+    while groups > 1 << (FAN_BITS * levels):
         levels += 1
-    base = leaves.select("leaf", F.col("part").cast("long").alias("part"), "size", "lo", "hi")
+    base = leaves.select(F.col("group").cast("long").alias("group"), "size", "lo", "hi")
 
     def boxes(index: Column, above: Column) -> DataFrame:
         k = AXES + 1
@@ -231,12 +240,10 @@ def near_pairs(leaves: DataFrame, parts: int, eps: float) -> DataFrame:
             F.array(*[F.min(F.col("lo")[i]) for i in range(k)]).alias("lo"),
             F.array(*[F.max(F.col("hi")[i]) for i in range(k)]).alias("hi"))
 
-    part = F.col("part")
-    steps = [(F.shiftright(part, FAN_BITS * lv), F.shiftright(part, FAN_BITS * (lv + 1)))
-             for lv in range(levels - 1, -1, -1)]
+    group = F.col("group")
     pairs = leaves.sparkSession.createDataFrame([(0, 0)], "a long, b long")
-    for index, above in [*steps, (F.col("leaf"), part)]:
-        box = boxes(index, above)
+    for level in range(levels - 1, -1, -1):
+        box = boxes(F.shiftright(group, FAN_BITS * level), F.shiftright(group, FAN_BITS * (level + 1)))
         left = box.select(*[F.col(c).alias(f"l_{c}") for c in box.columns])
         right = box.select(*[F.col(c).alias(f"r_{c}") for c in box.columns])
         gap = F.aggregate(
@@ -260,37 +267,47 @@ def link(vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id",
                           F.when(usable(F.col(embedding)), F.col(embedding)).alias("v"))
     classes = materialize(rows.filter("v IS NOT NULL").groupBy("v").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    n = classes.count()
+    n, longest = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     axes = fit_axes(classes)
-    leaves = materialize(leaves_of(classes, axes, eps, n), "vector-leaves")
+    leaves = leaves_of(classes, axes, eps, n)
     parts = max(1, -(-n // (LEAF * LEAVES_PER_TASK)))
-    pairs = near_pairs(leaves, parts, eps)
     double = "double" in dict(classes.dtypes)["v"]
     kind = np.float64 if double else np.float32
+    part_bytes = LEAF * LEAVES_PER_TASK * (longest or 1) * np.dtype(kind).itemsize
+    per_group = max(1, min(-(-parts // GROUPS), GROUP_BYTES // part_bytes))
+    leaves = materialize(leaves.withColumn("group", F.floor(F.col("part") / per_group)),
+                         "vector-leaves")
+    pairs = near_groups(leaves, -(-parts // per_group), eps)
     reach2 = eps * eps * (1 + 1e-9)
 
-    load = leaves.select("leaf", "size", "vectors", "copies")
-    a = load.select(F.col("leaf").alias("a"), "size", F.col("vectors").alias("va"),
-                    F.col("copies").alias("na"))
-    b = load.select(F.col("leaf").alias("b"), F.col("vectors").alias("vb"),
-                    F.col("copies").alias("nb"))
-    work = pairs.join(a, "a").join(b, "b").repartition(
-        max(shuffle_width(vectors.sparkSession), pairs.count() // 16), "a", "b")
+    load = leaves.select("group", "leaf", "size", "vectors", "copies")
+    sides = pairs.select("a", "b", F.col("a").alias("group"), F.lit(False).alias("right")).union(
+        pairs.filter("a < b").select("a", "b", "b", F.lit(True)))
+    work = sides.join(load, "group").drop("group").repartition(
+        max(shuffle_width(vectors.sparkSession), pairs.count()), "a", "b").sortWithinPartitions(
+        "a", "b", "right", "leaf")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit_of_work, held = None, []
         for batch in batches:
-            for ia, ib, size, va, vb, na, nb in zip(*[batch[c] for c in
-                                                      ("a", "b", "size", "va", "vb", "na", "nb")]):
-                xa = unit(np.frombuffer(va, kind).reshape(-1, size))
-                xb = xa if ia == ib else unit(np.frombuffer(vb, kind).reshape(-1, size))
-                ya = coordinates(xa, axes)
-                yb = ya if ia == ib else coordinates(xb, axes)
-                found = join_intervals(xa, xb, ya, yb, threshold, reach2, ia == ib)
-                if found:
-                    yield summarize(found, (ia << _LEAF_BITS) + np.arange(len(xa)),
-                                    (ib << _LEAF_BITS) + np.arange(len(xb)),
-                                    np.frombuffer(na, np.int64), np.frombuffer(nb, np.int64),
-                                    ia == ib)
+            for ga, gb, right, leaf, size, raw, copies in zip(*[batch[c] for c in (
+                    "a", "b", "right", "leaf", "size", "vectors", "copies")]):
+                if (ga, gb) != unit_of_work:
+                    unit_of_work, held = (ga, gb), []
+                x = unit(np.frombuffer(raw, kind).reshape(-1, size))
+                mine = ((leaf << _LEAF_BITS) + np.arange(len(x)), x, coordinates(x, axes),
+                        np.frombuffer(copies, np.int64))
+                if not right:
+                    held.append(mine)
+                if ga < gb and not right:
+                    continue
+                for other in held:
+                    if other[1].shape[1] != size:
+                        continue
+                    same = other is mine
+                    found = join_intervals(other[1], x, other[2], mine[2], threshold, reach2, same)
+                    if found:
+                        yield summarize(found, other[0], mine[0], other[3], mine[3], same)
 
     hits = materialize(work.mapInPandas(compare, "node long, links long, to long"), "vector-links")
     labels = connected(hits.filter("node <> to").select(F.col("node").alias("a"),
