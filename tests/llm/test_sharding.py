@@ -1,6 +1,9 @@
+import random
 import zlib
 from collections import defaultdict
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tests.llm.data import no_documents, odd_documents
 
@@ -63,6 +66,80 @@ def test_other_counts_and_ties(spark):
             assert max(counts) - min(counts) <= 0.02 * n
 
 
+def widest(rows, names, scale):
+    """The dimension whose byte-weighted variance over its whole range is largest."""
+    total = sum(r["size"] for r in rows)
+
+    def spread(d):
+        mean = sum(r["size"] * r[d] for r in rows) / total
+        return sum(r["size"] * (r[d] - mean) ** 2 for r in rows) / total / scale[d] ** 2
+
+    return max(names, key=spread)
+
+
+def follow(rows, names, scale, first, shards):
+    """Asserts, cut by cut, that the shards are the leaves of the k-d tree."""
+    if shards < 2 or not rows:
+        return
+    half = shards // 2
+    left = [r for r in rows if r["shard"] < first + half]
+    right = [r for r in rows if r["shard"] >= first + half]
+    d = widest(rows, names, scale)
+
+    def key(r):
+        return r[d], r["text_key"]
+
+    assert max(map(key, left)) <= min(map(key, right))
+    total = sum(r["size"] for r in rows)
+    # no row next to the cut would bring the left side nearer to its share
+    off = sum(r["size"] for r in left) - total * half / shards
+    step = max(max(left, key=key)["size"], min(right, key=key)["size"])
+    assert abs(off) <= max(step, sharding.TOLERANCE * total), (first, shards, d)
+    follow(left, names, scale, first, half)
+    follow(right, names, scale, first + half, shards - half)
+
+
+@pytest.mark.parametrize("shards,seed", [(8, 1), (5, 2), (2, 3)])
+def test_shards_are_leaves_of_a_brute_force_tree(spark, shards, seed):
+    rnd = random.Random(seed)
+    made = {}
+    for k in range(700):
+        text = f"{k} " + "x" * int(rnd.paretovariate(0.8) * 5 % 3000)
+        made[k] = {"text": text, "a": rnd.gauss(0, 1), "b": rnd.random() ** 3 * 50,
+                   "c": float(rnd.randrange(3)), "size": len(text) + 1,
+                   "text_key": xxhash.xxh64_intdigest(text.encode(), seed=42) >> 12}
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame([(k, m["text"], m["a"], m["b"], m["c"]) for k, m in made.items()],
+                               "doc_id long, text string, a double, b double, c double")
+    for r in sharding.shard_documents(df, shards, {n: F.col(n) for n in names}).collect():
+        made[r["row"]["doc_id"]]["shard"] = r["shard"]
+    rows = list(made.values())
+    scale = {n: max(r[n] for r in rows) - min(r[n] for r in rows) for n in names}
+    follow(rows, names, scale, 0, shards)
+
+
+def test_values_that_are_no_numbers(spark):
+    odd = ["nan", "inf", "-inf", None, "-3.5", "0"]
+    df = spark.range(600).selectExpr(
+        "id AS doc_id", "concat('t', id) AS text",
+        "CAST(element_at(array(" + ", ".join("NULL" if o is None else f"'{o}'" for o in odd)
+        + "), CAST(id % 6 AS INT) + 1) AS DOUBLE) AS d")
+    rows = sharding.shard_documents(df, 4, {"d": F.col("d")}).collect()
+    check_slots(rows)
+    counts = [sum(r["shard"] == s for r in rows) for s in range(4)]
+    assert sum(counts) == 600 and max(counts) - min(counts) <= 12
+    low = {r["row"]["doc_id"] % 6 for r in rows if r["shard"] == 0}
+    assert 4 in low
+
+
+def test_a_very_long_text(spark):
+    df = spark.range(200).selectExpr("id AS doc_id", "IF(id = 7, repeat('long ', 400000), 'short') AS text",
+                                     "'en' AS lang")
+    rows = sharding.shard_documents(df, 4, dims()).collect()
+    check_slots(rows)
+    assert len(rows) == 200 and [r["size"] for r in rows if r["row"]["doc_id"] == 7] == [2_000_001]
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     rows = sharding.shard_documents(docs, 4, dims()).collect()

@@ -14,9 +14,12 @@ has one node per shard and becomes a CASE expression, so rows are placed
 without a join or a shuffle.  Slots are numbered per (shard, bucket) and
 shifted by the buckets' running counts.
 
-Edge cases: a null text has size 1; nulls in a dimension count as its least
-value; repeated rows get slots of their own; an empty table gives an empty
-result; shards may stay empty when there are fewer rows than shards.
+Edge cases: a null text has size 1; nulls, NaN and infinities in a dimension
+count as 0; equal values are told apart by text, then by row; repeated rows get
+slots of their own; a very long text is one row of its size, and its shard may
+be larger than the others by no more than that; an empty table gives an empty
+result; shards may stay empty when there are fewer rows than shards; all columns
+but the text travel inside the struct ``row``, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -68,6 +71,12 @@ def place(tree: list[tuple[Node, Cut, int]]) -> Column:
     return at
 
 
+def finite(c: Column) -> Column:
+    """A dimension as a double, 0 where it is null, NaN or infinite."""
+    c = c.cast("double")
+    return F.when(F.abs(c) < F.lit(math.inf), c).otherwise(F.lit(0.0))
+
+
 def find_cuts(rows: DataFrame, keys: dict[int, list[Column]], total: dict[int, int],
               share: dict[int, float]) -> dict[int, Cut]:
     """For each node the cut of its key tuple at ``share`` of its bytes.
@@ -188,7 +197,7 @@ def shard_documents(docs: DataFrame, shards: int, dims: dict[str, Column],
         F.shiftrightunsigned(F.xxhash64(raw), 12).cast("double").alias("text_key"),
         F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 12).cast("double")
         .alias("row_key"),
-        *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(d) for d, c in named.items()])
+        *[finite(c).alias(d) for d, c in named.items()])
     rows = materialize(rows, "shard-meta")
     n = rows.count()
     if n == 0:
