@@ -1,6 +1,6 @@
 import corpus_pipeline as C
 from pyspark.sql import functions as F
-from tests.llm.data import no_documents
+from tests.llm.data import no_documents, odd_documents
 
 from topicpulse.llm import langid, minhash, toxicity
 
@@ -41,3 +41,24 @@ def test_empty_table(spark):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_odd_rows_stage_by_stage(spark):
+    """Nulls, ties, repeated rows and a very long text, given to each stage alone."""
+    docs = odd_documents(spark)
+
+    def ids(df):
+        return sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str)
+
+    first = C.language(spark, docs, SF)
+    assert first.columns == docs.columns
+    assert not {3, 4, 5, 6} & set(ids(first)) and first.filter("text IS NULL").count() == 0
+    second = C.toxic(spark, docs, SF)
+    assert second.columns == docs.columns
+    assert ids(second).count(1) in (0, 2)      # repeated rows are judged alike
+    third = C.near_duplicates(spark, docs, SF)
+    assert third.columns == docs.columns
+    # one row of equal texts stays, and every row without words
+    assert ids(third) == sorted([None, 1, 3, 4, 5, 6, 7, 8, 10, 11], key=str)
+    fourth = C.pack(spark, docs, SF)
+    assert fourth.filter("piece = 0").count() == docs.count()
