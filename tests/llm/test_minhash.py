@@ -77,6 +77,54 @@ def test_group_larger_than_a_block(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == root
 
 
+def test_rows_grow_with_the_copies(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 16)
+    read, per_unit = [], M.per_unit
+
+    def counted(rows, *args):
+        read.append(rows.count())
+        return per_unit(rows, *args)
+
+    monkeypatch.setattr(M, "per_unit", counted)
+    rnd = random.Random(4)
+    base = [f"b{k}" for k in range(300)]
+    for n in (100, 400):
+        texts = [" ".join([*base[:(at := rnd.randrange(300))], f"w{k}", *base[at:]])
+                 for k in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        read.clear()
+        assert {r["class_id"] for r in M.near_duplicates(df).collect()} == {0}
+        # a text is once in each of its bands, once in its group, and roots are fewer
+        assert n <= sum(read) <= 1.5 * (M.BANDS + 1) * n
+
+
+def test_members_that_no_root_speaks_for(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    rnd = random.Random(12)
+    texts = []
+    for k in range(5):
+        # drifting copies: neighbours are near duplicates, distant ones are not
+        words = [f"{k}-{j}" for j in range(100)]
+        for _ in range(30):
+            texts.append(" ".join(words))
+            words[rnd.randrange(100)] = f"n{rnd.randrange(10**6)}"
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = brute(texts, M.learn_idf(df))
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+
+
+def test_units_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(M, "UNIT_BYTES", 3000)
+    rnd = random.Random(6)
+    base = [f"b{k}" for k in range(150)]
+    texts = [" ".join(edited(rnd, base, 0.02)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in M.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, M.learn_idf(df))
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     rows = M.near_duplicates(docs).collect()

@@ -5,25 +5,31 @@ words; a shorter text is one shingle), weight tf * idf.  Improved consistent
 weighted sampling draws K samples of it, such that two texts agree in a sample
 with probability equal to their weighted Jaccard similarity.
 
-1. Equal texts are merged first (a partial aggregate per text digest).
+1. Equal texts are merged first, so every later step sees a text once.
 2. The samples are cut into bands; texts that share a band meet in a bucket.
    Inside a bucket the share of equal samples estimates the similarity, and a
    forest over the pairs estimated at LOOSE or more is kept: at most one row
    per member, never all pairs.
 3. The forest's components are small groups of likely copies.  Their texts are
-   fetched once, and every pair of a group estimated at TIGHT or more is
-   verified by its weighted Jaccard similarity, unless both are already linked.
+   fetched once, and pairs of a group estimated at TIGHT or more are verified
+   by their weighted Jaccard similarity, unless both are already linked.
 4. Components of the verified links are the classes.
 
-Buckets and groups beyond BLOCK members are cut into blocks, and every pair of
-blocks is a unit of work of its own, so a hot group spreads over many tasks.
+Buckets and groups beyond BLOCK members or UNIT_BYTES are dealt to blocks, each a
+unit of work of its own (``components``).  A round links the members of a block;
+only one root per linked set goes on to the next round, where the roots are dealt
+anew, so a group of n copies costs O(n) rows.  A root does not speak for its set:
+what is not linked to a key's largest component after the rounds is compared with
+all members of the key, in pairs of blocks, on samples first; only texts that then
+have an unlinked candidate are fetched.  Nothing is left out, and only members that
+share a key without being copies cost more than O(n).
 With r = 5 rows in each of b = 20 bands a pair of similarity 0.8 shares a
 bucket with probability 0.9996; estimates that far below a true 0.8 (LOOSE and
 TIGHT) are five and four standard deviations away.
 
-Idf: document frequencies are counted over all documents in DF_BUCKETS hash
+Idf: document frequencies are counted over all distinct texts in DF_BUCKETS hash
 buckets, a table of fixed size.  idf = ln(1 + n / max(df, n * COMMON)): only
-shingles found in more than a third of the documents weigh less, because a
+shingles found in more than a third of the texts weigh less, because a
 group of copies may hold a third, and its own shingles must not lose weight
 against the few edits in it.
 
@@ -36,7 +42,7 @@ unrelated texts, or only null doc_ids) keep one row each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,7 +59,9 @@ ROWS = 5
 SAMPLES = BANDS * ROWS
 LOOSE = 0.6
 TIGHT = 0.65
+#: Members and bytes of a unit of work (a text is never cut).
 BLOCK = 256
+UNIT_BYTES = 16 << 20
 DF_BUCKETS = 1 << 16
 COMMON = 1 / 3
 #: Distinct random draws per sample; a shingle takes one by its hash.
@@ -160,8 +168,22 @@ def has_words(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\S"), F.lit(False))
 
 
-def learn_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """idf per hash bucket, from the shingles of all documents.
+def distinct_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """node, digest, least doc_id and text of every distinct text that has words."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+                       F.col(text).alias("text")).filter(has_words(F.col("text")))
+    once = rows.groupBy(F.md5("text").alias("digest")).agg(
+        F.min("doc_id").alias("least"), F.first("text").alias("text"))
+    return materialize(once.withColumn("node", F.monotonically_increasing_id()), "texts")
+
+
+def learn_idf(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
+    """idf per hash bucket, from the shingles of all distinct texts of ``docs``."""
+    return idf_of(distinct_texts(docs, text, doc_id))
+
+
+def idf_of(texts: DataFrame) -> np.ndarray:
+    """idf per hash bucket, from the shingles of all ``texts``.
 
     A task sends one count per bucket, so what is shuffled per task and what
     reaches the driver (DF_BUCKETS numbers) does not depend on the data.
@@ -182,8 +204,8 @@ def learn_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pd.DataFrame({"bucket": np.append(np.arange(DF_BUCKETS), -1),
                             "n": np.append(seen, n)})
 
-    got = docs.select(F.col(text).alias("text")).filter(has_words(F.col("text"))).mapInPandas(
-        count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(
+        F.sum("n").alias("n")).toPandas()
     df = np.zeros(DF_BUCKETS)
     n = float(got.loc[got["bucket"] == -1, "n"].sum())
     known = got[got["bucket"] >= 0]
@@ -205,23 +227,6 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield rest
 
 
-def in_blocks(members: DataFrame, key: str, node: str, out: str) -> DataFrame:
-    """Members repeated for each pair of blocks (i <= j) that their block is in.
-
-    A key with at most BLOCK members has one block and every member one row.
-    """
-    sizes = members.groupBy(key).count()
-    # a key with one member has no pairs
-    rows = members.join(sizes.filter("count > 1"), key)
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64(node), blocks).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn(
-        out, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("count")
-    return rows.select(*members.columns, F.least("mine", out).alias("i"),
-                       F.greatest("mine", out).alias("j"), (F.col("mine") == F.greatest(
-                           "mine", out)).alias("right"))
-
-
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Per index the least index reachable over the pairs (a, b)."""
     label = np.arange(n)
@@ -254,121 +259,221 @@ def estimates(sig: np.ndarray, right: np.ndarray, diagonal: bool) -> tuple:
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_e)
 
 
+def blocks_of(n: Column, size: Column) -> Column:
+    """Units of work that n members of ``size`` bytes in all are dealt to."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / UNIT_BYTES)).cast("int")
+
+
+def dealt(blocks: Column, *by: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*by), blocks).cast("int")
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """key, node, size, blocks: the members of keys with more than one of them."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    sizes = sizes.filter("n > 1").select("key", blocks_of(F.col("n"), F.col("all")).alias("blocks"))
+    return members.join(sizes, "key")
+
+
+def per_unit(rows: DataFrame, by: list[str], work: Callable, schema: str) -> DataFrame:
+    """``work`` applied to the rows of each unit, in order of their nodes."""
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        for unit in runs(batches, by):
+            made = work(unit)
+            if len(made):
+                out.append(made)
+                held += len(made)
+            if held > 10_000:
+                yield pd.concat(out)
+                out, held = [], 0
+        if out:
+            yield pd.concat(out)
+
+    return rows.repartition(shuffle_width(rows.sparkSession), *by).sortWithinPartitions(
+        *by, "node").mapInPandas(each, schema)
+
+
+def samples_of(unit: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(unit["sig"]), np.uint16).reshape(-1, SAMPLES)
+
+
+def candidates(unit: pd.DataFrame, least: float) -> tuple:
+    """(a, b, estimate) of a unit's pairs estimated at ``least`` or more: all pairs of
+    a block, or across two blocks those whose ends are not yet linked."""
+    if "right" not in unit:
+        a, b, e = estimates(samples_of(unit), np.zeros(len(unit), bool), True)
+        on = e >= least
+    else:
+        a, b, e = estimates(samples_of(unit), unit["right"].to_numpy(),
+                            unit["i"].iloc[0] == unit["j"].iloc[0])
+        label = unit["label"].to_numpy()
+        on = (e >= least) & (label[a] != label[b])
+    return a[on], b[on], e[on]
+
+
+def components(members: DataFrame, payload: DataFrame, link: Callable, least: float,
+               name: str) -> DataFrame:
+    """node, label: the components of the links among the members (key, node, size) of
+    each key; ``link`` gives the linked pairs (a, b) of a unit's rows, all of them
+    estimated at ``least`` or more.  ``payload`` has sig, and what else ``link`` reads,
+    by node."""
+    def rooted(unit: pd.DataFrame) -> pd.DataFrame:
+        label = least_labels(len(unit), *link(unit))
+        out = unit[["key", "node", "size", "blocks"]].assign(root=unit["node"].to_numpy()[label])
+        return out[(out["blocks"] > 1) | (out["root"] != out["node"])]
+
+    live, links, step = in_blocks(members), None, 0
+    while True:
+        rows = live.withColumn("unit", dealt(F.col("blocks"), "key", "node", F.lit(step))).join(
+            payload, "node")
+        found = materialize(per_unit(rows, ["key", "unit"], rooted,
+                                     "key long, node long, size long, blocks int, root long"),
+                            f"{name}-round", narrow=True)
+        made = found.filter("node != root").select(F.col("node").alias("a"),
+                                                   F.col("root").alias("b"))
+        links = made if links is None else links.unionByName(made)
+        many = found.filter("blocks > 1")
+        if not step:
+            hot = many.select("key", "node", "size")
+        # a key goes on while its roots need at most half the blocks
+        was = many.groupBy("key").agg(F.first("blocks").alias("was"))
+        live = materialize(in_blocks(many.filter("node = root").select("key", "node", "size")).join(
+            was, "key").filter("blocks = 1 OR 2 * blocks <= was").drop("was"),
+            f"{name}-roots", narrow=True)
+        step += 1
+        if not live.limit(1).count():
+            break
+    labels = connected(links)
+    if not hot.limit(1).count():
+        return labels
+    units = unlinked_units(hot, labels, name)
+    if not units.limit(1).count():
+        return labels
+
+    def involved(unit: pd.DataFrame) -> pd.DataFrame:
+        a, b, _ = candidates(unit, least)
+        return unit.iloc[np.union1d(a, b)].drop(columns="sig")
+
+    def joined(unit: pd.DataFrame) -> pd.DataFrame:
+        node = unit["node"].to_numpy()
+        label = least_labels(len(unit), *link(unit))
+        on = label != np.arange(len(node))
+        return pd.DataFrame({"a": node[on], "b": node[label[on]]})
+
+    by = ["key", "i", "j"]
+    open_rows = per_unit(units.join(payload.select("node", "sig"), "node").select(
+        *units.columns, "sig"), by, involved, "key long, i int, j int, right boolean, node long, label long")
+    more = per_unit(materialize(open_rows, f"{name}-open", narrow=True).join(payload, "node"), by,
+                    joined, "a long, b long")
+    old = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return connected(old.unionByName(more))
+
+
+def unlinked_units(hot: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """key, i, j, right, node, label: pairs of blocks of a key's members, such that all
+    its members outside its largest component meet all its members."""
+    at = materialize(hot.join(labels, "node", "left").select(
+        "key", "node", "size", F.coalesce("label", "node").alias("label")),
+        f"{name}-labelled", narrow=True)
+    sets = at.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = sets.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
+                                   F.count("*").alias("sets")).filter("sets > 1").drop("sets")
+    rows = at.join(main, "key").withColumn("off", F.col("label") != F.col("main"))
+
+    def deal(off: bool) -> Column:
+        mine = F.col("off") == F.lit(off)
+        return blocks_of(F.count_if(mine), F.sum(F.when(mine, F.col("size")).otherwise(0)))
+
+    counts = rows.groupBy("key").agg(deal(True).alias("outer"), deal(False).alias("inner"))
+    rows = rows.join(counts, "key").withColumn("mine", F.when(
+        F.col("off"), dealt(F.col("outer"), "key", "node")).otherwise(
+        F.col("outer") + dealt(F.col("inner"), "key", "node")))
+    last = F.when(F.col("off"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("key", F.least("mine", "other").alias("i"),
+                       F.greatest("mine", "other").alias("j"),
+                       (F.col("mine") == F.greatest("mine", "other")).alias("right"),
+                       "node", "label")
+
+
 def likely_groups(reps: DataFrame) -> DataFrame:
     """node, label of the texts that may have a near duplicate."""
-    spark = reps.sparkSession
     rows = reps.select("node", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"),
                                     F.sum(F.xxhash64("node") % (1 << 31)).alias("set"))
     # buckets with the same members are compared once
     once = sizes.filter("n > 1").groupBy("n", "least", "set").agg(F.min("key").alias("key"))
-    members = materialize(rows.join(once.select("key"), "key"), "buckets", narrow=True)
-    units = in_blocks(members, "key", "node", "other").join(reps.select("node", "sig"), "node")
+    members = materialize(rows.join(once.select("key"), "key").withColumn(
+        "size", F.lit(SAMPLES * 2).cast("long")), "buckets", narrow=True)
 
-    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for unit in runs(batches, ["key", "i", "j"]):
-            node = unit["node"].to_numpy()
-            sig = np.frombuffer(b"".join(unit["sig"]), np.uint16).reshape(-1, SAMPLES)
-            a, b, _ = estimates(sig, unit["right"].to_numpy(),
-                                unit["i"].iloc[0] == unit["j"].iloc[0])
-            if len(a):
-                label = least_labels(len(node), a, b)
-                on = label != np.arange(len(node))
-                out.append(pd.DataFrame({"a": node[on], "b": node[label[on]]}))
-            if len(out) > 1000:
-                yield pd.concat(out)
-                out = []
-        if out:
-            yield pd.concat(out)
+    def link(unit: pd.DataFrame) -> tuple:
+        return candidates(unit, LOOSE)[:2]
 
-    width = shuffle_width(spark)
-    edges = units.select("key", "i", "j", "right", "node", "sig").repartition(
-        width, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInPandas(
-        forest, "a long, b long")
-    return connected(edges)
+    return components(members, reps.select("node", "sig"), link, LOOSE, "likely")
 
 
-def verified_links(groups: DataFrame, reps: DataFrame, texts: DataFrame,
-                   idf: np.ndarray, threshold: float) -> DataFrame:
-    """a, b: a forest of the pairs of each group that are verified."""
-    units = in_blocks(groups, "label", "node", "other")
-    # the text comes to each text's node once, then to the units of work
-    wanted = groups.select("node").join(reps.select("node", "digest", "sig"), "node")
-    loaded = wanted.join(texts, "digest").select("node", "sig", "text")
-    work = units.join(loaded, "node")
+def verified_groups(groups: DataFrame, reps: DataFrame, texts: DataFrame,
+                    idf: np.ndarray, threshold: float) -> DataFrame:
+    """node, label: the components of the verified pairs of each group."""
+    # the text of a likely copy is fetched once, for all units of work it is in
+    loaded = materialize(groups.join(reps.select("node", "sig"), "node").join(
+        texts.select("node", "text"), "node"), "likely-texts")
+    members = loaded.select(F.col("label").alias("key"), "node",
+                            F.octet_length("text").cast("long").alias("size"))
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for unit in runs(batches, ["label", "i", "j"]):
-            node = unit["node"].to_numpy()
-            sig = np.frombuffer(b"".join(unit["sig"]), np.uint16).reshape(-1, SAMPLES)
-            a, b, e = estimates(sig, unit["right"].to_numpy(),
-                                unit["i"].iloc[0] == unit["j"].iloc[0])
-            sets: dict = {}
-            text = unit["text"].to_numpy()
-
-            def weighted(k: int) -> tuple:
-                if k not in sets:
-                    h, tf = shingles(words, text[k])
-                    sets[k] = (h, tf * idf[(h >> np.uint64(48)).astype(np.intp)])
-                return sets[k]
-
-            root = list(range(len(node)))
-
-            def find(k: int) -> int:
-                while root[k] != k:
-                    root[k] = root[root[k]]
-                    k = root[k]
-                return k
-
-            out = []
-            for k in np.argsort(-e, kind="stable"):
-                if e[k] < TIGHT:
-                    break
-                x, y = int(a[k]), int(b[k])
-                rx, ry = find(x), find(y)
-                if rx != ry and weighted_jaccard(weighted(x), weighted(y)) >= threshold:
-                    root[max(rx, ry)] = min(rx, ry)
-                    out.append((node[x], node[y]))
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-    return work.select("label", "i", "j", "right", "node", "sig", "text").repartition(
-        shuffle_width(reps.sparkSession), "label", "i", "j").sortWithinPartitions(
-        "label", "i", "j", "node").mapInPandas(verify, "a long, b long")
+    def link(unit: pd.DataFrame) -> tuple:
+        words = worker_cache("minhash-words", Words)
+        a, b, e = candidates(unit, TIGHT)
+        text = unit["text"].to_numpy()
+        sets: dict = {}
+
+        def weighted(k: int) -> tuple:
+            if k not in sets:
+                h, tf = shingles(words, text[k])
+                sets[k] = (h, tf * idf[(h >> np.uint64(48)).astype(np.intp)])
+            return sets[k]
+
+        root = list(range(len(text)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        out = []
+        for k in np.argsort(-e, kind="stable"):
+            x, y = int(a[k]), int(b[k])
+            rx, ry = find(x), find(y)
+            if rx != ry and weighted_jaccard(weighted(x), weighted(y)) >= threshold:
+                root[max(rx, ry)] = min(rx, ry)
+                out.append((x, y))
+        pairs = np.array(out, dtype=int).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+    return components(members, loaded.select("node", "sig", "text"), link, TIGHT, "verified")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             threshold: float = THRESHOLD) -> DataFrame:
     """digest, class_id, stays: the class of every distinct text that has words, and
     whether it is the one text of its class (least digest with the name) that stays."""
-    idf = learn_idf(docs, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                       F.col(text).alias("text")).filter(has_words(F.col("text")))
-    digest = F.md5("text")
+    texts = distinct_texts(docs, text, doc_id)
+    idf = idf_of(texts)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = worker_cache(f"icws-{hash(idf.tobytes())}", lambda: Sampler(idf))
         for batch in batches:
             made = [sampler.samples(*shingles(sampler.words, t)) for t in batch["text"]]
-            yield pd.DataFrame({
-                "digest": batch["digest"], "doc_id": batch["doc_id"].astype("Int64"),
-                "sig": [s.astype(np.uint16).tobytes() for s in made],
-                "bands": [band_keys(s) for s in made]})
-
-    signed = rows.withColumn("digest", digest).mapInPandas(
-        sign, "digest string, doc_id long, sig binary, bands array<long>")
-    # equal texts have equal samples: any row of a digest stands for it
-    reps = signed.groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.first("sig").alias("sig"),
-        F.first("bands").alias("bands"))
-    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "texts-signed")
-    groups = likely_groups(reps)
-    texts = rows.groupBy(digest.alias("digest")).agg(F.first("text").alias("text"))
-    links = materialize(verified_links(groups, reps, texts, idf, threshold), "text-links")
-    labels = connected(links)
-    named = reps.select("node", "digest", "least").join(labels, "node", "left").withColumn(
+            yield pd.DataFrame({"node": batch["node"],
+                                "sig": [s.astype(np.uint16).tobytes() for s in made],
+                                "bands": [band_keys(s) for s in made]})
+
+    reps = materialize(texts.select("node", "text").mapInPandas(
+        sign, "node long, sig binary, bands array<long>"), "texts-signed")
+    labels = verified_groups(likely_groups(reps), reps, texts, idf, threshold)
+    named = texts.select("node", "digest", "least").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     # a null doc_id comes after all others
     best = named.groupBy("label").agg(F.min(F.struct(
