@@ -314,8 +314,8 @@ def candidates(unit: pd.DataFrame, least: float) -> tuple:
 
 def components(members: DataFrame, payload: DataFrame, link: Callable, least: float,
                name: str) -> DataFrame:
-    """node, label: the components of the links among the members (key, node, size) of
-    each key; ``link`` gives the linked pairs (a, b) of a unit's rows, all of them
+    """node, label: the components of the links among the members (key, node, size,
+    blocks) of each key; ``link`` gives the linked pairs (a, b) of a unit's rows, all of them
     estimated at ``least`` or more.  ``payload`` has sig, and what else ``link`` reads,
     by node."""
     def rooted(unit: pd.DataFrame) -> pd.DataFrame:
@@ -323,7 +323,7 @@ def components(members: DataFrame, payload: DataFrame, link: Callable, least: fl
         out = unit[["key", "node", "size", "blocks"]].assign(root=unit["node"].to_numpy()[label])
         return out[(out["blocks"] > 1) | (out["root"] != out["node"])]
 
-    live, links, step = in_blocks(members), None, 0
+    live, links, step = members, None, 0
     while True:
         rows = live.withColumn("unit", dealt(F.col("blocks"), "key", "node", F.lit(step))).join(
             payload, "node")
@@ -376,17 +376,16 @@ def unlinked_units(hot: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     at = materialize(hot.join(labels, "node", "left").select(
         "key", "node", "size", F.coalesce("label", "node").alias("label")),
         f"{name}-labelled", narrow=True)
-    sets = at.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = sets.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
-                                   F.count("*").alias("sets")).filter("sets > 1").drop("sets")
-    rows = at.join(main, "key").withColumn("off", F.col("label") != F.col("main"))
-
-    def deal(off: bool) -> Column:
-        mine = F.col("off") == F.lit(off)
-        return blocks_of(F.count_if(mine), F.sum(F.when(mine, F.col("size")).otherwise(0)))
-
-    counts = rows.groupBy("key").agg(deal(True).alias("outer"), deal(False).alias("inner"))
-    rows = rows.join(counts, "key").withColumn("mine", F.when(
+    sets = at.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    by_n = F.struct("n", "label")
+    keys = sets.groupBy("key").agg(
+        F.max_by("label", by_n).alias("main"), F.count("*").alias("sets"), F.max("n").alias("n"),
+        F.max_by("size", by_n).alias("size"), F.sum("n").alias("all_n"),
+        F.sum("size").alias("all_size")).filter("sets > 1").select(
+        "key", "main", blocks_of(F.col("n"), F.col("size")).alias("inner"),
+        blocks_of(F.col("all_n") - F.col("n"), F.col("all_size") - F.col("size")).alias("outer"))
+    rows = at.join(keys, "key").withColumn("off", F.col("label") != F.col("main"))
+    rows = rows.withColumn("mine", F.when(
         F.col("off"), dealt(F.col("outer"), "key", "node")).otherwise(
         F.col("outer") + dealt(F.col("inner"), "key", "node")))
     last = F.when(F.col("off"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1
@@ -404,8 +403,10 @@ def likely_groups(reps: DataFrame) -> DataFrame:
                                     F.sum(F.xxhash64("node") % (1 << 31)).alias("set"))
     # buckets with the same members are compared once
     once = sizes.filter("n > 1").groupBy("n", "least", "set").agg(F.min("key").alias("key"))
-    members = materialize(rows.join(once.select("key"), "key").withColumn(
-        "size", F.lit(SAMPLES * 2).cast("long")), "buckets", narrow=True)
+    size = F.lit(SAMPLES * 2).cast("long")
+    members = materialize(rows.join(once.select("key", "n"), "key").select(
+        "key", "node", size.alias("size"), blocks_of(F.col("n"), F.col("n") * size).alias("blocks")),
+        "buckets", narrow=True)
 
     def link(unit: pd.DataFrame) -> tuple:
         return candidates(unit, LOOSE)[:2]
@@ -452,7 +453,7 @@ def verified_groups(groups: DataFrame, reps: DataFrame, texts: DataFrame,
         pairs = np.array(out, dtype=int).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1]
 
-    return components(members, loaded.select("node", "sig", "text"), link, TIGHT, "verified")
+    return components(in_blocks(members), loaded.select("node", "sig", "text"), link, TIGHT, "verified")
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
