@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from topicpulse.functions.calendar import ts_lit
 from topicpulse.functions.rules import parse_csv, parse_keywords
-from topicpulse.session import scratch_dir
+from topicpulse.session import PARQUET_OPTIONS, scratch_dir
 from topicpulse.sources.poststore import DATE_COL
 
 # Tunables (not reference values).
@@ -324,6 +324,7 @@ def match_posts(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | None
 
 
 LIMIT_SALT = 32
+LIMIT_BROADCAST_TOPICS = 100_000       # last keys of some 100 bytes
 HOUR_US = 3_600_000_000
 
 
@@ -334,12 +335,13 @@ def limit_per_topic(matched: DataFrame, max_limit: int, ts_col: str = "created_a
     The first k rows of each topic by (created desc, event_id, row hash), found
     by a threshold instead of ranking rows:
 
-    1. the matches are written once; the steps 2 to 4 read narrow columns;
+    1. the matches are written once; the steps 2 and 3 read narrow columns;
     2. a histogram of hours per topic (map-side combined) gives the cut hour,
        in which the k-th newest row lies, and how many rows of it still fit;
     3. only that hour's keys are ranked (salted top-k, then per topic), which
        gives the topic's last key;
-    4. rows before the last key are kept by a comparison.
+    4. rows before the last key are kept by a comparison, where they lie (the last keys
+       are broadcast, or, of many topics, joined by salted topics).
 
     No text enters a window or its exchange.  Rows equal to the last key in
     every column are interchangeable; as many as fit are copied from one of
@@ -350,8 +352,8 @@ def limit_per_topic(matched: DataFrame, max_limit: int, ts_col: str = "created_a
     path = scratch_dir(matched.sparkSession, "limited")
     newest = -F.coalesce(F.unix_micros(ts_col), F.lit(-2**62))
     keyed = matched.select("*", newest.alias("_neg"), F.xxhash64(*cols).alias("_h"))
-    keyed.write.parquet(path)
-    stored = matched.sparkSession.read.schema(keyed.schema).parquet(path)
+    keyed.write.options(**PARQUET_OPTIONS).parquet(f"{path}/rows")
+    stored = matched.sparkSession.read.schema(keyed.schema).parquet(f"{path}/rows")
 
     topic = F.col("topic_id")
     hour = F.floor(F.col("_neg") / HOUR_US)
@@ -376,7 +378,17 @@ def limit_per_topic(matched: DataFrame, max_limit: int, ts_col: str = "created_a
     same = ranked.join(last, topic.eqNullSafe(F.col("_topic")) & key.eqNullSafe(F.col("key")))
     last = same.groupBy("_topic", "key").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
 
-    j = stored.join(last.withColumnRenamed("key", "_key"), topic.eqNullSafe(F.col("_topic")), "left")
+    # One row per topic that has more than k rows, written so that its size is known: the
+    # matches with their texts are never dealt by topic.
+    last = last.withColumnRenamed("key", "_key")
+    last.write.parquet(f"{path}/last")
+    last = matched.sparkSession.read.schema(last.schema).parquet(f"{path}/last")
+    on = topic.eqNullSafe(F.col("_topic"))
+    if last.count() <= LIMIT_BROADCAST_TOPICS:
+        j = stored.join(F.broadcast(last), on, "left")
+    else:
+        last = last.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        j = stored.join(last, on & (F.pmod("_h", F.lit(salt_buckets)) == F.col("_salt")), "left")
     before = j.where(F.col("_key").isNull() | (key < F.col("_key"))).select(*cols)
     at = (j.where(key.eqNullSafe(F.col("_key"))).groupBy("_topic")
           .agg(F.any_value(F.struct(*cols)).alias("_row"), F.any_value("_copies").alias("_copies")))
