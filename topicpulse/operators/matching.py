@@ -12,10 +12,12 @@ Two physical strategies, same rows, whatever the posts' ids (a post that was
 sent again is a row of its own, and a post without an id is matched too):
 
 * ``narrow``   — the topic catalogue is small (checked with a bounded
-  ``limit(n+1)`` fetch).  Each OR group becomes one literal regex, the
-  topics become a literal array of ``CASE WHEN`` expressions and one
-  ``explode`` emits the matches.  One code-generated stage, no shuffle,
-  regexes compiled once per task.
+  ``limit(n+1)`` fetch).  The topics become a literal array of ``CASE WHEN``
+  expressions over the listed words that a post holds, and one ``explode`` emits
+  the matches.  One stage, no shuffle, regexes compiled once per task.  Few listed
+  words are each searched in the text, so only matching posts are tokenised, and
+  those only for callers that want the tokens; of many words the post's tokens are
+  compared with the list.
 * ``inverted`` — any catalogue size.  A topic can only match where one of its OR
   groups does, so it is looked up by a single group: one of phrases rather than of
   single words, then the one whose keys are found in fewest posts (if a frequency
@@ -58,6 +60,7 @@ SALT_BUCKETS = 16
 KEY_BUCKETS = 1 << 16          # bytes of the table that drops tokens before the explode
 LITERAL_MAX_KEYS = 512         # keys compared as a literal array instead of by the table
 PAIR_MIN_PHRASES = 256         # phrases from which they are keyed by neighbouring runs
+SEARCH_MAX_WORDS = 16          # words searched in the text one by one instead of among its tokens
 
 _META = re.compile(r"([\\.^$|?*+()\[\]{}])")
 # Letters and digits of any script make a token.
@@ -77,6 +80,16 @@ def group_regex(terms: list[str]) -> str:
     return f"{_BOUND_L}({alts}){_BOUND_R}"
 
 
+def whole_term(term: str) -> str:
+    """A regex for the term between non-alphanumeric characters or the text's edges.
+
+    The literal stands first, so Java skips to it (Boyer-Moore) and tests the edges only
+    there.  The one letter beyond the 16-bit range makes it look back by whole characters.
+    """
+    lit = escape_term(term)
+    return f"{lit}(?<![\\p{{L}}\\p{{N}}\U00010400]{lit})(?![\\p{{L}}\\p{{N}}])"
+
+
 def prepare_topics(topics: DataFrame) -> DataFrame:
     """topic_id, cnf (lower-cased terms), subs (clean, lower-cased list).
 
@@ -125,22 +138,20 @@ def _spaced(lt: Column, term: Column) -> Column:
     return F.instr(F.concat(space, lt, space), F.concat(space, term, space)) > 0
 
 
-def _group_condition(terms: list[str], lt: Column, toks: Column) -> Column:
+def _group_condition(terms: list[str], lt: Column, words: Column) -> Column:
     """Exact whole-token test for one OR group.
 
     A single-word term matches exactly when it is one of the text's maximal
-    alphanumeric runs, so those terms become one hash-based
-    ``arrays_overlap`` against the row's token array.  Phrases and punctuated
-    terms keep the boundary regex, behind a literal ``instr`` prefilter so the
-    regex only scans rows that contain the term at all.
+    alphanumeric runs, so those terms become one ``arrays_overlap`` with the
+    listed words of the post.  Phrases and punctuated terms are searched.
     """
     simple = [t for t in terms if t.isalnum()]
     other = [t for t in terms if not t.isalnum()]
     conds = []
     if simple:
-        conds.append(F.arrays_overlap(toks, F.array(*[F.lit(t) for t in simple])))
+        conds.append(F.arrays_overlap(words, F.array(*[F.lit(t) for t in simple])))
     for t in other:
-        conds.append((F.instr(lt, t) > 0) & (_spaced(lt, F.lit(t)) | lt.rlike(group_regex([t]))))
+        conds.append(lt.rlike(whole_term(t)))
     return reduce(lambda a, b: a | b, conds)
 
 
@@ -152,9 +163,8 @@ def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | Non
         raise ValueError("topic catalogue too large for the narrow plan; use 'inverted'")
     if sum(len(g) for r in rows for g in (r.cnf or [])) > NARROW_MAX_TERMS:
         raise ValueError("too many terms for the narrow plan; use 'inverted'")
-    # Lower-cased text and its token array are projected once and referenced
-    # by every group test (Catalyst keeps a multiply-used, non-cheap alias).
-    # All groups look for their words among the few that occur in the text.
+    # Lower-cased text, its listed words and the hits are projected once and referenced
+    # by what follows (Catalyst keeps a multiply-used, non-cheap alias).
     lt, toks, words = F.col("_tp_lt"), F.col("_tp_toks"), F.col("_tp_words")
     cases, simple, subs = [], set(), set()
     for r in rows:
@@ -174,10 +184,21 @@ def match_narrow(posts: DataFrame, topics: DataFrame, cutoff: _dt.datetime | Non
     if () not in subs:          # every topic is restricted: other posts are not tokenised
         p = p.where(F.lower(F.col("subreddit")).isin(sorted({s for held in subs for s in held})))
     listed = F.array(*[F.lit(t) for t in sorted(simple)]) if simple else F.array().cast("array<string>")
-    staged = (p.withColumn("_tp_lt", F.lower(F.col("text")))
-               .withColumn("_tp_toks", F.split(F.col("_tp_lt"), _SPLIT))
-               .withColumn("_tp_words", F.array_intersect(toks, listed)))
-    hits = F.filter(F.array(*cases), lambda x: x.isNotNull())
+    staged = p.withColumn("_tp_lt", F.lower(F.col("text")))
+    tokenised = F.split(lt, _SPLIT)
+    if len(simple) <= SEARCH_MAX_WORDS:
+        found = [F.when(lt.rlike(whole_term(t)), F.lit(t)) for t in sorted(simple)]
+        staged = staged.withColumn("_tp_words", F.array_intersect(F.array(*found).cast("array<string>"), listed))
+    else:
+        staged = staged.withColumn("_tp_toks", tokenised).withColumn("_tp_words", F.array_intersect(toks, listed))
+        tokenised = toks
+    if not tokens_col:
+        hits = F.filter(F.array(*cases), lambda x: x.isNotNull())
+        return staged.select(*cols, F.explode(hits).alias("topic_id"))
+    # the tokens of matching posts, once per post
+    staged = staged.withColumn("_tp_hits", F.array(*cases))
+    hits = F.filter("_tp_hits", lambda x: x.isNotNull())
+    staged = staged.withColumn("_tp_toks", F.when(F.exists("_tp_hits", lambda x: x.isNotNull()), tokenised))
     return staged.select(*cols, F.explode(hits).alias("topic_id"))
 
 
