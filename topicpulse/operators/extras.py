@@ -49,8 +49,9 @@ def top_keywords(posts: DataFrame, k: int = 5, ts_col: str = "created_at",
     aggregate sees already-reduced rows.
     """
     words = F.array_remove(tokens_col, "") if tokens_col else tokens(F.col("text"))
-    toks = posts.select("topic_id", F.date_trunc("day", F.col(ts_col)).alias("day"),
-                        F.explode(F.array_distinct(words)).alias("key"))
+    # the day is a column of the post, else it is made again for every token
+    dated = posts.withColumn("day", F.date_trunc("day", F.col(ts_col)))
+    toks = dated.select("topic_id", "day", F.explode(F.array_distinct(words)).alias("key"))
     days = toks.groupBy("topic_id", "day", "key").agg(F.count(F.lit(1)).alias("doc_count"))
     g = days.select("topic_id", F.inline(_grain_array(F.col("day"))), "key", "doc_count")
     b = g.groupBy("topic_id", "window_type", "start", "key").agg(
